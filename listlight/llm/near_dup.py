@@ -157,29 +157,28 @@ def _confirm(percent: int):
     return run
 
 
-def _block_links(ids, comps, left, right, sigs, sets, percent: int, miss: float) -> list[tuple[int, int]]:
-    """Links that join different components between the rows `left` and `right` of one block."""
-    root = {c: c for c in comps}
+def _intersections(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with each of others (none empty)."""
+    y = np.concatenate(others)
+    same = x[np.searchsorted(x, y).clip(0, len(x) - 1)] == y
+    return np.add.reduceat(same, np.concatenate(([0], np.cumsum([len(o) for o in others[:-1]]))).astype(np.int64), dtype=np.int64)
 
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
 
+def _block_links(ids, comps, left, right, sigs, sets, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Links that join different components between the rows `left` and `right` of one block."""
+    label, number, n = np.array(comps), np.array(ids), np.array([len(x) for x in sets])
     found = []
-    x = np.stack([sigs[k] for k in right])
     for i in left:
-        other = np.array([j for j, k in enumerate(right) if ids[k] > ids[i] or left is not right], np.int64)
-        other = other[[ids[right[j]] != ids[i] and find(comps[right[j]]) != find(comps[i]) for j in other]] if len(other) else other
+        other = right[(label[right] != label[i]) & (number[right] != number[i])]
+        if left is right:
+            other = other[other > i]
+        other = other[_survivors(np.broadcast_to(sigs[i], (len(other), HASHES)), sigs[other], percent / 100, miss)]
         if not len(other):
             continue
-        near = other[_survivors(np.broadcast_to(sigs[i], (len(other), HASHES)), x[other], percent / 100, miss)]
-        for j in near:
-            k = right[j]
-            p, q = find(comps[i]), find(comps[k])
-            if p != q and _linked(sets[i], sets[k], percent):
-                root[max(p, q)] = min(p, q)
+        both = _intersections(sets[i], [sets[k] for k in other])
+        for k in other[100 * both >= percent * (n[i] + n[other] - both)]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
                 found.append((ids[i], ids[k]))
     return found
 
@@ -190,11 +189,11 @@ def _blocks(percent: int, miss: float):
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
         ids, comps, chunk = [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]
-        sigs = [np.frombuffer(r[6], np.uint16) for r in rows]
+        sigs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, HASHES)
         sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-        left = [k for k, c in enumerate(chunk) if c == i]
-        right = left if i == j else [k for k, c in enumerate(chunk) if c == j]
-        return _block_links(ids, comps, left, right, sigs, sets, percent, miss) if left and right else []
+        left = np.flatnonzero(np.array(chunk) == i)
+        right = left if i == j else np.flatnonzero(np.array(chunk) == j)
+        return _block_links(ids, comps, left, right, sigs, sets, percent, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -269,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = written(dealt.mapInArrow(_blocks(percent, miss), "a long, b long"), "links")
     drop(rest, open_sets, members)
-    final = written(components(links.union(more)), "roots")
+    final = written(components(roots.union(more)), "roots")
     drop(roots, links, more)
 
     sets_roots = reps.join(final, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("component_id"))

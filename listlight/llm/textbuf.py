@@ -115,3 +115,18 @@ def sums_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 in UTF-8, in lower case."""
+    out = LOWER[buf]
+    capital = (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)
+    out[1:][capital] += 0x20
+    return out
+
+
+def held_out(doc_id, folds: int, fold: int):
+    """Column: crc32 of the id as text, mod folds, is fold."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
