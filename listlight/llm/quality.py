@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .samples import labelled_sample
 from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_latin, mix, slices, spans, sums_by
-from .toxicity import _threshold
 
 BITS, RANK, BINS = 17, 8, 8
+STAT_WEIGHT = 0.5
 STATS = ("log_chars", "log_words", "word_length", "symbols", "capitals", "digits", "punctuation", "exclamations", "bars", "lines_per_word", "repeated_lines", "distinct_words", "repeated_triples", "wide")
 
 
@@ -108,8 +108,8 @@ def _binned(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (1 << BITS) + np.arange(len(STATS)) * BINS + cells
 
 
-def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, *, epochs: int = 6, seed: int = 3) -> QualityModel:
-    """A quarter of the documents is kept for the threshold."""
+def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, *, population: tuple[int, int] = (1, 1), epochs: int = 6, seed: int = 3) -> QualityModel:
+    """A quarter of the documents is kept for the threshold. population: how many documents of each class the sample stands for."""
     size = (1 << BITS) + len(STATS) * BINS
     if not (labels == 1).any() or not (labels == 0).any():
         return QualityModel(np.zeros((len(STATS), BINS - 1)), np.zeros(1), np.zeros((1, RANK)), 0.0, float(len(labels) > 0 and labels.max()))
@@ -124,10 +124,9 @@ def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], l
     factors = rng.normal(0, 0.05, (size, RANK)).astype(np.float32)
     linear_moment, factor_moment = np.full(size, 0.1, np.float32), np.full((size, RANK), 0.1, np.float32)
     bias, bias_moment, rate, decay = 0.0, 0.1, 0.1, 1e-3
-    class_weight = len(used) / (2 * np.array([(labels[used] == y).sum() for y in (0, 1)]))
 
     def inputs(i):
-        return np.concatenate((words[i], cells[i])), np.concatenate((weights[i], np.full(len(STATS), 0.3, np.float32)))
+        return np.concatenate((words[i], cells[i])), np.concatenate((weights[i], np.full(len(STATS), STAT_WEIGHT, np.float32)))
 
     def value(i):
         f, x = inputs(i)
@@ -138,7 +137,7 @@ def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], l
     for _ in range(epochs):
         for i in rng.permutation(used):
             y, f, x, v, s = value(i)
-            error = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]) * class_weight[labels[i]]
+            error = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]
             g = error * x + decay * linear[f]
             linear_moment[f] += g**2
             linear[f] -= rate * g / np.sqrt(linear_moment[f])
@@ -147,10 +146,22 @@ def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], l
             factors[f] -= rate * g / np.sqrt(factor_moment[f])
             bias_moment += error**2
             bias -= rate * error / np.sqrt(bias_moment)
-    bias -= _threshold(np.array([value(i)[0] for i in kept]), labels[kept]) if all(len(p) >= 4 for p in parts) else 0.0
+    if all(len(p) >= 4 for p in parts):  # the threshold with the fewest errors among what training did not see
+        bias -= _fewest_errors(np.array([value(i)[0] for i in kept]), labels[kept], population)
     return QualityModel(edges, linear, factors, float(bias))
 
 
+def _fewest_errors(values: np.ndarray, labels: np.ndarray, population: tuple[int, int]) -> float:
+    """The middle of the range of thresholds with the fewest errors, each class counted as often as it occurs."""
+    order = np.argsort(values)
+    x, y = values[order], labels[order]
+    weight = np.array(population) / np.maximum(1, [(y == 0).sum(), (y == 1).sum()])
+    errors = np.concatenate(([0], np.cumsum(np.where(y == 1, weight[1], -weight[0]))))  # of a threshold below x[k], less a constant
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    edges = np.concatenate(([x[0] - 1], x, [x[-1] + 1]))
+    return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, stats, word, weight, begin in features(batch["text"]):
@@ -167,15 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, max_char
     schema = "doc_id long, label int, stats array<double>, words array<int>, weights array<float>"
     rows = sample.mapInArrow(_examples, schema).toArrow().combine_chunks().sort_by("doc_id")
     stats = np.array(rows["stats"].to_pylist()).reshape(-1, len(STATS))
-    return fit(stats, [np.asarray(x.values) for x in rows["words"]], [np.asarray(x.values) for x in rows["weights"]], rows["label"].to_numpy())
+    population = labels.agg(F.count(F.when(F.col("quality") == 0, 1)), F.count(F.when(F.col("quality") == 1, 1))).first()
+    return fit(stats, [np.asarray(x.values) for x in rows["words"]], [np.asarray(x.values) for x in rows["weights"]], rows["label"].to_numpy(), population=tuple(population))
 
 
 def _scores(m: QualityModel, stats, word, weight, begin) -> np.ndarray:
     cells = _binned(stats, m.edges)
     linear, factors, squares = m.linear, m.factors, (m.factors**2).sum(axis=1)
-    y = m.bias + sums_by(linear[word] * weight.astype(np.float64), begin) + 0.3 * linear[cells].sum(axis=1)
-    s = np.stack([sums_by(factors[word, k] * weight.astype(np.float64), begin) for k in range(RANK)], axis=1) + 0.3 * factors[cells].sum(axis=1)
-    q = sums_by(squares[word] * weight.astype(np.float64) ** 2, begin) + 0.09 * squares[cells].sum(axis=1)
+    y = m.bias + sums_by(linear[word] * weight.astype(np.float64), begin) + STAT_WEIGHT * linear[cells].sum(axis=1)
+    s = np.stack([sums_by(factors[word, k] * weight.astype(np.float64), begin) for k in range(RANK)], axis=1) + STAT_WEIGHT * factors[cells].sum(axis=1)
+    q = sums_by(squares[word] * weight.astype(np.float64) ** 2, begin) + STAT_WEIGHT**2 * squares[cells].sum(axis=1)
     return 1 / (1 + np.exp(-np.clip(y + 0.5 * ((s**2).sum(axis=1) - q), -30, 30)))
 
 

@@ -118,7 +118,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["label"].cast(pa.int32()).slice(lo, hi - lo), pa.array(language, pa.int32()), flat], ["doc_id", "label", "language", "words"])
 
 
-def fit(words: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, *, epochs: int = 6, seed: int = 5) -> ToxicityModel:
+def fit(words: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, *, epochs: int = 4, seed: int = 5) -> ToxicityModel:
     """Train on words (n x 3 buckets) of each document; a quarter of the documents is kept for the thresholds."""
     if not (labels == 1).any() or not (labels == 0).any():
         return ToxicityModel(np.zeros((1, DIM)), np.zeros((DIM, COLUMNS)), np.zeros(1), 0.0, np.zeros(len(LANGUAGES)), float(len(labels) > 0 and labels.max()))
@@ -133,6 +133,7 @@ def fit(words: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, *, e
         seen[labels[i], np.unique(words[i])] += 1
     sizes = [(labels[used] == y).sum() for y in (0, 1)]
     odds = np.log(seen[1] / (sizes[1] + 2)) - np.log(seen[0] / (sizes[0] + 2))
+    odds *= (seen[1] + seen[0] - 2) / (seen[1] + seen[0] + 6)  # rare buckets tell little
     touched = seen.sum(axis=0) > 2
     embedding = np.zeros((1 << BITS, DIM), np.float32)
     embedding[touched] = rng.normal(0, 0.01, (int(touched.sum()), DIM))
