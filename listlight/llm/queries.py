@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, mixing, quality, rules, secrets, toxicity
+from . import bpe, html, knn, lm, mixing, quality, rules, secrets, toxicity
 from .near_dup import near_duplicates
 from .textbuf import held_out
 
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,13 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background: all documents. Target: the benchmark's passages. A low score is like the benchmark."""
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.train(docs, _table(spark, sf_dir, "benchmark"))
+    return lm.score(docs, model, keep=["doc_id"])
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -74,8 +85,10 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_knn": op4_knn,
     "op5_quality": op5_quality,
+    "op6_html": op6_html,
     "op7_near_dup": op7_near_dup,
     "op8_rules": op8_rules,
+    "op9_lm": op9_lm,
     "op10_secrets": op10_secrets,
 }
 
