@@ -27,8 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 600_000  # runs between white space whose ids a partition remembers
-TEXTS = 4 << 20  # characters of text encoded at once
+CACHE = 250_000  # runs between white space whose ids a partition remembers
+TEXTS = 2 << 20  # characters of text encoded at once
+FRESH = 1 << 16  # new words whose pairs are indexed at once
 _SPACE = regex.compile(r"\s+")
 _SEPARATOR = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() but not to the file's pattern
 
@@ -78,6 +79,8 @@ class Vocabulary:
 
 def encode_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words in a row, where each word begins): the merges of a batch of distinct words by an index of pair positions."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     lengths = np.array([len(w) for w in words], np.int64)
     raw = np.frombuffer(b"".join(words), np.uint8)
     last = np.zeros(len(raw), np.int64)
@@ -186,7 +189,8 @@ class Encoder:
             counts.append(len(words))
         if fresh:
             plain = [w for w in fresh if w not in self.v.specials]
-            ids, begin = encode_words([w.encode() for w in plain], self.v)
+            pieces = [encode_words([w.encode() for w in plain[lo : lo + FRESH]], self.v) for lo in range(0, max(len(plain), 1), FRESH)]
+            ids, begin = np.concatenate([x for x, _ in pieces]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in pieces]))))
             if len(plain) < len(fresh):
                 where = {w: k for k, w in enumerate(plain)}
                 each = [ids[begin[where[w]] : begin[where[w] + 1]] if w in where else np.array([self.v.specials[w]], np.int32) for w in fresh]
@@ -238,7 +242,7 @@ def encode(docs: DataFrame, path: str, *, keep: list[str] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for lo, hi in _groups(batch.column(0)):
+            for lo, hi in _groups(batch.column(0)):  # what is held at once stays small beside the executor's heap
                 part = batch.slice(lo, hi - lo)
                 ids, counts = encoder.encode(part.column(0).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
