@@ -85,9 +85,9 @@ def whole_word_pattern(word: Column) -> Column:
 
 
 def tagged(docs: DataFrame, keywords: DataFrame, *texts: str) -> DataFrame:
-    """(row of docs, name) for each keyword (column name) that occurs as a whole word in the lower-cased texts: every pair is tried."""
+    """(row of docs, name) for each keyword (column name) that occurs as a whole word in the lower-cased texts: every pair is tried, by substring before the pattern."""
     text = F.lower(F.concat_ws(" ", *texts))
-    return docs.join(F.broadcast(keywords), F.regexp_like(text, whole_word_pattern(F.col("name"))))
+    return docs.join(F.broadcast(keywords), text.contains(F.lower("name")) & F.regexp_like(text, whole_word_pattern(F.col("name"))))
 
 
 def tagged_by_token(docs: DataFrame, key: str, keywords: DataFrame, *texts: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Queries; importing a module registers its own."""
