@@ -7,7 +7,7 @@ loop runs on the table of sources (one row each, however large they are); only s
 Sampling: a source whose target is r times its size takes each document floor(r) times and some a further
 time, so that their words come to the fraction left. Those are chosen by a seeded hash within classes of
 document size (powers of two), from the largest to the smallest; what a class leaves over or takes too
-much is carried to the next, so a source ends within about its smallest documents of the target. A class
+much is carried to the next, so a source ends within about its smallest documents of the target where it has many. A class
 is cut at one of BINS ranges of the hash, from sums by (source, class, range): no document is sorted and
 no source is gathered anywhere, however hot.
 
@@ -82,19 +82,24 @@ def _cuts(table: DataFrame, targets: DataFrame) -> DataFrame:
     whole = F.floor(ratio + 1e-12).cast("int")
     of = targets.select(F.col("source").alias("of"), "source_size", "target")
     joined = steps.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", whole).withColumn("left", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    # By class, from the largest: need = its own share + what is carried; the bins up to the sum nearest to need are taken.
+    # By class, from the largest: need = its own share + what is carried. The bins that fit into it are taken if the
+    # smaller classes can hold the rest beside their own share, else those up to the sum nearest to it.
     one = F.struct(F.col("class").alias("class"), "words", "steps")
     by_source = joined.groupBy("source").agg(F.first("whole").alias("whole"), F.first("left").alias("left"), F.reverse(F.array_sort(F.collect_list(one))).alias("classes"))
 
     def take(state: Column, c: Column) -> Column:
-        need = state["carry"] + F.col("left") * c["words"]
+        need, rest = state["carry"] + F.col("left") * c["words"], state["rest"] - c["words"]
         start = F.struct(F.lit(0).cast("int").alias("cut"), F.lit(0).cast("long").alias("got"))
-        nearer = lambda best, s: F.when(F.abs(s["upto"] - need) < F.abs(best["got"] - need), F.struct((s["bin"] + 1).cast("int").alias("cut"), s["upto"].alias("got"))).otherwise(best)
-        best = F.aggregate(c["steps"], start, nearer)
-        return F.struct((need - best["got"]).alias("carry"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), best["cut"].alias("cut")))).alias("cuts"))
+        to = lambda s: F.struct((s["bin"] + 1).cast("int").alias("cut"), s["upto"].alias("got"))
+        fitting = F.aggregate(c["steps"], start, lambda best, s: F.when((s["upto"] <= need) & (s["upto"] > best["got"]), to(s)).otherwise(best))
+        nearest = F.aggregate(c["steps"], start, lambda best, s: F.when(F.abs(s["upto"] - need) < F.abs(best["got"] - need), to(s)).otherwise(best))
+        best = F.when(need - fitting["got"] <= (1 - F.col("left")) * rest, fitting).otherwise(nearest)
+        cut = F.array(F.struct(c["class"].alias("class"), best["cut"].alias("cut")))
+        return F.struct((need - best["got"]).alias("carry"), rest.alias("rest"), F.concat(state["cuts"], cut).alias("cuts"))
 
     empty = F.array().cast("array<struct<class:int,cut:int>>")
-    state = F.aggregate("classes", F.struct(F.lit(0.0).alias("carry"), empty.alias("cuts")), take)
+    words = F.aggregate("classes", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    state = F.aggregate("classes", F.struct(F.lit(0.0).alias("carry"), words.alias("rest"), empty.alias("cuts")), take)
     return by_source.select("source", "whole", F.explode(state["cuts"]).alias("c")).select("source", "whole", "c.class", "c.cut")
 
 
