@@ -13,8 +13,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _fields(text: str) -> list[T.StructField]:
-    return T.StructType.fromDDL(text).fields
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """'name type, ...' as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(", "))])
 
 
 _AD = (
@@ -26,7 +30,7 @@ _HOUSE = f"{_AD}, floors int, land_area_sqm double"
 _RENT = ", monthly_price double, monthly_price_per_sqm double, total_price_120m double, price_per_sqm_120m double"
 
 SCHEMAS = {
-    name: T.StructType(_fields(ddl))
+    name: _schema(ddl)
     for name, ddl in {
         "project": "id long, name string, description string",
         "region": "id long, name string, url string, category string, parent_id long, scrape_enabled boolean",
