@@ -169,7 +169,7 @@ def absolute_url(base: str, src: Column) -> Column:
 
 def repaired_json(reply: Column) -> Column:
     """A model's reply as JSON text: without code fences and trailing commas."""
-    bare = F.trim(F.regexp_replace(F.trim(reply), r"^```(json)?|```$", ""))
+    bare = F.regexp_replace(reply, r"^\s*(```(json)?)?\s*|\s*(```)?\s*$", "")
     return F.regexp_replace(bare, r",\s*([}\]])", "$1")
 
 
