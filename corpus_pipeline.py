@@ -18,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One document of each group of near copies (similarity 0.8 or more) stays: the one with the smallest doc_id. Rows without a doc_id stay."""
+    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
