@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and the text that the ids decode to."""
-    decoded = bpe.decode(bpe.encode(docs, VOCABULARY, keep=["doc_id", "source"]), VOCABULARY)
+    decoded = bpe.encode(docs, VOCABULARY, keep=["doc_id", "source"], decoded=True)
     return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 

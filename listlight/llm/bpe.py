@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 250_000  # runs between white space whose ids a partition remembers
+CACHE = 150_000  # runs between white space whose ids a partition remembers
 TEXTS = 2 << 20  # characters of text encoded at once
 FRESH = 1 << 16  # new words whose pairs are indexed at once
 _SPACE = regex.compile(r"\s+")
@@ -206,16 +206,17 @@ class Encoder:
         """(ids of all texts in a row, how many each has)."""
         if len(self.runs) > CACHE:
             self.clear()
-        parts = [self._parts(text) if text else [] for text in texts]
-        known = self.runs
-        fresh = list(dict.fromkeys(r for own in parts for r in own if r not in known))
-        for r in fresh:
-            known[r] = len(known)
+        known, fresh, each = self.runs, [], []
+        for text in texts:
+            own = self._parts(text) if text else []
+            for r in [r for r in dict.fromkeys(own) if r not in known]:
+                known[r] = len(known)
+                fresh.append(r)
+            each.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))  # numbers need less room than the runs
         if fresh:
             self._learn(fresh)
-        at = np.fromiter((known[r] for own in parts for r in own), np.int64)
-        ids, upto = _gather(self.run_ids, self.run_begin, at)
-        ends = upto[np.concatenate(([0], np.cumsum([len(own) for own in parts]))).astype(np.int64)]
+        ids, upto = _gather(self.run_ids, self.run_begin, np.concatenate([np.zeros(0, np.int32), *each]))
+        ends = upto[np.concatenate(([0], np.cumsum([len(own) for own in each]))).astype(np.int64)]
         return ids, np.diff(ends)
 
 
@@ -233,10 +234,25 @@ def _passed(docs: DataFrame, first: str, keep: list[str], kind: str) -> tuple[Da
     return out, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:]), kind])
 
 
-def encode(docs: DataFrame, path: str, *, keep: list[str] | None = None) -> DataFrame:
-    """docs (the columns `keep`, by default all) with ids (array<int>) of text, no special tokens added. path: the vocabulary file, read on the driver."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    docs, schema = _passed(docs.withColumn("text", F.col("text").cast("string")), "text", keep, "ids array<int>")
+def _decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list, joined by a space; ids outside the vocabulary are left out."""
+    offsets = np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
+    flat = ids.flatten()
+    inside = np.asarray(pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False))
+    if not inside.all():
+        offsets = np.concatenate(([0], np.cumsum(inside)))[offsets]
+        flat = flat.filter(pa.array(inside))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens.take(flat)), " ")
+
+
+def encode(docs: DataFrame, path: str, *, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """docs (the columns `keep`, by default all) with ids (array<int>) of text, no special tokens added. path: the vocabulary file, read on the driver.
+
+    With decoded also what decode() makes of the ids, in the same Python worker: a second one for each task would hold the vocabulary again.
+    """
+    made = ["ids", *(["decoded"] if decoded else [])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    docs, schema = _passed(docs.withColumn("text", F.col("text").cast("string")), "text", keep, "ids array<int>" + ", decoded string" * decoded)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +262,13 @@ def encode(docs: DataFrame, path: str, *, keep: list[str] | None = None) -> Data
                 part = batch.slice(lo, hi - lo)
                 ids, counts = encoder.encode(part.column(0).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [*part.schema.names[1:], "ids"])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                if decoded:
+                    columns.append(_decoded(columns[0], shared.value.tokens))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*part.schema.names[1:], *made])
 
     out = docs.mapInArrow(run, schema)
-    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "ids")
+    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *made)
 
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str] | None = None) -> DataFrame:
@@ -264,13 +283,7 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str] | None = None) -> D
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
                 ids = pc.fill_null(part.column(0), pa.scalar([], part.schema.field(0).type))
-                offsets = np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
-                flat = ids.flatten()
-                inside = np.asarray(pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False))
-                if not inside.all():
-                    offsets = np.concatenate(([0], np.cumsum(inside)))[offsets]
-                    flat = flat.filter(pa.array(inside))
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens.take(flat)), " ")
+                text = _decoded(ids, tokens)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], text], [*part.schema.names[1:], "decoded"])
 
     out = docs.mapInArrow(run, schema)

@@ -30,8 +30,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
-    decoded = bpe.decode(encoded, VOCABULARY)
+    decoded = bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"], decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

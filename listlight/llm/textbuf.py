@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20  # bytes of text handled at once; a longer document makes a slice of its own
-WINDOW = 1 << 20  # bytes hashed at once
+SLICE = 1 << 20  # bytes of text handled at once; a longer document makes a slice of its own
+WINDOW = 1 << 18  # bytes hashed at once
 _U = np.uint64
 
 
@@ -89,7 +89,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[n
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends[0], base + WINDOW, "right")))
         seg = buf[base : ends[0][j - 1]]
-        size = 1 << max(20, (len(seg) - 1).bit_length())
+        size = 1 << max(18, (len(seg) - 1).bit_length())
         up, down = _powers(size)
         sums = np.zeros(len(seg) + 1, np.uint64)
         np.cumsum(_BYTE[seg] * up[: len(seg)], out=sums[1:])
