@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
+
 CACHE = 150_000  # runs between white space whose ids a partition remembers
 TEXTS = 2 << 20  # characters of text encoded at once
 FRESH = 1 << 16  # new words whose pairs are indexed at once
@@ -267,7 +269,7 @@ def encode(docs: DataFrame, path: str, *, keep: list[str] | None = None, decoded
                     columns.append(_decoded(columns[0], shared.value.tokens))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*part.schema.names[1:], *made])
 
-    out = docs.mapInArrow(run, schema)
+    out = in_batches(docs, run, schema)
     return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *made)
 
 
@@ -286,5 +288,5 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str] | None = None) -> D
                 text = _decoded(ids, tokens)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], text], [*part.schema.names[1:], "decoded"])
 
-    out = docs.mapInArrow(run, schema)
+    out = in_batches(docs, run, schema)
     return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "decoded")

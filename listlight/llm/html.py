@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
+
 DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -299,5 +301,5 @@ def extract(pages: DataFrame, *, column: str = "html", keep: list[str] | None =
                 texts = pa.array([render(x.as_py()) for x in part.column(0)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], texts], [*part.schema.names[1:], "text"])
 
-    out = pages.mapInArrow(run, schema)
+    out = in_batches(pages, run, schema)
     return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "text")

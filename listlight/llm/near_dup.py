@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop, written
+from .shared import drop, in_batches, written
 from .textbuf import LOWER, NOT_SPACE, hash_spans, mix, slices, spans
 
 BANDS, ROWS = 26, 5
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     a pair of similarity 0.85 with probability 3e-7; `miss` bounds what a batch of the Bayesian test adds.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(source.mapInArrow(_features(words), FEATURES), "features")
+    table = written(in_batches(source, _features(words), FEATURES), "features")
     with_set = table.where("n_shingles > 0 and doc_id is not null")
     reps = with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     of_reps = with_set.join(reps.select("rep").distinct(), with_set.doc_id == F.col("rep"), "left_semi")
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
         ids = written(ids.distinct(), "ids")
         few = ids.count() <= BROADCAST_IDS
         kept = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        out = written(kept.select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+        out = written(in_batches(kept.select("doc_id", "text"), _sets(words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
         drop(ids)
         return out
 

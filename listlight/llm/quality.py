@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .samples import labelled_sample
 from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_latin, mix, slices, spans, sums_by
 
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, max_char
     """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, quality)."""
     sample = labelled_sample(docs, labels, "quality", per_class=per_class, max_chars=max_chars)
     schema = "doc_id long, label int, stats array<double>, words array<int>, weights array<float>"
-    rows = sample.mapInArrow(_examples, schema).toArrow().combine_chunks().sort_by("doc_id")
+    rows = in_batches(sample, _examples, schema).toArrow().combine_chunks().sort_by("doc_id")
     stats = np.array(rows["stats"].to_pylist()).reshape(-1, len(STATS))
     population = labels.agg(F.count(F.when(F.col("quality") == 0, 1)), F.count(F.when(F.col("quality") == 1, 1))).first()
     return fit(stats, [np.asarray(x.values) for x in rows["words"]], [np.asarray(x.values) for x in rows["weights"]], rows["label"].to_numpy(), population=tuple(population))
@@ -206,5 +207,5 @@ def score(docs: DataFrame, model: QualityModel, *, keep: list[str] | None = None
                 scores[lo:hi] = _scores(m, *parts)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
 
-    scored = docs.mapInArrow(run, schema)
+    scored = in_batches(docs, run, schema)
     return scored.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

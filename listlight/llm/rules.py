@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .textbuf import NOT_SPACE, code_points, hash_spans, mix, slices, spans, sums_by
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
@@ -91,7 +92,7 @@ def measure(docs: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     keep = [c for c in (docs.columns if keep is None else keep) if c not in MEASURES]
     docs = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), *(f"{m} long" for m in MEASURES)])
-    return docs.mapInArrow(_measure, schema).select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *MEASURES)
+    return in_batches(docs, _measure, schema).select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *MEASURES)
 
 
 def rules() -> dict[str, Column]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .textbuf import LOWER, code_points, slices, spans
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -156,5 +157,5 @@ def scan(docs: DataFrame, *, keep: list[str] | None = None, redact: bool = False
                 more = [pa.array(rows, kind), *([pa.array(texts, pa.string())] if redact else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *more], [*part.schema.names[1:], "spans", *(["redacted"] if redact else [])])
 
-    out = docs.mapInArrow(run, schema)
+    out = in_batches(docs, run, schema)
     return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "spans", *(["redacted"] if redact else []))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _own: list[tuple[SparkSession, str]] = []
 
 
@@ -49,3 +51,16 @@ def _delete_all() -> None:
     for spark, path in _own:
         if spark._sc._jsc is not None:
             _delete(spark, path)
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with Arrow batches of BATCH_ROWS rows and BATCH_BYTES or so: workers and executors hold few texts at once.
+
+    The session's settings are lowered to these; smaller ones stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)

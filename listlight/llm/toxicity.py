@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .samples import labelled_sample
 from .textbuf import ALNUM, hash_spans, lists, lower_latin, slices, spans
 
@@ -217,7 +218,7 @@ def _logits(model: ToxicityModel, table: np.ndarray, words: np.ndarray, first: n
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_chars: int = 20_000) -> ToxicityModel:
     """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, toxic)."""
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class, max_chars=max_chars)
-    rows = sample.mapInArrow(_tokens, "doc_id long, label int, language int, words array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    rows = in_batches(sample, _tokens, "doc_id long, label int, language int, words array<int>").toArrow().combine_chunks().sort_by("doc_id")
     words = [np.asarray(x.values, dtype=np.int32).reshape(-1, 3) for x in rows["words"]]
     return fit(words, rows["label"].to_numpy(), rows["language"].to_numpy())
 
@@ -231,7 +232,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = (m.embedding @ m.filters).astype(np.float32) if m.constant is None else None
+        table = (m.embedding @ m.filters).astype(np.float32, copy=False) if m.constant is None else None
         for batch in batches:
             scores = np.full(len(batch), m.constant or 0.0)
             for lo, hi, words, first, language in _buckets(batch.column(0)) if m.constant is None else ():
@@ -239,5 +240,5 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = Non
                 scores[lo:hi] = 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
 
-    scored = docs.mapInArrow(run, schema)
+    scored = in_batches(docs, run, schema)
     return scored.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
