@@ -1,18 +1,24 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary: the words most frequent in the background
-corpus, all others being one unknown word. Each text gets, per token, the difference between its loss under
-the target and under the background model; low values are like the target.
+A target and a background bigram model share one vocabulary: the words of both corpora, all others being one
+unknown word. Each text gets, per token, the difference between its loss under the target and under the
+background model; low values are like the target.
 
-Both models are counted over all of their corpus: tasks send the n-grams of what they read with counts,
-these are summed, and the histogram of the sums gives the least count at which the table holds at most
-`most` n-grams. Only these tables, bounded by `vocabulary` and `bigrams`, reach the driver and are broadcast.
 p(w | v) = max(c(v, w) - D, 0) / c(v) + left(v) * p(w), p(w) = (c(w) + 1) / (n + words): left(v) is what the
-kept bigrams leave, so each distribution sums to one.
+bigrams of v leave, so each distribution sums to one.
+
+The counts are complete tables of words and bigrams; nothing that grows with the input reaches the driver or
+is broadcast. Texts are coded in chunks of about AT_ONCE tokens as numbers of the chunk's own bigrams. A chunk
+asks for each of its words and bigrams once, the answers are joined by key and go back to the chunk, which
+sums them by text: even the commonest word is asked for by each chunk only once.
+
+With `vocabulary` or `bigrams` given, train makes a bounded model instead: the words most frequent in the
+background and the most frequent bigrams, which is broadcast. The rest is smoothed through what they leave.
 
 Defined cases: a null or empty text, or one without words, has no tokens, losses of 0 and score 0. Without a
 target (or background) text that model is uniform over its vocabulary. Rows that share an id are scored each
-by its own text. Words are runs of letters, digits and non-ASCII bytes, lower-cased (A-Z and Latin-1).
+by its own text. Words are runs of letters, digits and non-ASCII bytes, lower-cased (A-Z and Latin-1), and
+known by 64-bit hashes, as are bigrams where the answers are joined.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ from .textbuf import ALNUM, hash_spans, lower_latin, slices, spans, sums_by
 
 AT_ONCE = 1 << 21  # tokens whose n-grams a task counts together before it sends them
 DISCOUNT = 0.7
+START = 0  # stands before a text's first word
+PAIRS = 1 << 40  # an answer's slot is the place of a word, or PAIRS + that of a bigram
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -135,18 +144,149 @@ def _bigram_model(texts: DataFrame, vocabulary: np.ndarray, most: int) -> Bigram
     return Bigrams(size, unigram, keys, share, left)
 
 
-def train(background: DataFrame, target: DataFrame, *, vocabulary: int = 1 << 16, bigrams: int = 1 << 20) -> DifferenceModel:
-    """Models of the text columns of both tables, counted over all rows; at most `vocabulary` words and `bigrams` pairs are kept."""
+class _Chunk:
+    """The distinct words and bigrams of some texts; START is the last of the words."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray):
+        known, place = np.unique(words, return_inverse=True)
+        size = len(known) + 1
+        pairs, self.at, self.n = np.unique(_bigrams(place, first, size), return_inverse=True, return_counts=True)
+        self.words, self.before, self.word = np.append(known, START), pairs // size, pairs % size
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """(rows, word hashes, first word of each row) of about AT_ONCE tokens; column 0 is the text."""
+    held, parts, counts, n = [], [], [], 0
+    for batch in batches:
+        for lo, hi, words, first in _words(batch.column(0)):
+            held.append(words)
+            parts.append(batch.slice(lo, hi - lo))
+            counts.append(np.diff(first))
+            n += len(words)
+            if n >= AT_ONCE:
+                yield parts, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+                held, parts, counts, n = [], [], [], 0
+    if parts:
+        yield parts, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
+def _all_bigrams(texts: DataFrame) -> DataFrame:
+    """v, w, n: the bigrams of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, first in _chunks(batches):
+            c = _Chunk(words, first)
+            yield pa.RecordBatch.from_arrays([pa.array(c.words[c.before]), pa.array(c.words[c.word]), pa.array(c.n.astype(np.int64))], ["v", "w", "n"])
+
+    return in_batches(texts.select(F.col("text").cast("string").alias("text")), run, "v long, w long, n long")
+
+
+@dataclass
+class CompleteModel:
+    """Both models as tables of counts, b in the background and t in the target."""
+
+    bigrams: DataFrame  # v, w, b, t
+    words: DataFrame  # word, b, t, more: as history (b, t), distinct words after it (b, t)
+    n: tuple[int, int]  # tokens of target and background
+    vocabulary: int  # distinct words
+
+
+def _complete(background: DataFrame, target: DataFrame) -> CompleteModel:
+    none = F.lit(0).cast("long")
+    both = _all_bigrams(background).select("v", "w", F.col("n").alias("b"), none.alias("t")).union(_all_bigrams(target).select("v", "w", none.alias("b"), F.col("n").alias("t")))
+    bigrams = written(both.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
+    zeros = [none.alias(c) for c in ("hb", "ht", "db", "dt")]
+    as_word = bigrams.groupBy(F.col("w").alias("word")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).select("word", "b", "t", *zeros)
+    followed = [F.sum("b").alias("hb"), F.sum("t").alias("ht"), F.sum((F.col("b") > 0).cast("long")).alias("db"), F.sum((F.col("t") > 0).cast("long")).alias("dt")]
+    as_history = bigrams.groupBy(F.col("v").alias("word")).agg(*followed).select("word", none.alias("b"), none.alias("t"), "hb", "ht", "db", "dt")
+    sums = as_word.union(as_history).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("b", "t", "hb", "ht", "db", "dt")])
+    words = written(sums.select("word", "b", "t", F.array("hb", "ht", "db", "dt").alias("more")), "words")
+    n_b, n_t, known = words.agg(F.coalesce(F.sum("b"), none), F.coalesce(F.sum("t"), none), F.coalesce(F.sum((F.col("b") + F.col("t") > 0).cast("long")), none)).first()
+    return CompleteModel(bigrams, words, (n_t, n_b), known)
+
+
+def train(background: DataFrame, target: DataFrame, *, vocabulary: int | None = None, bigrams: int | None = None) -> CompleteModel | DifferenceModel:
+    """Models of the text columns of both tables, counted over all rows; with a bound given, at most `vocabulary` words and `bigrams` pairs are kept."""
+    if vocabulary is None and bigrams is None:
+        return _complete(background, target)
+    vocabulary, bigrams = (1 << 16) if vocabulary is None else vocabulary, (1 << 20) if bigrams is None else bigrams
     words, _ = _most_frequent(written(_counted(background, lambda words, first: words), "words"), vocabulary)
     return DifferenceModel(words, _bigram_model(target, words, bigrams), _bigram_model(background, words, bigrams))
 
 
-def score(docs: DataFrame, model: DifferenceModel, *, keep: list[str] | None = None) -> DataFrame:
+def _log_p(c: np.ndarray, by_word: np.ndarray, by_history: np.ndarray, distinct: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """log p(w | v) of bigrams counted c, from the counts of w, of v and of the words after v."""
+    left = np.where(by_history > 0, DISCOUNT * distinct / np.maximum(by_history, 1), 1.0)
+    return np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(by_history, 1) + left * (by_word + 1) / (n + vocabulary + 1))
+
+
+def _score_complete(docs: DataFrame, model: CompleteModel, schema: str) -> DataFrame:
+    """docs (text, then others): the others with n_tokens and losses."""
+    kept = docs.columns[1:]
+    blobs = ("words", "before", "word")
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, (parts, words, first) in enumerate(_chunks(batches)):
+            c, rows = _Chunk(words, first), len(first) - 1
+            table = pa.Table.from_batches(parts).combine_chunks()
+            others = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in table.columns[1:]]
+            at = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(4 * first.astype(np.int64)), pa.py_buffer(c.at.astype(np.int32))]).cast(pa.binary())
+            once = [pa.array([x.tobytes(), *[None] * (rows - 1)], pa.binary()) for x in (c.words, c.before.astype(np.int32), c.word.astype(np.int32))]
+            chunk = pa.array(np.full(rows, (task << 32) + k))
+            yield pa.RecordBatch.from_arrays([*others, chunk, at, *once], [*kept, "chunk", "at", *blobs])
+
+    coded = written(in_batches(docs, code, ", ".join([*types, "chunk long, at binary", *[f"{b} binary" for b in blobs]])), "coded")
+
+    def asked(pairs: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(len(batch)):
+                    words, before, word = (np.frombuffer(batch.column(j)[r].as_buffer(), np.int32 if j > 1 else np.int64) for j in (1, 2, 3))
+                    keys = [words[before], words[word]] if pairs else [words]
+                    slots = np.arange(len(keys[0])) + (PAIRS if pairs else 0)
+                    chunk = np.full(len(slots), batch.column(0)[r].as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, slots, *keys)], ["chunk", "slot", *(["v", "w"] if pairs else ["word"])])
+
+        return in_batches(coded.where("words is not null").select("chunk", *blobs), run, "chunk long, slot long, " + ("v long, w long" if pairs else "word long"))
+
+    key = F.xxhash64("v", "w").alias("key")
+    pairs = asked(True).select("chunk", "slot", key).join(model.bigrams.select(key, "b", "t"), "key")
+    answers = pairs.select("chunk", "slot", "b", "t", F.lit(None).cast("array<long>").alias("more")).union(asked(False).join(model.words, "word").select("chunk", "slot", "b", "t", "more"))
+    n, vocabulary = model.n, model.vocabulary
+
+    def losses(texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts, found = texts.combine_chunks(), found.combine_chunks()
+        blob = {b: np.frombuffer(texts[b].drop_null()[0].as_buffer(), np.int64 if b == "words" else np.int32) for b in blobs}
+        slot, counts = found["slot"].to_numpy(), [found[c].to_numpy() for c in ("t", "b")]
+        of_word = slot < PAIRS
+        more = np.zeros((len(blob["words"]), 4))
+        if of_word.any():
+            more[slot[of_word]] = found["more"].drop_null().combine_chunks().flatten().to_numpy().reshape(-1, 4)
+        at = [np.frombuffer(x.as_buffer(), np.int32) for x in texts["at"].combine_chunks()]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int64)
+        at, out = np.concatenate(at), []
+        for k, x in enumerate(counts):  # target, background: t and b stand the other way round in `more`
+            c, by_word = np.zeros(len(blob["word"])), np.zeros(len(blob["words"]))
+            c[slot[~of_word] - PAIRS], by_word[slot[of_word]] = x[~of_word], x[of_word]
+            log_p = _log_p(c, by_word[blob["word"]], more[blob["before"], 1 - k], more[blob["before"], 3 - k], n[k], vocabulary)
+            out.append(pa.array(-sums_by(log_p[at], first) / np.maximum(np.diff(first), 1)))
+        return pa.table([*[texts[c] for c in kept], pa.array(np.diff(first)), *out], names=[*kept, "n_tokens", "target_loss", "background_loss"])
+
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(losses, schema)
+
+
+def score(docs: DataFrame, model: CompleteModel | DifferenceModel, *, keep: list[str] | None = None) -> DataFrame:
     """docs (the columns `keep`, by default all) with n_tokens, target_loss and background_loss (nats a token) and score, their difference."""
     made = ("n_tokens", "target_loss", "background_loss", "score")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     docs = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), "n_tokens long, target_loss double, background_loss double"])
+    difference = F.col("target_loss") - F.col("background_loss")
+    made_of = lambda out: out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *made[:3], difference.alias("score"))
+    if isinstance(model, CompleteModel):
+        return made_of(_score_complete(docs, model, schema))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +299,4 @@ def score(docs: DataFrame, model: DifferenceModel, *, keep: list[str] | None = N
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n.astype(np.int64)), *map(pa.array, losses)], [*part.schema.names[1:], *made[:3]])
 
-    out = in_batches(docs, run, schema)
-    difference = F.col("target_loss") - F.col("background_loss")
-    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *made[:3], difference.alias("score"))
+    return made_of(in_batches(docs, run, schema))

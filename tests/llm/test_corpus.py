@@ -295,6 +295,33 @@ def test_lm_bounds_and_empty(spark, docs):
     assert all(r["score"] == 0 for r in lm.score(docs, none).collect())
 
 
+def test_lm_keeps_rare_words_and_pairs(spark):
+    """More words than the bounded model holds, each seen once in the background; words that only the target has; unknown ones."""
+    rare = [" ".join(f"r{d}x{k}" for k in range(350)) for d in range(200)]
+    back, near = [*rare, *["hot pair"] * 50], ["r7x1 r7x2 r7x3 only here", "hot pair r7x1", None]
+    asked = [rare[7], "r7x1 r7x2 r7x3", "r7x1 unseen only here hot pair", "hot pair", "", None]
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score(table(asked), lm.train(table(back), table(near)), keep=["doc_id"]).collect()}
+    assert len(got) == len(asked)
+    words = lambda t: (t or "").split()
+    vocabulary = {w for t in [*back, *near] for w in words(t)}
+
+    def loss(corpus, text):
+        uni, bi, history, after = Counter(), Counter(), Counter(), Counter()
+        for t in corpus:
+            for v, w in zip([None, *words(t)], words(t)):
+                after[v] += (v, w) not in bi
+                uni[w] += 1
+                bi[v, w] += 1
+                history[v] += 1
+        p = lambda v, w: (max(bi[v, w] - 0.7, 0) / history[v] if history[v] else 0) + (0.7 * after[v] / history[v] if history[v] else 1) * (uni[w] + 1) / (uni.total() + len(vocabulary) + 1)
+        return -np.mean([np.log(p(v, w)) for v, w in zip([None, *words(text)], words(text))]) if words(text) else 0.0
+
+    for k, t in enumerate(asked):
+        assert got[k]["n_tokens"] == len(words(t))
+        assert np.isclose(got[k]["target_loss"], loss(near, t)) and np.isclose(got[k]["background_loss"], loss(back, t))
+
+
 def test_html_query_covers_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = queries.op6_html(spark, SF).collect()
