@@ -1,13 +1,13 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
 Vectors are quantised to integers and assigned to the nearest of some pivots. From the summaries of the
-cells (rows, largest distance to the pivot) and of the query groups (queries of one cell) come bounds: for
+cells (ids, largest distance to the pivot) and of the query groups (queries of one cell) come bounds: for
 q = p + a in group G and x = r + b in cell C, q.x lies within p.r +- (|a||r| + |p||b| + |a||b|). The k-th
-best lower bound of a group, counting rows, is a score that each of its queries surely reaches; a cell
+best lower bound of a group, counting each id in one cell only, is a score that each of its queries surely reaches; a cell
 whose upper bound lies below it is not needed for the group. Needed pairs of group and cell are solved
 locally. Queries are a small part of the rows, so they are what is replicated: a cell's rows stay where
 they are, in blocks of bounded size however hot the cell, and each block receives the queries of the groups
-that need it. Each returns its k best per query; these are merged.
+that need it. Each returns its k best ids per query, by the best score of each; these are merged.
 
 Defined cases: null vectors and those with null or non-finite components take no part, nor do rows without
 a vec_id. Shorter vectors count as padded with zeros. Rows that share a vec_id count as one candidate with
@@ -85,13 +85,19 @@ def _solve(k: int, dims: int):
 
     def best(data: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         of, rows = np.concatenate([d[0] for d in data]), np.concatenate([d[1] for d in data])
+        order = np.argsort(of, kind="stable")
+        of, rows = of[order], rows[order]
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        known = of[begin]
         out = [[], [], []]
         step = max(1, AT_ONCE // len(of))
         for lo in range(0, len(ids), step):
             scores = _product(x[lo : lo + step], rows)
-            scores[ids[lo : lo + step, None] == of[None, :]] = np.iinfo(np.int64).min
-            r, c = _best(scores, of, k)
-            for o, v in zip(out, (ids[lo + r], of[c], scores[r, c])):
+            if len(known) < len(of):
+                scores = np.maximum.reduceat(scores, begin, axis=1)
+            scores[ids[lo : lo + step, None] == known[None, :]] = np.iinfo(np.int64).min
+            r, c = _best(scores, known, k)
+            for o, v in zip(out, (ids[lo + r], known[c], scores[r, c])):
                 o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
@@ -124,7 +130,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
     usable = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ints = F.transform(e, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     table = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("query")).where(usable)
-    table = written(table.select("vec_id", "query", ints.alias("v")), "ints")
+    table = table.select("vec_id", "query", ints.alias("v")).groupBy("vec_id", "v").agg(F.max("query").alias("query"))
+    table = written(table.select("vec_id", "query", "v"), "ints")
     rows, dims = table.agg(F.count("*"), F.max(F.size("v"))).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not rows or not dims:
@@ -145,13 +152,16 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
 
     placed = written(table.mapInArrow(assign, "vec_id long, query boolean, v array<long>, cell int, reach double"), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius"), F.max(F.when(F.col("query"), F.col("reach"))).alias("of_queries")).collect()  # a row for each pivot
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in summary}
+    home = placed.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").count()  # vectors of one id may lie in several cells
+    ids = {r["cell"]: r["count"] for r in home.collect()}
+    rows_of = {r["cell"]: r["n"] for r in summary}
+    cells = {r["cell"]: (ids.get(r["cell"], 0), r["radius"]) for r in summary}
     groups = {r["cell"]: r["of_queries"] for r in summary if r["of_queries"] is not None}
     pairs = _needed(pivots, cells, groups, k)
     if not pairs:
         return spark.createDataFrame([], result)
-    needs = F.broadcast(spark.createDataFrame([(g, c, -(-cells[c][0] // BLOCK)) for g, c in pairs], "cell int, need int, blocks int"))  # pivots squared at most
-    blocks = F.broadcast(spark.createDataFrame([(c, -(-n // BLOCK)) for c, (n, _) in cells.items()], "cell int, blocks int"))
+    needs = F.broadcast(spark.createDataFrame([(g, c, -(-rows_of[c] // BLOCK)) for g, c in pairs], "cell int, need int, blocks int"))  # pivots squared at most
+    blocks = F.broadcast(spark.createDataFrame([(c, -(-n // BLOCK)) for c, n in rows_of.items()], "cell int, blocks int"))
 
     data = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
     asked = placed.where("query").join(needs, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -188,6 +188,26 @@ def test_knn_hot_vectors_and_odd_rows(spark):
     assert sorted(tuple(r)[:2] for r in knn.nearest(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1), (0, 2)]
 
 
+def test_knn_repeated_ids_are_one_candidate(spark):
+    """A near vector stored six times, an id with two vectors, a query stored twice and with another vector."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(0, 0.3, 4)]) for k in range(400)]
+    rows += [(7, [2.0] * 4)] * 6 + [(11, [1.9] * 4), (11, [-1.9] * 4)] * 4 + [rows[50]] * 3 + [(50, [-1.0, 0.5, -1.0, 0.5])] + [(100, [1.0] * 4)]
+    best = {}
+    ints = [(i, np.array([int(np.floor(256 * float(np.float32(c)))) for c in v])) for i, v in rows]
+    for q, x in ints:
+        if q % 50 == 0:
+            for c, y in ints:
+                if c != q:
+                    best[q, c] = max(best.get((q, c), -(1 << 60)), int(x @ y))
+    expected = []
+    for q in range(0, 400, 50):
+        of = sorted((-s, c) for (a, c), s in best.items() if a == q)[:5]
+        expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(of)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    assert sorted(tuple(r) for r in knn.nearest(df, F.col("vec_id") % 50 == 0).collect()) == expected
+
+
 def test_knn_bounds_prune_far_cells():
     pivots = np.array([[100, 0], [-100, 0]])
     cells, groups = {0: (10, 5.0), 1: (10, 5.0)}, {0: 1.0}
