@@ -45,6 +45,8 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 CLOSES_P = (BLOCKS - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot", "optgroup", "option", "select", "textarea", "legend"}) | {"p"}
+#: Elements in a table that are rendered as they are, even with cells inside.
+NO_WRAPPER = frozenset("table caption details ul ol li pre blockquote dd textarea select".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "html"})
 
 _TAG = re.compile(r"<!--(.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
@@ -122,7 +124,8 @@ def parse(page: str) -> tuple[Node, set[str]]:
             elif tag == "textarea":
                 node.children.append(unescape(content))
         elif tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
-            if len(stack) < DEPTH:
+            in_rows = tag == "form" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr")  # such a form holds nothing, as in browsers
+            if len(stack) < DEPTH and not in_rows:
                 stack.append(node)
     return root, hidden
 
@@ -174,25 +177,44 @@ class Flow:
         self.gap = max(self.gap, gap)
 
 
-def _cells(node: Node, hidden: set[str]) -> list[list[tuple[Node, int]]]:
-    """Rows of (cell, columns) of a table, without those of tables inside it."""
+def _holds_cells(node: Node) -> bool:
+    """Whether rows or cells stand in an element that is no table and lays nothing out itself."""
+    return node.tag not in NO_WRAPPER and any(isinstance(x, Node) and (x.tag in ("tr", "td", "th") or _holds_cells(x)) for x in node.children)
+
+
+def _cells(node: Node, hidden: set[str], strays: list[Node | str], row: list | None = None) -> list[list[tuple[Node, int]]]:
+    """Rows of (cell, columns) of a table, without those of tables inside it; what stands outside of cells goes to strays."""
     rows = []
     for x in node.children:
-        if isinstance(x, Node) and visible(x, hidden):
-            if x.tag == "tr":
-                span = lambda c: int(c.attributes["colspan"]) if c.attributes.get("colspan", "").isdigit() else 1
-                rows.append([(c, max(1, min(span(c), 100))) for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, hidden)])
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                rows += _cells(x, hidden)
+        if isinstance(x, str):
+            strays.append(x)
+        elif not visible(x, hidden):
+            continue
+        elif x.tag == "tr":
+            rows.append([])
+            strays.append(" ")
+            rows += _cells(x, hidden, strays, rows[-1])
+            strays.append(" ")
+        elif x.tag in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            span = x.attributes.get("colspan", "")
+            row.append((x, max(1, min(int(span) if span.isdecimal() else 1, 100))))
+        elif x.tag in ("thead", "tbody", "tfoot", "colgroup") or _holds_cells(x):
+            rows += _cells(x, hidden, strays, row)
+        else:
+            strays.append(x)
     return rows
 
 
 def _table(node: Node, flow: Flow, hidden: set[str]) -> None:
-    for x in node.children:  # what stands outside of rows and cells is shown before the table
-        if isinstance(x, str) or x.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            _render(x, flow, hidden, False)
+    strays: list[Node | str] = []
+    found = _cells(node, hidden, strays)
+    for x in strays:  # what stands outside of cells is shown before the table
+        _render(x, flow, hidden, False)
     flow.end(0)
-    rows = [[(_lines(c, hidden), n) for c, n in row] for row in _cells(node, hidden)]
+    rows = [[(_lines(c, hidden), n) for c, n in row] for row in found]
     widths: list[int] = []
     for row in rows:
         at = 0

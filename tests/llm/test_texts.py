@@ -150,6 +150,22 @@ def test_html_layout(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr>stray</tr><tr>more</tr><tr><td>a<td>b</table>", "stray more\na  b"),
+        ("<table><tr><a>link</a><td>a<td>b</table>", "link\na  b"),
+        ("<table><tbody>text<tr><td>a<td>b</table>", "text\na  b"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>longer<td>d</table>", "a       b\nlonger  d"),
+        ("<table><form>ask<tr><td>a<td>b</tr><tr><td>c</tr></form></table>", "ask\na  b\nc"),
+        ("<table><tr><td>a<td>b<details><summary>S</summary>no</details></tr><tr hidden>no<td>no</table>", "a  b\n   S"),
+        ("<table><tr><form hidden><td>a</form><td>b</table>", "a  b"), ("<table><tr><div>x<td>a<td>b</div></table>", "x\na  b"),
+    ],
+)
+def test_html_tables_lose_no_text(page, text):
+    assert html.render(page) == text
+
+
 def test_html_deep_and_long():
     assert html.render("<div>" * 20_000 + "deep") == "deep"
     assert html.render("<td>x" * 3_000).split() == ["x"] * 3_000
