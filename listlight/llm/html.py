@@ -4,6 +4,7 @@ Blocks start on lines of their own, paragraphs and the like with an empty line b
 outside <pre>; list items are marked and indented by depth; table cells are padded to columns. Invisible
 are elements that are never shown (script, style, head, template ...), those with `hidden`, or hidden by their
 own style or by a simple selector (tag, .class, #id) of the page's style sheets, and the closed part of details.
+Rules count that hold on any screen, and the last one for a selector and property (an important one first).
 
 Defined cases: a null or empty page renders as the empty string. Unclosed, misnested and stray tags never
 fail: an end tag without a start is left out, a `<` that starts no tag is text, elements nested deeper than
@@ -52,7 +53,10 @@ SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "html"})
 _TAG = re.compile(r"<!--(.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_NO_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
+_BRACE = re.compile(r"[{};]")
+_SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
+_SHOWING = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -63,10 +67,41 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+def _screen(media: str) -> bool:
+    return any(_SCREEN.fullmatch(m) for m in media.split(","))
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on any screen, in order."""
+    css = _NO_CSS.sub(" ", css)
+    blocks: list[tuple[str, str, list[str]]] = []  # open ones: kind (list, style or skip), selectors, declarations
+    at = 0
+    for m in _BRACE.finditer(css):
+        part, at = css[at : m.start()], m.end()
+        kind = blocks[-1][0] if blocks else "list"
+        if m[0] == "{":
+            head = part.strip()
+            if kind != "list":
+                inner = "skip"  # a nested rule has other selectors
+            elif not head.startswith("@"):
+                inner = "style"
+            else:
+                name, _, of = head[1:].partition(" ") if " " in head else (head[1:].partition("(")[0], "", "(" if "(" in head else "")
+                inner = "list" if name.lower() == "media" and _screen(of) or name.lower() == "layer" else "skip"
+            blocks.append((inner, head, []))
+        else:
+            if kind == "style":
+                blocks[-1][2].append(part)
+            if m[0] == "}" and blocks:
+                kind, selectors, declarations = blocks.pop()
+                if kind == "style":
+                    yield selectors, ";".join(declarations)
+
+
 def parse(page: str) -> tuple[Node, set[str]]:
     """(root, selectors that its style sheets hide)."""
     root = Node("html", {})
-    stack, hidden, at = [root], set(), 0
+    stack, hiding, at = [root], {}, 0  # hiding: (selector, property) to (important, hides)
 
     def text(s: str) -> None:
         if s:
@@ -117,17 +152,21 @@ def parse(page: str) -> tuple[Node, set[str]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             content = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
-            if tag == "style":
-                for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", content, flags=re.S)):
-                    if _HIDING.search(body):
-                        hidden |= {s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+            if tag == "style" and _screen(attributes.get("media", "")):
+                for selectors, body in _rules(content):
+                    simple = [x.strip().lower() for x in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", x)]
+                    for d in filter(None, map(_SHOWING.fullmatch, body.split(";") if simple else ())):
+                        now = bool(d[3]), d[2].lower() in (("none",) if d[1].lower() == "display" else ("hidden", "collapse"))
+                        for x in simple:
+                            if now[0] or not hiding.get((x, d[1].lower()), now)[0]:
+                                hiding[x, d[1].lower()] = now
             elif tag == "textarea":
                 node.children.append(unescape(content))
         elif tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
             in_rows = tag == "form" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr")  # such a form holds nothing, as in browsers
             if len(stack) < DEPTH and not in_rows:
                 stack.append(node)
-    return root, hidden
+    return root, {x for (x, _), (_, hides) in hiding.items() if hides}
 
 
 def visible(node: Node, hidden: set[str]) -> bool:

@@ -166,6 +166,20 @@ def test_html_tables_lose_no_text(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "css, shown",
+    [
+        ("@media print { .x{display:none} body{display:none} }", True), ("@media (max-width:600px){.x{display:none}}", True), ("@media screen and (max-width: 9em){.x{display:none}}", True),
+        ("@media(min-width:1px){.x{display:none}} i{color:red}", True), ("@supports (display:grid){ @media screen{.x{display:none}} }", True), ("@keyframes a{ from{visibility:hidden} .x{display:none} }", True),
+        (".x{display:none} .x{display:block}", True), (".x{visibility:hidden}.x{visibility:visible}", True), (".x{display:none!important} .x{display:block}", False), (".x{display:block} .x{display:none}", False),
+        ("@import 'a.css'; @media screen{.x{display:none}}", False), ("@media only screen, print{ i{color:red} .x , p{ color:red; display : none } }", False), ("@media print{i{display:none}} .x{display:none}", False),
+        ("/* { */ .x{content:'}'; display:none}", False), ("@layer base{.x{display:none}}", False), (".x{visibility:hidden}.x{display:block}", False), ("@charset 'utf-8';.x{display:none", True),
+    ],
+)
+def test_html_style_sheets(css, shown):
+    assert html.render(f"<style>{css}</style><body><b class=x>text</b> end") == ("text end" if shown else "end")
+
+
 def test_html_deep_and_long():
     assert html.render("<div>" * 20_000 + "deep") == "deep"
     assert html.render("<td>x" * 3_000).split() == ["x"] * 3_000
