@@ -3,9 +3,9 @@
 Base spans, leftmost and without overlap for each kind: assign (a name such as password or api_key, a
 separator and a value of six characters or more), access (AKIA and capitals or digits, 20 characters or
 more), hex (24 lower-case hex digits or more). The entropy pass takes runs of [A-Za-z0-9+/_=-] of WINDOW
-characters or more, slides a window over each, updates sum(c * log2 c) from the counts that change, and
-reports the union of the windows at or over the threshold of the run's character class, unless the
-allow-list or a base span covers it.
+characters or more, and their pieces between symbols of that length, slides a window over each, updates
+sum(c * log2 c) from the counts that change, and takes the union of the windows at or over the threshold of
+the character class of the run or piece. What base spans leave of it is reported, unless the allow-list covers it.
 
 Defined cases: a null or empty text has no spans. Offsets are code points, the end exclusive. Spans are
 sorted by start, then by kind in the order of KINDS. Rows that share a doc_id are scanned each by its own
@@ -45,6 +45,8 @@ def _lut(chars: bytes) -> np.ndarray:
 
 _HEX = _lut(b"0123456789abcdef")
 _RUN = _lut(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_SYMBOL = re.compile(rb"[+/_=-]")
+_PIECE = re.compile(rb"[A-Za-z0-9]{%d,}" % WINDOW)
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -61,6 +63,32 @@ def _class(run: bytes) -> str | None:
 
 
 def entropy_spans(run: bytes) -> list[tuple[int, int]]:
+    """The unions of the windows of a run, and of its pieces between symbols, that reach the threshold of the run's or piece's class."""
+    found = _windows(run)
+    if _SYMBOL.search(run):
+        for m in _PIECE.finditer(run):
+            found += [(m.start() + a, m.start() + b) for a, b in _windows(m[0])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _left(a: int, b: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no base span covers."""
+    for p, q, _ in sorted(base):
+        if q > a and p < b:
+            if p > a:
+                yield a, p
+            a = max(a, q)
+    if a < b:
+        yield a, b
+
+
+def _windows(run: bytes) -> list[tuple[int, int]]:
     """The unions of a run's windows that reach its class's threshold."""
     kind = _class(run)
     if kind is None or len(run) < WINDOW or ALLOWED.fullmatch(run):
@@ -114,8 +142,10 @@ def _scan(buf: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, s
     for d, a, b in runs(_RUN, WINDOW):
         for x, y in entropy_spans(whole[a:b]):
             x, y = a + x - int(offs[d]), a + y - int(offs[d])
-            if not any(p < y and x < q for p, q, _ in base.get(d, ())):
-                found.setdefault(d, []).append((x, y, "entropy"))
+            near = [s for s in base.get(d, ()) if s[0] < y and x < s[1]]
+            for p, q in _left(x, y, near):
+                if not near or not ALLOWED.fullmatch(whole[offs[d] + p : offs[d] + q]):
+                    found.setdefault(d, []).append((p, q, "entropy"))
     for x in found.values():
         x.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return found
