@@ -7,38 +7,49 @@ background model; low values are like the target.
 p(w | v) = max(c(v, w) - D, 0) / c(v) + left(v) * p(w), p(w) = (c(w) + 1) / (n + words): left(v) is what the
 bigrams of v leave, so each distribution sums to one.
 
-The counts are complete tables of words and bigrams; nothing that grows with the input reaches the driver or
-is broadcast. Texts are coded in chunks of about AT_ONCE tokens as numbers of the chunk's own bigrams. A chunk
-asks for each of its words and bigrams once, the answers are joined by key and go back to the chunk, which
-sums them by text: even the commonest word is asked for by each chunk only once.
-
-With `vocabulary` or `bigrams` given, train makes a bounded model instead: the words most frequent in the
-background and the most frequent bigrams, which is broadcast. The rest is smoothed through what they leave.
+The counts are complete: every word and bigram of both corpora is kept, in tables; nothing that grows with
+the input reaches the driver or is broadcast. Texts are taken in chunks of about AT_ONCE tokens, within which
+each word and each bigram counts, asks and is answered once, so even the commonest one is sent no more
+often than there are chunks. Keys (64-bit hashes) belong to as many ranges as the corpora need for a range
+to fit into a task, and travel as one packed array for each chunk and range. Training sums the arrays of a
+range; scoring looks a chunk's keys up in their ranges, and the answers go back to the chunk, which sums the
+losses of its texts. Scoring takes the texts in ROUNDS parts, one after the other, so that the disk holds the
+questions and answers of a part only.
 
 Defined cases: a null or empty text, or one without words, has no tokens, losses of 0 and score 0. Without a
-target (or background) text that model is uniform over its vocabulary. Rows that share an id are scored each
-by its own text. Words are runs of letters, digits and non-ASCII bytes, lower-cased (A-Z and Latin-1), and
-known by 64-bit hashes, as are bigrams where the answers are joined.
+target (or background) text that model is uniform over the vocabulary. Rows that share an id are scored each
+by its own text, repeated texts count as often as they occur, and columns named like the results are
+replaced. A text longer than a chunk makes a chunk of its own. Words are runs of letters, digits and
+non-ASCII bytes, lower-cased (A-Z and Latin-1).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, in_batches, written
-from .textbuf import ALNUM, hash_spans, lower_latin, slices, spans, sums_by
+from .shared import drop, in_batches, written, written_apart
+from .textbuf import ALNUM, hash_spans, lower_latin, mix, slices, spans, sums_by
 
-AT_ONCE = 1 << 21  # tokens whose n-grams a task counts together before it sends them
+AT_ONCE = 1 << 20  # tokens of a chunk
+RANGE_BYTES = 1 << 24  # bytes of text for each range of keys
+ROUNDS = 2  # parts in which texts are scored
 DISCOUNT = 0.7
 START = 0  # stands before a text's first word
-PAIRS = 1 << 40  # an answer's slot is the place of a word, or PAIRS + that of a bigram
+PAIRS, WORDS = 0, 1  # kinds of keys
+MADE = ("n_tokens", "target_loss", "background_loss", "score")
+#: A row for each range, of packed arrays: keys (ascending), their counts in background and target; for words also their
+#: counts as history (b, t) and of the distinct words after them (b, t).
+COUNTS = "range long, keys binary, b binary, t binary, more binary"
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -46,172 +57,178 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     for lo, hi, buf, offs in slices(column):
         low = lower_latin(buf)
         starts, ends, first = spans(low, offs, ALNUM)
-        yield lo, hi, hash_spans(low, starts, ends)[0].view(np.int64), first
+        yield lo, hi, hash_spans(low, starts, ends)[0], first
 
 
-def _ids(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Place in the sorted vocabulary plus one; 0 is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    at = np.searchsorted(vocabulary, words).clip(0, len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at + 1, 0)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """(rows, word hashes, first word of each row) of about AT_ONCE tokens; column 0 is the text."""
+    held, parts, counts, n = [], [], [], 0
 
+    def chunk():
+        return parts, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
-def _bigrams(ids: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Previous id * size + id; before a document's first word comes `size - 1`."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = size - 1
-    return before * size + ids
+    for batch in batches:
+        for lo, hi, words, first in _words(batch.column(0)):
+            held.append(words)
+            parts.append(batch.slice(lo, hi - lo))
+            counts.append(np.diff(first))
+            n += len(words)
+            if n >= AT_ONCE:
+                yield chunk()
+                held, parts, counts, n = [], [], [], 0
+    if parts:
+        yield chunk()
 
 
-def _counted(texts: DataFrame, keys) -> DataFrame:
-    """key, n: sums over all texts of the keys of each slice."""
+def _numbered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, the most frequent first, and each token's place among them."""
+    known, place, n = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return known[order], rank[place]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def sent():
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(count.astype(np.int64))], ["key", "n"])
+class _Chunk:
+    """Words and bigrams of a chunk, each once and in ascending order of their hashes, as places in `known`."""
 
-        for batch in batches:
-            for _, _, words, first in _words(batch.column(0)):
-                held.append(keys(words, first))
-                n += len(words)
-                if n >= AT_ONCE:
-                    yield sent()
-                    held, n = [], 0
-        if held:
-            yield sent()
-
-    return in_batches(texts.select(F.col("text").cast("string").alias("text")), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and counts of the n-grams with at least the smallest count that leaves `most` or fewer."""
-    bins = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("least")).count().collect()  # 65,536 rows at most
-    least, total = (1 << 16) + 1, 0
-    for r in sorted(bins, key=lambda r: -r["least"]):
-        if total + r["count"] > most:
-            break
-        least, total = r["least"], total + r["count"]
-    kept = counts.where(F.col("n") >= least).toArrow().combine_chunks()
-    key, n = kept["key"].to_numpy(), kept["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, first: np.ndarray):
+        self.known, size = np.append(words, np.uint64(START)), len(words) + 1
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = tokens[:-1]
+        before[first[:-1][np.diff(first) > 0]] = size - 1
+        pairs, at, n = np.unique(before * size + tokens, return_inverse=True, return_counts=True)
+        key = _key(self.known[pairs // size], self.known[pairs % size])
+        order = np.argsort(key)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.key, self.n, self.at = key[order], n[order], rank[at]
+        self.v, self.w = pairs[order] // size, pairs[order] % size
+        self.by_hash = np.argsort(self.known)
 
 
-@dataclass
-class Bigrams:
-    """One model over word ids 0 .. size - 2; size - 1 stands before a text's first word."""
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * _SECOND + mix(w))
 
-    size: int
-    unigram: np.ndarray  # log p(w), by id
-    keys: np.ndarray  # kept bigrams, ascending
-    share: np.ndarray  # max(c(v, w) - D, 0) / c(v) of each
-    left: np.ndarray  # by v
 
-    def log_p(self, pairs: np.ndarray) -> np.ndarray:
-        p = self.left[pairs // self.size] * np.exp(self.unigram[pairs % self.size])
-        if len(self.keys):
-            at = np.searchsorted(self.keys, pairs).clip(0, len(self.keys) - 1)
-            p = p + np.where(self.keys[at] == pairs, self.share[at], 0.0)
-        return np.log(p)
+def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash; it rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-@dataclass
-class DifferenceModel:
-    vocabulary: np.ndarray
-    target: Bigrams
-    background: Bigrams
-
-
-def _bigram_model(texts: DataFrame, vocabulary: np.ndarray, most: int) -> Bigrams:
-    size = len(vocabulary) + 2
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    counts = written(_counted(texts, lambda words, first: _bigrams(_ids(shared.value, words), first, size)), "bigrams")
-    # Sums by word and by history over all bigrams, kept or not: a row for each id at most.
-    by_word, by_history = np.zeros(size), np.zeros(size)
-    for out, key in ((by_word, F.col("key") % size), (by_history, F.floor(F.col("key") / F.lit(size)))):
-        sums = counts.groupBy(key.cast("long").alias("id")).agg(F.sum("n").alias("n")).toArrow().combine_chunks()
-        out[sums["id"].to_numpy()] = sums["n"].to_numpy()
-    keys, n = _most_frequent(counts, most)
-    drop(counts)
-    share = np.maximum(n - DISCOUNT, 0) / np.maximum(by_history[keys // size], 1)
-    left = 1 - np.bincount(keys // size, share, minlength=size) if len(keys) else np.ones(size)
-    unigram = np.log((by_word + 1) / (by_word.sum() + size - 1))
-    return Bigrams(size, unigram, keys, share, left)
+def _packed(values: np.ndarray, counts) -> pa.Array:
+    """Consecutive values as binaries, of as many as `counts` says each."""
+    offsets = np.concatenate(([0], np.cumsum(counts))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-class _Chunk:
-    """The distinct words and bigrams of some texts; START is the last of the words."""
+def _flat(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    """The values of all packed arrays of a column in a row."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = []
+    for x in chunks:
+        _, offsets, data = x.buffers()
+        if len(x) and data is not None:
+            offsets = np.frombuffer(offsets, np.int32)
+            parts.append(np.frombuffer(data, np.uint8)[offsets[x.offset] : offsets[x.offset + len(x)]])
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
 
-    def __init__(self, words: np.ndarray, first: np.ndarray):
-        known, place = np.unique(words, return_inverse=True)
-        size = len(known) + 1
-        pairs, self.at, self.n = np.unique(_bigrams(place, first, size), return_inverse=True, return_counts=True)
-        self.words, self.before, self.word = np.append(known, START), pairs // size, pairs % size
 
+def _lengths(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    return pc.binary_length(column).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """(rows, word hashes, first word of each row) of about AT_ONCE tokens; column 0 is the text."""
-    held, parts, counts, n = [], [], [], 0
-    for batch in batches:
-        for lo, hi, words, first in _words(batch.column(0)):
-            held.append(words)
-            parts.append(batch.slice(lo, hi - lo))
-            counts.append(np.diff(first))
-            n += len(words)
-            if n >= AT_ONCE:
-                yield parts, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-                held, parts, counts, n = [], [], [], 0
-    if parts:
-        yield parts, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
+def _summed(place: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(place, n, size).astype(np.int64)
 
-def _all_bigrams(texts: DataFrame) -> DataFrame:
-    """v, w, n: the bigrams of each chunk."""
+
+def _sent(texts: DataFrame, ranges: int, target: bool) -> DataFrame:
+    """range, v, after, w, n, target: the bigrams of each chunk by first word, how many follow it, these, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, first in _chunks(batches):
-            c = _Chunk(words, first)
-            yield pa.RecordBatch.from_arrays([pa.array(c.words[c.before]), pa.array(c.words[c.word]), pa.array(c.n.astype(np.int64))], ["v", "w", "n"])
-
-    return in_batches(texts.select(F.col("text").cast("string").alias("text")), run, "v long, w long, n long")
+            c = _Chunk(*_numbered(words), first)
+            of = _range(c.key, ranges)
+            order = np.lexsort((c.v, of))
+            of, v = of[order], c.v[order]
+            new = np.concatenate(([True], (of[1:] != of[:-1]) | (v[1:] != v[:-1]))) if len(of) else np.zeros(0, bool)
+            starts = np.flatnonzero(new)
+            found, n = np.unique(of, return_counts=True)
+            firsts = np.unique(of[starts], return_counts=True)[1]
+            after = np.diff(np.append(starts, len(of))).astype(np.int32)
+            columns = [pa.array(found.astype(np.int64)), _packed(c.known[v[starts]], firsts), _packed(after, firsts), _packed(c.known[c.w[order]], n), _packed(c.n[order].astype(np.int32), n), pa.array(np.full(len(found), target))]
+            yield from _in_slices(pa.RecordBatch.from_arrays(columns, ["range", "v", "after", "w", "n", "target"]))
+
+    return in_batches(texts.select(F.col("text").cast("string").alias("text")), run, "range long, v binary, after binary, w binary, n binary, target boolean")
+
+
+def _in_slices(batch: pa.RecordBatch, rows: int = 16) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(batch), rows):
+        yield batch.slice(lo, rows)
+
+
+def _counted(ranges: int):
+    """The counts of a range's bigrams in both corpora, and what these bigrams say of their words."""
+
+    def run(found: pa.Table) -> pa.Table:
+        v = np.repeat(_flat(found["v"], np.uint64), _flat(found["after"], np.int32))
+        w, n = _flat(found["w"], np.uint64), _flat(found["n"], np.int32)
+        target = np.repeat(found["target"].to_numpy(), _lengths(found["n"], np.int32))
+        keys, one, place = np.unique(_key(v, w), return_index=True, return_inverse=True)
+        b, t = (_summed(place, np.where(x, n, 0), len(keys)) for x in (~target, target))
+        words, at = np.unique(np.concatenate((v[one], w[one])), return_inverse=True)
+        as_v, as_w = at[: len(keys)], at[len(keys) :]
+        by_word = [_summed(as_w, x, len(words)) for x in (b, t)]
+        by_history = np.stack([_summed(as_v, x, len(words)) for x in (b, t, b > 0, t > 0)], 1)
+        of, size = np.unique(_range(words, ranges), return_counts=True)
+        sizes = np.concatenate(([len(keys)], size))
+        return pa.table(
+            {
+                "range": np.concatenate((found["range"].to_numpy()[:1], of.astype(np.int64))),
+                "keys": _packed(np.concatenate((keys, words)), sizes),
+                "b": _packed(np.concatenate((b, by_word[0])), sizes),
+                "t": _packed(np.concatenate((t, by_word[1])), sizes),
+                "more": _packed(by_history.ravel(), np.concatenate(([0], 4 * size))),
+                "kind": pa.array([PAIRS] + [WORDS] * len(of), pa.int32()),
+            }
+        )
+
+    return run
+
+
+def _summed_words(found: pa.Table) -> pa.Table:
+    words, place = np.unique(_flat(found["keys"], np.uint64), return_inverse=True)
+    b, t = (_summed(place, _flat(found[c], np.int64), len(words)) for c in ("b", "t"))
+    more = np.stack([_summed(place, x, len(words)) for x in _flat(found["more"], np.int64).reshape(-1, 4).T], 1)
+    columns = [_packed(x.ravel(), [x.size]) for x in (words, b, t, more)]
+    sums = [[int(b.sum())], [int(t.sum())], [int((b + t > 0).sum())]]
+    return pa.table([found["range"][:1], *columns, *sums], names=["range", "keys", "b", "t", "more", "n_b", "n_t", "known"])
 
 
 @dataclass
-class CompleteModel:
-    """Both models as tables of counts, b in the background and t in the target."""
+class DifferenceModel:
+    """Both models as tables of COUNTS, b in the background and t in the target: a row for each range."""
 
-    bigrams: DataFrame  # v, w, b, t
-    words: DataFrame  # word, b, t, more: as history (b, t), distinct words after it (b, t)
+    pairs: DataFrame
+    words: DataFrame
+    ranges: int
     n: tuple[int, int]  # tokens of target and background
     vocabulary: int  # distinct words
 
+    def drop(self) -> None:
+        drop(self.pairs, self.words)
 
-def _complete(background: DataFrame, target: DataFrame) -> CompleteModel:
-    none = F.lit(0).cast("long")
-    both = _all_bigrams(background).select("v", "w", F.col("n").alias("b"), none.alias("t")).union(_all_bigrams(target).select("v", "w", none.alias("b"), F.col("n").alias("t")))
-    bigrams = written(both.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
-    zeros = [none.alias(c) for c in ("hb", "ht", "db", "dt")]
-    as_word = bigrams.groupBy(F.col("w").alias("word")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).select("word", "b", "t", *zeros)
-    followed = [F.sum("b").alias("hb"), F.sum("t").alias("ht"), F.sum((F.col("b") > 0).cast("long")).alias("db"), F.sum((F.col("t") > 0).cast("long")).alias("dt")]
-    as_history = bigrams.groupBy(F.col("v").alias("word")).agg(*followed).select("word", none.alias("b"), none.alias("t"), "hb", "ht", "db", "dt")
-    sums = as_word.union(as_history).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("b", "t", "hb", "ht", "db", "dt")])
-    words = written(sums.select("word", "b", "t", F.array("hb", "ht", "db", "dt").alias("more")), "words")
-    n_b, n_t, known = words.agg(F.coalesce(F.sum("b"), none), F.coalesce(F.sum("t"), none), F.coalesce(F.sum((F.col("b") + F.col("t") > 0).cast("long")), none)).first()
-    return CompleteModel(bigrams, words, (n_t, n_b), known)
 
-
-def train(background: DataFrame, target: DataFrame, *, vocabulary: int | None = None, bigrams: int | None = None) -> CompleteModel | DifferenceModel:
-    """Models of the text columns of both tables, counted over all rows; with a bound given, at most `vocabulary` words and `bigrams` pairs are kept."""
-    if vocabulary is None and bigrams is None:
-        return _complete(background, target)
-    vocabulary, bigrams = (1 << 16) if vocabulary is None else vocabulary, (1 << 20) if bigrams is None else bigrams
-    words, _ = _most_frequent(written(_counted(background, lambda words, first: words), "words"), vocabulary)
-    return DifferenceModel(words, _bigram_model(target, words, bigrams), _bigram_model(background, words, bigrams))
+def train(background: DataFrame, target: DataFrame) -> DifferenceModel:
+    """Models of the text columns of both tables, counted over all rows."""
+    size = sum(x.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0 for x in (background, target))
+    ranges = max(1, -(-size // RANGE_BYTES))
+    sent = _sent(background, ranges, False).union(_sent(target, ranges, True))
+    pairs, parts = written_apart(sent.groupBy("range").applyInArrow(_counted(ranges), f"{COUNTS}, kind int"), "counts", "kind", [PAIRS, WORDS], "zstd")
+    words = written(parts.groupBy("range").applyInArrow(_summed_words, f"{COUNTS}, n_b long, n_t long, known long"), "words", "zstd")
+    drop(parts)
+    n_b, n_t, known = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_b", "n_t", "known")]).first()
+    return DifferenceModel(pairs, words.select(*pairs.columns), ranges, (n_t, n_b), known)
 
 
 def _log_p(c: np.ndarray, by_word: np.ndarray, by_history: np.ndarray, distinct: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
@@ -220,83 +237,95 @@ def _log_p(c: np.ndarray, by_word: np.ndarray, by_history: np.ndarray, distinct:
     return np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(by_history, 1) + left * (by_word + 1) / (n + vocabulary + 1))
 
 
-def _score_complete(docs: DataFrame, model: CompleteModel, schema: str) -> DataFrame:
-    """docs (text, then others): the others with n_tokens and losses."""
-    kept = docs.columns[1:]
-    blobs = ("words", "before", "word")
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]]
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for k, (parts, words, first) in enumerate(_chunks(batches)):
-            c, rows = _Chunk(words, first), len(first) - 1
-            table = pa.Table.from_batches(parts).combine_chunks()
-            others = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in table.columns[1:]]
-            at = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(4 * first.astype(np.int64)), pa.py_buffer(c.at.astype(np.int32))]).cast(pa.binary())
-            once = [pa.array([x.tobytes(), *[None] * (rows - 1)], pa.binary()) for x in (c.words, c.before.astype(np.int32), c.word.astype(np.int32))]
-            chunk = pa.array(np.full(rows, (task << 32) + k))
-            yield pa.RecordBatch.from_arrays([*others, chunk, at, *once], [*kept, "chunk", "at", *blobs])
-
-    coded = written(in_batches(docs, code, ", ".join([*types, "chunk long, at binary", *[f"{b} binary" for b in blobs]])), "coded")
-
-    def asked(pairs: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in range(len(batch)):
-                    words, before, word = (np.frombuffer(batch.column(j)[r].as_buffer(), np.int32 if j > 1 else np.int64) for j in (1, 2, 3))
-                    keys = [words[before], words[word]] if pairs else [words]
-                    slots = np.arange(len(keys[0])) + (PAIRS if pairs else 0)
-                    chunk = np.full(len(slots), batch.column(0)[r].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, slots, *keys)], ["chunk", "slot", *(["v", "w"] if pairs else ["word"])])
-
-        return in_batches(coded.where("words is not null").select("chunk", *blobs), run, "chunk long, slot long, " + ("v long, w long" if pairs else "word long"))
-
-    key = F.xxhash64("v", "w").alias("key")
-    pairs = asked(True).select("chunk", "slot", key).join(model.bigrams.select(key, "b", "t"), "key")
-    answers = pairs.select("chunk", "slot", "b", "t", F.lit(None).cast("array<long>").alias("more")).union(asked(False).join(model.words, "word").select("chunk", "slot", "b", "t", "more"))
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk: its distinct words, its tokens as places among them, and the other columns of its rows."""
+    task = TaskContext.get().partitionId()
+    for k, (parts, words, first) in enumerate(_chunks(batches)):
+        known, tokens = _numbered(words)
+        table = pa.Table.from_batches(parts).combine_chunks()
+        others = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in table.columns[1:]]
+        rows = pa.StructArray.from_arrays([pa.array(np.diff(first)), *others], ["n_tokens", *table.column_names[1:]])
+        rows = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        columns = [pa.array([(task << 32) + k]), rows, _packed(tokens, [len(tokens)]), _packed(known, [len(known)])]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "rows", "tokens", "words"])
+
+
+def _decoded(words, tokens, n_tokens: np.ndarray) -> _Chunk:
+    words, tokens = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(tokens.as_buffer(), np.int32)
+    return _Chunk(words, tokens, np.concatenate(([0], np.cumsum(n_tokens))))
+
+
+def _asks(ranges: int):
+    """From chunk, n, tokens, words: kind, range, chunk and the keys that the chunk asks for there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                c = _decoded(batch["words"][row], batch["tokens"][row], batch["n"][row].values.to_numpy())
+                for kind, keys in ((PAIRS, c.key), (WORDS, c.known[c.by_hash])):
+                    of, n = np.unique(_range(keys, ranges), return_counts=True)
+                    columns = [pa.array(np.full(len(of), kind, np.int32)), pa.array(of.astype(np.int64)), pa.array(np.full(len(of), batch["chunk"][row].as_py())), _packed(keys, n)]
+                    yield from _in_slices(pa.RecordBatch.from_arrays(columns, ["kind", "range", "chunk", "keys"]))
+
+    return run
+
+
+def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The counts of the keys asked for, in their order; 0 for those unknown."""
+    keys, n = _flat(asked["keys"], np.uint64), _lengths(asked["keys"], np.uint64)
+    known = _flat(model["keys"], np.uint64)
+    at = np.searchsorted(known, keys).clip(0, max(len(known) - 1, 0))
+    hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    columns = []
+    for c, width in (("b", 1), ("t", 1), ("more", 4)):
+        values = _flat(model[c], np.int64).reshape(-1, width)
+        if width > 1 and len(asked) and asked["kind"][0].as_py() == PAIRS:
+            values, width = values[:0], 0
+        out = np.zeros((len(keys), width), np.int64)
+        if len(values):
+            out[hit] = values[at[hit]]
+        columns.append(_packed(out.ravel(), width * n))
+    return pa.table([asked["chunk"], asked["kind"], asked["range"], *columns], names=["chunk", "kind", "range", "b", "t", "more"])
+
+
+def _scored(docs: DataFrame, model: DifferenceModel) -> DataFrame:
+    """docs (text, then others): the others with n_tokens and losses, as a written table."""
+    fields = docs.schema.fields[1:]
+    row = ", ".join(["n_tokens: bigint", *[f"{f.name}: {f.dataType.simpleString()}" for f in fields]])
+    coded = written(in_batches(docs, _code, f"chunk long, rows array<struct<{row}>>, tokens binary, words binary"), "coded", "zstd")
+    asked = in_batches(coded.select("chunk", F.col("rows.n_tokens").alias("n"), "tokens", "words"), _asks(model.ranges), "kind int, range long, chunk long, keys binary")
+    counts = model.pairs.withColumn("kind", F.lit(PAIRS)).union(model.words.withColumn("kind", F.lit(WORDS)))
+    both = asked.groupBy("kind", "range").cogroup(counts.groupBy("kind", "range"))
+    answers = written(both.applyInArrow(_answers, "chunk long, kind int, range long, b binary, t binary, more binary"), "answers", "zstd")
     n, vocabulary = model.n, model.vocabulary
 
-    def losses(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts, found = texts.combine_chunks(), found.combine_chunks()
-        blob = {b: np.frombuffer(texts[b].drop_null()[0].as_buffer(), np.int64 if b == "words" else np.int32) for b in blobs}
-        slot, counts = found["slot"].to_numpy(), [found[c].to_numpy() for c in ("t", "b")]
-        of_word = slot < PAIRS
-        more = np.zeros((len(blob["words"]), 4))
-        if of_word.any():
-            more[slot[of_word]] = found["more"].drop_null().combine_chunks().flatten().to_numpy().reshape(-1, 4)
-        at = [np.frombuffer(x.as_buffer(), np.int32) for x in texts["at"].combine_chunks()]
-        first = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int64)
-        at, out = np.concatenate(at), []
-        for k, x in enumerate(counts):  # target, background: t and b stand the other way round in `more`
-            c, by_word = np.zeros(len(blob["word"])), np.zeros(len(blob["words"]))
-            c[slot[~of_word] - PAIRS], by_word[slot[of_word]] = x[~of_word], x[of_word]
-            log_p = _log_p(c, by_word[blob["word"]], more[blob["before"], 1 - k], more[blob["before"], 3 - k], n[k], vocabulary)
-            out.append(pa.array(-sums_by(log_p[at], first) / np.maximum(np.diff(first), 1)))
-        return pa.table([*[texts[c] for c in kept], pa.array(np.diff(first)), *out], names=[*kept, "n_tokens", "target_loss", "background_loss"])
-
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(losses, schema)
-
-
-def score(docs: DataFrame, model: CompleteModel | DifferenceModel, *, keep: list[str] | None = None) -> DataFrame:
+    def losses(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        others = chunk["rows"].combine_chunks().flatten().flatten()
+        size = others[0].to_numpy()
+        c, first = _decoded(chunk["words"][0], chunk["tokens"][0], size), np.concatenate(([0], np.cumsum(size)))
+        found = found.sort_by("range")
+        pairs, words = (found.filter(pc.equal(found["kind"], k)) for k in (PAIRS, WORDS))
+        more, out = np.empty((len(c.known), 4)), []
+        more[c.by_hash] = _flat(words["more"], np.int64).reshape(-1, 4)
+        for k, corpus in enumerate(("t", "b")):  # in `more` b comes before t
+            by_word = np.empty(len(c.known))
+            by_word[c.by_hash] = _flat(words[corpus], np.int64)
+            log_p = _log_p(_flat(pairs[corpus], np.int64), by_word[c.w], more[c.v, 1 - k], more[c.v, 3 - k], n[k], vocabulary)
+            out.append(pa.array(-sums_by(log_p[c.at], first) / np.maximum(size, 1)))
+        return pa.table([*others[1:], others[0], *out], names=[*[f.name for f in fields], *MADE[:3]])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_tokens long, target_loss double, background_loss double"])
+    out = written(coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(losses, schema), "scores")
+    drop(coded, answers)
+    return out
+
+
+def score(docs: DataFrame, model: DifferenceModel, *, keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """docs (the columns `keep`, by default all) with n_tokens, target_loss and background_loss (nats a token) and score, their difference."""
-    made = ("n_tokens", "target_loss", "background_loss", "score")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     docs = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), "n_tokens long, target_loss double, background_loss double"])
+    turn = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    parts = [_scored(docs.where(turn == k) if rounds > 1 else docs, model) for k in range(rounds)]
+    out = reduce(DataFrame.union, parts)
     difference = F.col("target_loss") - F.col("background_loss")
-    made_of = lambda out: out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *made[:3], difference.alias("score"))
-    if isinstance(model, CompleteModel):
-        return made_of(_score_complete(docs, model, schema))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for lo, hi, words, first in _words(batch.column(0)):
-                pairs = _bigrams(_ids(m.vocabulary, words), first, m.target.size)
-                n = np.diff(first)
-                losses = [-sums_by(x.log_p(pairs), first) / np.maximum(n, 1) for x in (m.target, m.background)]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n.astype(np.int64)), *map(pa.array, losses)], [*part.schema.names[1:], *made[:3]])
-
-    return made_of(in_batches(docs, run, schema))
+    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], *MADE[:3], difference.alias("score"))

@@ -64,7 +64,9 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background: all documents. Target: the benchmark's passages. A low score is like the benchmark."""
     docs = _table(spark, sf_dir, "documents")
     model = lm.train(docs, _table(spark, sf_dir, "benchmark"))
-    return lm.score(docs, model, keep=["doc_id"])
+    scores = lm.score(docs, model, keep=["doc_id"])
+    model.drop()
+    return scores
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

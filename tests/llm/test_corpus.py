@@ -305,14 +305,44 @@ def test_lm_scores(spark):
     assert got[1]["score"] < got[4]["score"]
 
 
-def test_lm_bounds_and_empty(spark, docs):
-    m = lm.train(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), vocabulary=100, bigrams=200)
-    assert len(m.vocabulary) <= 100 and len(m.background.keys) <= 200
-    p = np.exp(m.background.log_p(5 * m.background.size + np.arange(m.background.size - 1)))
-    assert np.isclose(p.sum(), 1)
-    assert lm.score(docs.limit(0), m).count() == 0
+def test_lm_empty(spark, docs):
+    model = lm.train(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert lm.score(docs.limit(0), model).count() == 0
     none = lm.train(docs.limit(0), docs.limit(0))
     assert all(r["score"] == 0 for r in lm.score(docs, none).collect())
+    one = lm.train(docs.limit(0), docs)
+    assert all(np.isclose(r["background_loss"], np.log(one.vocabulary + 1)) for r in lm.score(docs, one).collect() if r["n_tokens"])
+
+
+def test_lm_model_sums_to_one_and_many_ranges_agree(spark, docs, monkeypatch):
+    """Over the whole corpus, with one range and chunk and with many: the same scores, and p sums to one."""
+    target = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = {r["doc_id"]: r for r in lm.score(docs, lm.train(docs, target), keep=["doc_id"]).collect()}
+    monkeypatch.setattr(lm, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(lm, "AT_ONCE", 3_000)
+    model = lm.train(docs, target)
+    assert model.ranges > 10
+    parts = {r["doc_id"]: r for r in lm.score(docs, model, keep=["doc_id"]).collect()}
+    assert whole.keys() == parts.keys()
+    assert all(whole[k]["n_tokens"] == parts[k]["n_tokens"] and np.isclose(whole[k]["score"], parts[k]["score"]) for k in whole)
+    vocabulary = [f"w{k}" for k in range(6)]
+    small = spark.createDataFrame([("w0 w1 w0 w1 w0 w2",), ("w0 w3",), ("w4 w5 w4",)], "text string")
+    asked = spark.createDataFrame([(v, w, f"{v} {w}") for v in vocabulary for w in [*vocabulary, "unknown"]] + [("w0", None, "w0")], "v string, w string, text string")
+    got = {(r["v"], r["w"]): r["background_loss"] * r["n_tokens"] for r in lm.score(asked, lm.train(small, small)).collect()}
+    alone = {v: next(r["background_loss"] for r in lm.score(asked.where("w is null").withColumn("text", F.lit(v)), lm.train(small, small)).collect()) for v in vocabulary[:2]}
+    for v in alone:
+        assert np.isclose(sum(np.exp(alone[v] - got[v, w]) for w in [*vocabulary, "unknown"]), 1)
+
+
+def test_lm_odd_rows(spark, docs):
+    """Very long texts, repeated rows and ids, columns named as the results, a hot pair."""
+    rows = [(1, "hot pair " * 50_000, 7), (1, "hot pair", 7), (2, "HOT, pair!", 7), (2, "HOT, pair!", 7), (None, None, 7), (3, " \t", 7), (4, "x" * 200_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    out = lm.score(df, lm.train(df, df))
+    assert out.columns == ["doc_id", "text", "n_tokens", "target_loss", "background_loss", "score"]
+    got = {(r["doc_id"], len(r["text"] or "")): r for r in out.collect()}
+    assert len(out.collect()) == len(rows) and got[1, 450_000]["n_tokens"] == 100_000 and got[4, 200_000]["n_tokens"] == 1
+    assert np.isclose(got[1, 8]["background_loss"], got[2, 10]["background_loss"]) and all(r["score"] == 0 for r in got.values())
 
 
 def test_lm_keeps_rare_words_and_pairs(spark):
