@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .shared import drop, in_batches, written, written_apart
 from .textbuf import ALNUM, hash_spans, lower_latin, mix, slices, spans, sums_by
 
-AT_ONCE = 1 << 20  # tokens of a chunk
-RANGE_BYTES = 1 << 24  # bytes of text for each range of keys
+AT_ONCE = 1 << 19  # tokens of a chunk
+RANGE_BYTES = 1 << 23  # bytes of text for each range of keys
 ROUNDS = 2  # parts in which texts are scored
 DISCOUNT = 0.7
 START = 0  # stands before a text's first word
