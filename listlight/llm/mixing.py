@@ -1,8 +1,9 @@
 """Mixing sources to target weights by capped water-filling, with seeded whole and fractional repetitions.
 
 Targets: each source asks for budget * weight / all weights words and is clamped at `epochs` times its
-size; the excess goes to the sources below their clamp in proportion to weight, until none is above. The
-loop runs on the table of sources (one row each, however large they are); only sums reach the driver.
+size; the excess goes to the sources below their clamp in proportion to weight, until none is above. Sources
+are clamped in the order of clamp / weight, so running sums in that order give the level at which the filling
+ends, in one pass over the table of sources (one row each, however large they are); only sums reach the driver.
 
 Sampling: a source whose target is r times its size takes each document floor(r) times and some a further
 time, so that their words come to the fraction left. Those are chosen by a seeded hash within classes of
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import drop, written
 
 BINS = 1 << 12
-FEW_SOURCES = 10_000  # sources up to which their cuts (at most 40 short rows each) are broadcast
+FEW_SOURCES = 10_000  # sources up to which all cuts (at most 40 short rows each) are broadcast; beyond, those of the sources with the most rows
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,33 +36,32 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def ranked(sources: DataFrame, column: str) -> DataFrame:
-    """sources with rank from 0 by code point, null last; ranges are ranked apart and offset by the counts before them."""
-    spread = sources.withColumn("is_null", F.col(column).isNull()).repartitionByRange("is_null", column)
-    spread = written(spread.withColumn("part", F.spark_partition_id()), "sources")
-    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
+def _running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the sums over all rows before each in an order, nulls last, and the table that it reads): ranges are summed apart and offset by the ranges before them."""
+    nulls_last = [f(c) for c in order for f in (lambda c: F.col(c).isNull(), F.col)]
+    spread = written(rows.repartitionByRange(*nulls_last).withColumn("part", F.spark_partition_id()).select("*", *[v.alias(f"of_{k}") for k, v in sums.items()]), "ranges")
+    zero = lambda c: F.coalesce(c, F.lit(0))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "offset")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("is_null", column)) - 1
-    return spread.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + within).drop("part", "offset", "is_null")
+    parts = spread.groupBy("part").agg(*[F.sum(f"of_{k}").alias(k) for k in sums])
+    offsets = parts.select("part", *[zero(F.sum(k).over(before)).alias(f"before_{k}") for k in sums])
+    within = Window.partitionBy("part").orderBy(*nulls_last).rowsBetween(Window.unboundedPreceding, -1)
+    joined = spread.join(F.broadcast(offsets), "part")
+    return joined.select(*rows.columns, *[(F.col(f"before_{k}") + zero(F.sum(f"of_{k}").over(within))).alias(k) for k in sums]), spread
 
 
 def water_fill(sources: DataFrame, *, budget: float, epochs: float) -> DataFrame:
     """sources (source, source_size, weight) with target: the shares of budget * total size by weight, none over epochs * source_size."""
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    total, weights = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum(F.col("weight").cast("double"))).first()
+    if not total:
+        return sources.withColumn("target", F.lit(0.0))
     cap = F.col("source_size") * F.lit(float(epochs))
-    clamped, level = F.lit(False), 0.0
-    while total:
-        sums = sources.agg(F.sum(F.when(~clamped, F.col("weight"))), F.coalesce(F.sum(F.when(clamped, cap)), F.lit(0.0)), F.count(F.when(clamped, 1))).first()
-        if not sums[0]:
-            level = float("inf")
-            break
-        level = (budget * total - sums[1]) / sums[0]
-        over = F.col("weight") * F.lit(level) > cap
-        if sources.where(over).count() == sums[2]:
-            break
-        clamped = over  # the level only rises, so a clamped source stays clamped
-    return sources.withColumn("target", F.least(F.col("weight") * F.lit(level), cap) if total else F.lit(0.0))
+    ordered = sources.withColumn("clamp_at", cap / F.col("weight"))
+    running, spread = _running(ordered, ["clamp_at", "source"], {"clamped": cap, "passed": F.col("weight").cast("double")})
+    level = (F.lit(float(budget * total)) - F.col("clamped")) / F.greatest(F.lit(float(weights)) - F.col("passed"), F.col("weight"))
+    ends = running.select("clamp_at", level.alias("level")).where(F.col("level") <= F.col("clamp_at") * (1 + 1e-12))
+    first = ends.agg(F.min(F.struct("clamp_at", "level"))["level"]).first()[0]
+    drop(spread)
+    return sources.withColumn("target", F.least(F.col("weight") * F.lit(float("inf") if first is None else first), cap))
 
 
 def _bin(seed: int) -> Column:
@@ -111,20 +111,34 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), budget: floa
     docs = docs.drop("size", "source_size", "target", "copies")
     sizes = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size")
     table = written(sizes.withColumn("class", _class()).withColumn("bin", _bin(seed)), "sizes")
-    sources = ranked(table.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
+    by_source = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sources, spread = _running(by_source, ["source"], {"rank": F.lit(1).cast("long")})
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    targets = written(water_fill(sources.withColumn("weight", turn), budget=budget, epochs=epochs).select("source", "source_size", "target"), "targets")
+    weighted = written(sources.withColumn("weight", turn), "sources")
+    targets = written(water_fill(weighted, budget=budget, epochs=epochs).select("source", "source_size", "target", "rows"), "targets")
     cuts = _cuts(table, targets)
-    of = targets.select(F.col("source").alias("of"), "source_size", "target")
-    plan = cuts.join(of, F.col("source").eqNullSafe(F.col("of"))).select("of", F.col("class").alias("of_class"), "cut", "whole", "source_size", "target")
+    of = targets.select(F.col("source").alias("of"), "source_size", "target", "rows")
+    plan = cuts.join(of, F.col("source").eqNullSafe(F.col("of"))).select("of", F.col("class").alias("of_class"), "cut", "whole", "source_size", "target", "rows")
     plan = written(plan, "plan")
-    if targets.count() <= FEW_SOURCES:
-        plan = F.broadcast(plan)
+    few, rows = targets.agg(F.count("*") <= FEW_SOURCES, F.sum("rows")).first()
+    drop(table, spread, weighted, targets)
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")  # extra columns cannot clash
-    placed = sized(packed).withColumn("class", _class()).withColumn("bin", _bin(seed)).drop("text", "doc_id")
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")))
-    copies = (F.col("whole") + (F.col("bin") < F.col("cut")).cast("int")).cast("int")
-    return joined.select("row.*", "size", "source_size", "target", copies.alias("copies"))
+    placed = sized(packed).withColumn("class", _class()).withColumn("bin", _bin(seed)).drop("text")
+    # Sources with a FEW_SOURCES-th of all rows or more (so FEW_SOURCES at most) find their cuts by a broadcast, whatever they hold.
+    large = F.lit(bool(few)) | (F.col("rows") * FEW_SOURCES >= F.lit(rows or 0))
+    made = ["cut", "whole", "source_size", "target"]
+    hot = F.broadcast(plan.where(large).select("of", "of_class", F.struct(*made).alias("hot")))
+    joined = placed.join(hot, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")), "left").drop("of", "of_class")
+    if few:
+        joined = joined.withColumn("plan", F.col("hot"))
+    else:
+        # The others by a shuffle, in which the rows that have their cuts already are dealt out evenly.
+        key = F.when(F.col("hot").isNull(), F.xxhash64("source", "class")).otherwise(F.xxhash64("doc_id", "bin"))
+        cold = plan.where(~large).select("of", "of_class", F.struct(*made).alias("cold"), F.xxhash64(F.col("of").alias("source"), F.col("of_class").alias("class")).alias("key"))
+        same = (F.col("placed_key") == F.col("key")) & F.col("hot").isNull() & F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))
+        joined = joined.withColumn("placed_key", key).join(cold, same, "left").withColumn("plan", F.coalesce("hot", "cold"))
+    copies = (F.col("plan.whole") + (F.col("bin") < F.col("plan.cut")).cast("int")).cast("int")
+    return joined.select("row.*", "size", "plan.source_size", "plan.target", copies.alias("copies"))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
