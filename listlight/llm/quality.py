@@ -2,9 +2,10 @@
 
 The features of a text are its hashed words (weight log(1 + count), scaled to unit length) and, one-hot by
 quantile, statistics of its structure (shares of symbols, capitals, digits; lines; repeats; word lengths)
-and its length in characters. The score is linear plus low-rank pairwise interactions, by the identity
+and, as metadata, its length in characters, the only metadata that may be an input (language, source and id may not). The score is linear plus low-rank pairwise interactions, by the identity
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2), in time linear in the
-features. Training is Adagrad in numpy on a bounded sample; a calibrated shift puts the threshold at 0.5.
+features. Training is Adagrad in numpy on a bounded sample; a shift puts the threshold with the fewest errors
+among all labelled documents, of any length, that the fit did not see at 0.5.
 
 Defined cases: a null or empty text has statistics of zero and is scored by them. Without labels of both
 classes the score is 1 where only good labels exist, else 0. Rows that share a doc_id are scored each by
@@ -14,7 +15,7 @@ its own text. Columns named score or predicted are replaced; all others pass thr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_batches
-from .samples import labelled_sample
+from .samples import labelled_sample, unseen_logits
 from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_latin, mix, slices, spans, sums_by
 
 BITS, RANK, BINS = 17, 8, 8
@@ -109,15 +110,15 @@ def _binned(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (1 << BITS) + np.arange(len(STATS)) * BINS + cells
 
 
-def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, *, population: tuple[int, int] = (1, 1), epochs: int = 6, seed: int = 3) -> QualityModel:
-    """A quarter of the documents is kept for the threshold. population: how many documents of each class the sample stands for."""
+def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, *, epochs: int = 6, seed: int = 3) -> tuple[QualityModel, np.ndarray]:
+    """(model with the threshold at 0, places of the documents it has seen); a quarter of the documents stays unseen."""
     size = (1 << BITS) + len(STATS) * BINS
     if not (labels == 1).any() or not (labels == 0).any():
-        return QualityModel(np.zeros((len(STATS), BINS - 1)), np.zeros(1), np.zeros((1, RANK)), 0.0, float(len(labels) > 0 and labels.max()))
+        constant = float(len(labels) > 0 and labels.max())
+        return QualityModel(np.zeros((len(STATS), BINS - 1)), np.zeros(1), np.zeros((1, RANK)), 0.0, constant), np.arange(len(labels))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
     parts = [order[labels[order] == y] for y in (0, 1)]
-    kept = np.concatenate([p[: len(p) // 4] for p in parts])
     used = np.concatenate([p[len(p) // 4 :] for p in parts])
     edges = np.quantile(stats[used], np.arange(1, BINS) / BINS, axis=0).T
     cells = _binned(stats, edges)
@@ -147,18 +148,13 @@ def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], l
             factors[f] -= rate * g / np.sqrt(factor_moment[f])
             bias_moment += error**2
             bias -= rate * error / np.sqrt(bias_moment)
-    if all(len(p) >= 4 for p in parts):  # the threshold with the fewest errors among what training did not see
-        bias -= _fewest_errors(np.array([value(i)[0] for i in kept]), labels[kept], population)
-    return QualityModel(edges, linear, factors, float(bias))
-
-
-def _fewest_errors(values: np.ndarray, labels: np.ndarray, population: tuple[int, int]) -> float:
-    """The middle of the range of thresholds with the fewest errors, each class counted as often as it occurs."""
-    order = np.argsort(values)
-    x, y = values[order], labels[order]
-    weight = np.array(population) / np.maximum(1, [(y == 0).sum(), (y == 1).sum()])
-    errors = np.concatenate(([0], np.cumsum(np.where(y == 1, weight[1], -weight[0]))))  # of a threshold below x[k], less a constant
-    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    return QualityModel(edges, linear, factors, float(bias)), used
+
+
+def _fewest_errors(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float:
+    """The middle of the range of thresholds with the fewest errors."""
+    errors = np.concatenate(([0], np.cumsum(ones - zeros)))  # of a threshold below x[k], less a constant
+    best = np.flatnonzero(errors <= errors.min())
     edges = np.concatenate(([x[0] - 1], x, [x[-1] + 1]))
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
@@ -174,22 +170,37 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, max_chars: int = 20_000) -> QualityModel:
-    """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, quality)."""
+    """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, quality); threshold from all labelled documents that the fit did not see."""
     sample = labelled_sample(docs, labels, "quality", per_class=per_class, max_chars=max_chars)
     schema = "doc_id long, label int, stats array<double>, words array<int>, weights array<float>"
     rows = in_batches(sample, _examples, schema).toArrow().combine_chunks().sort_by("doc_id")
     stats = np.array(rows["stats"].to_pylist()).reshape(-1, len(STATS))
-    population = labels.agg(F.count(F.when(F.col("quality") == 0, 1)), F.count(F.when(F.col("quality") == 1, 1))).first()
-    return fit(stats, [np.asarray(x.values) for x in rows["words"]], [np.asarray(x.values) for x in rows["weights"]], rows["label"].to_numpy(), population=tuple(population))
+    model, used = fit(stats, [np.asarray(x.values) for x in rows["words"]], [np.asarray(x.values) for x in rows["weights"]], rows["label"].to_numpy())
+    if model.constant is None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, *parts in features(batch["text"]):
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(np.zeros(hi - lo, np.int32)), pa.array(_logits(shared.value, *parts))], ["doc_id", "group", "logit"])
 
-def _scores(m: QualityModel, stats, word, weight, begin) -> np.ndarray:
+        found = unseen_logits(docs, labels, "quality", rows["doc_id"].to_numpy()[used].tolist(), lambda texts: in_batches(texts, run, "doc_id long, group int, logit double"))
+        if found and all(n.any() for n in found[0][1:]):
+            model = replace(model, bias=model.bias - _fewest_errors(*found[0]))
+    return model
+
+
+def _logits(m: QualityModel, stats, word, weight, begin) -> np.ndarray:
     cells = _binned(stats, m.edges)
     linear, factors, squares = m.linear, m.factors, (m.factors**2).sum(axis=1)
     y = m.bias + sums_by(linear[word] * weight.astype(np.float64), begin) + STAT_WEIGHT * linear[cells].sum(axis=1)
     s = np.stack([sums_by(factors[word, k] * weight.astype(np.float64), begin) for k in range(RANK)], axis=1) + STAT_WEIGHT * factors[cells].sum(axis=1)
     q = sums_by(squares[word] * weight.astype(np.float64) ** 2, begin) + STAT_WEIGHT**2 * squares[cells].sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(y + 0.5 * ((s**2).sum(axis=1) - q), -30, 30)))
+    return y + 0.5 * ((s**2).sum(axis=1) - q)
+
+
+def _scores(m: QualityModel, stats, word, weight, begin) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_logits(m, stats, word, weight, begin), -30, 30)))
 
 
 def score(docs: DataFrame, model: QualityModel, *, keep: list[str] | None = None) -> DataFrame:

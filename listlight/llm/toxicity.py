@@ -4,19 +4,21 @@ A word's embedding is the sum of the hashed vectors of the word and of its first
 Filters of widths 1, 2 and 3 slide over the words of the whole text, each keeps its largest value, and a
 logistic layer reads these. The first component of an embedding starts as the smoothed log-odds of its
 hash bucket among the training documents; everything is then trained by Adagrad. Thresholds are
-calibrated by language on documents that training did not see and are folded into the score, so that
-0.5 is the threshold of every language. The language is guessed from frequent words of the text itself.
+calibrated by language on all labelled documents, of any length, that the fit did not see, and are folded into
+the score, so that 0.5 is the threshold of every language. The language is guessed from frequent words of the
+text itself.
 
 Defined cases: a null or empty text, or one without words, pools to zero and gets the score of a text
 without evidence. Without labels of both classes the score is 1 where only toxic labels exist, else 0.
-Rows that share a doc_id are scored each by its own text. Other columns pass through where the score is
+Very long texts are read whole, in pieces. Rows that share a doc_id, and repeated rows, are scored each by its
+own text. An empty table gives an empty result. Other columns pass through where the score is
 added to the table; a column named score or predicted is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_batches
-from .samples import labelled_sample
+from .samples import labelled_sample, unseen_logits
 from .textbuf import ALNUM, hash_spans, lists, lower_latin, slices, spans
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 6, (1, 2, 3)
@@ -59,6 +61,10 @@ class ToxicityModel:
     thresholds: np.ndarray  # by LANGUAGES
     constant: float | None = None  # the score where there was nothing to learn from
 
+    def table(self) -> np.ndarray:
+        """Projections by bucket."""
+        return (self.embedding @ self.filters).astype(np.float32, copy=False)
+
 
 def _buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, words x 3 buckets, first word of each document, language of each document)."""
@@ -119,14 +125,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["label"].cast(pa.int32()).slice(lo, hi - lo), pa.array(language, pa.int32()), flat], ["doc_id", "label", "language", "words"])
 
 
-def fit(words: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, *, epochs: int = 4, seed: int = 5) -> ToxicityModel:
-    """Train on words (n x 3 buckets) of each document; a quarter of the documents is kept for the thresholds."""
+def fit(words: list[np.ndarray], labels: np.ndarray, *, epochs: int = 4, seed: int = 5) -> tuple[ToxicityModel, np.ndarray]:
+    """(model without thresholds, places of the documents it has seen) from words (n x 3 buckets) of each document; a quarter of the documents stays unseen."""
     if not (labels == 1).any() or not (labels == 0).any():
-        return ToxicityModel(np.zeros((1, DIM)), np.zeros((DIM, COLUMNS)), np.zeros(1), 0.0, np.zeros(len(LANGUAGES)), float(len(labels) > 0 and labels.max()))
+        constant = float(len(labels) > 0 and labels.max())
+        return ToxicityModel(np.zeros((1, DIM)), np.zeros((DIM, COLUMNS)), np.zeros(1), 0.0, np.zeros(len(LANGUAGES)), constant), np.arange(len(labels))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
     parts = [order[labels[order] == y] for y in (0, 1)]
-    kept = np.concatenate([p[: len(p) // 4] for p in parts])
     used = np.concatenate([p[len(p) // 4 :] for p in parts])
 
     seen = np.ones((2, 1 << BITS))
@@ -181,33 +187,29 @@ def fit(words: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, *, e
             weights -= rate * grad_weights / np.sqrt(moments[2])
             bias_moment += error**2
             bias -= rate * error / np.sqrt(bias_moment)
-    model = ToxicityModel(embedding, filters, weights, float(bias), np.zeros(len(LANGUAGES)))
-    logits = np.array([_logits(model, embedding @ filters, words[i], np.array([0, len(words[i])]))[0] for i in kept])
-    model.thresholds = _thresholds(logits, labels[kept], languages[kept])
-    return model
+    return ToxicityModel(embedding, filters, weights, float(bias), np.zeros(len(LANGUAGES))), used
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap that best separates the classes (true less false positive rate)."""
-    order = np.argsort(logits)
-    x, y = logits[order], labels[order]
-    gain = np.cumsum(y == 0) / max(1, (y == 0).sum()) - np.cumsum(y == 1) / max(1, (y == 1).sum())
+def _threshold(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float:
+    """The middle of the gap between logits that best separates the classes (true less false positive rate)."""
+    gain = np.cumsum(zeros) / max(1, zeros.sum()) - np.cumsum(ones) / max(1, ones.sum())
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     lo, hi = best[0], min(best[-1] + 1, len(x) - 1)
     return float((x[lo] + x[hi]) / 2)
 
 
-def _thresholds(logits: np.ndarray, labels: np.ndarray, languages: np.ndarray, prior: int = 20) -> np.ndarray:
+def _thresholds(found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], prior: int = 20) -> np.ndarray:
     """By language; drawn to the common threshold as if `prior` toxic documents had set that one."""
-    if not (labels == 1).any() or not (labels == 0).any():
-        return np.zeros(len(LANGUAGES))
-    common = _threshold(logits, labels)
-    out = np.full(len(LANGUAGES), common)
-    for k in range(len(LANGUAGES)):
-        own = languages == k
-        n = int((labels[own] == 1).sum())
-        if n and (labels[own] == 0).any():
-            out[k] = (n * _threshold(logits[own], labels[own]) + prior * common) / (n + prior)
+    out = np.zeros(len(LANGUAGES))
+    if not any(zeros.sum() for _, zeros, _ in found.values()) or not any(ones.sum() for *_, ones in found.values()):
+        return out
+    x, of = np.unique(np.concatenate([x for x, *_ in found.values()]), return_inverse=True)
+    zeros, ones = (np.bincount(of, np.concatenate([f[k] for f in found.values()]), len(x)) for k in (1, 2))
+    out[:] = common = _threshold(x, zeros, ones)
+    for k, (x, zeros, ones) in found.items():
+        n = int(ones.sum())
+        if n and zeros.any():
+            out[k] = (n * _threshold(x, zeros, ones) + prior * common) / (n + prior)
     return out
 
 
@@ -216,11 +218,24 @@ def _logits(model: ToxicityModel, table: np.ndarray, words: np.ndarray, first: n
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_chars: int = 20_000) -> ToxicityModel:
-    """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, toxic)."""
+    """Fit on a bounded sample (labelled_sample) of docs (doc_id, text) with labels (doc_id, toxic); thresholds from all labelled documents that the fit did not see."""
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class, max_chars=max_chars)
     rows = in_batches(sample, _tokens, "doc_id long, label int, language int, words array<int>").toArrow().combine_chunks().sort_by("doc_id")
     words = [np.asarray(x.values, dtype=np.int32).reshape(-1, 3) for x in rows["words"]]
-    return fit(words, rows["label"].to_numpy(), rows["language"].to_numpy())
+    model, used = fit(words, rows["label"].to_numpy())
+    if model.constant is None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value.table()
+            for batch in batches:
+                for lo, hi, words, first, language in _buckets(batch["text"]):
+                    logits = _logits(shared.value, table, words, first).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(language, pa.int32()), pa.array(logits)], ["doc_id", "group", "logit"])
+
+        found = unseen_logits(docs, labels, "toxic", rows["doc_id"].to_numpy()[used].tolist(), lambda texts: in_batches(texts, run, "doc_id long, group int, logit double"))
+        model = replace(model, thresholds=_thresholds(found))
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = None) -> DataFrame:
@@ -232,7 +247,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = (m.embedding @ m.filters).astype(np.float32, copy=False) if m.constant is None else None
+        table = m.table() if m.constant is None else None
         for batch in batches:
             scores = np.full(len(batch), m.constant or 0.0)
             for lo, hi, words, first, language in _buckets(batch.column(0)) if m.constant is None else ():
