@@ -5,14 +5,16 @@ cells (ids, largest distance to the pivot) and of the query groups (queries of o
 q = p + a in group G and x = r + b in cell C, q.x lies within p.r +- (|a||r| + |p||b| + |a||b|). The k-th
 best lower bound of a group, counting each id in one cell only, is a score that each of its queries surely reaches; a cell
 whose upper bound lies below it is not needed for the group. Needed pairs of group and cell are solved
-locally. Queries are a small part of the rows, so they are what is replicated: a cell's rows stay where
-they are, in blocks of bounded size however hot the cell, and each block receives the queries of the groups
-that need it. Each returns its k best ids per query, by the best score of each; these are merged.
+locally. Queries are a small part of the rows, so they are what is replicated: data rows are dealt once to
+tiles of about BLOCK_BYTES, made of several cells or, of a hot cell, of a part, and each tile receives once the
+queries of the groups that need one of its cells. It returns the k best ids per query, by the best score of
+each; these are merged. Where the bounds exclude nothing (vectors of one length in many dimensions have no far
+cells) a query row so travels once for each tile, packed in the fewest bytes that hold its components.
 
 Defined cases: null vectors and those with null or non-finite components take no part, nor do rows without
-a vec_id. Shorter vectors count as padded with zeros. Rows that share a vec_id count as one candidate with
-the better score, and no candidate of its own. Ties go to the smaller vec_id. An empty table gives an empty
-result. Other columns are not read. Exact as long as |x| < 2**31 after quantising and sums fit 63 bits.
+a vec_id. Shorter vectors count as padded with zeros, empty ones as all zeros. Rows that share a vec_id count as
+one candidate with the better score, and no candidate of its own; repeated rows change nothing. Ties go to the
+smaller vec_id. An empty table gives an empty result. Other columns are not read. Exact as long as sums fit 63 bits.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import drop, written
+from .shared import drop, in_batches, written
 
 MOST_PIVOTS = 512
-BLOCK = 4096  # rows of a cell solved together
+BLOCK_BYTES = 32 << 20  # of a tile's vectors as doubles
+LEAST_ROWS = 4096  # of a tile, where there are so many
 AT_ONCE = 1 << 21  # scores held at once
 
 
@@ -43,10 +46,24 @@ def _rows(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _packed(x: np.ndarray, kind: str) -> pa.Array:
+    data = np.ascontiguousarray(x.astype(kind))
+    offsets = (np.arange(len(x) + 1) * x.shape[1] * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, dims: int, kind: str) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, dims), kind)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)
+    return np.frombuffer(data, np.uint8)[offsets[column.offset] : offsets[column.offset + len(column)]].view(kind).reshape(-1, dims)
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in integers: in doubles where these are exact."""
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 1 << 53 else a @ b.T
+    return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 1 << 53 else a.astype(np.int64) @ b.T.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +97,23 @@ def _needed(pivots: np.ndarray, cells: dict[int, tuple[int, float]], groups: dic
     return out
 
 
-def _solve(k: int, dims: int):
-    """Over rows sorted by (cell, block, is_query): the k best of each query in each block."""
+def _tiles(rows_of: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """(first tile, tiles) of each cell: small cells share one until it is full, a large one has tiles of its own."""
+    out, tile, held = {}, 0, 0
+    for c, n in sorted(rows_of.items()):
+        if n >= block:
+            tile, held = tile + bool(held), 0
+            out[c] = tile, -(-n // block)
+            tile += out[c][1]
+            continue
+        out[c], held = (tile, 1), held + n
+        if held >= block:
+            tile, held = tile + 1, 0
+    return out
+
+
+def _solve(k: int, dims: int, kind: str):
+    """Over rows (tile, is_query, vec_id, v) sorted by tile and is_query: the k best of each query in each tile."""
 
     def best(data: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         of, rows = np.concatenate([d[0] for d in data]), np.concatenate([d[1] for d in data])
@@ -104,17 +136,19 @@ def _solve(k: int, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, data = None, []
         for batch in batches:
-            cell, block, query, ids = (np.asarray(batch.column(j)) for j in range(4))
-            x = _rows(batch.column(4), dims)
-            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(query) != 0)) + 1
+            tile, query, ids = (np.asarray(batch.column(j)) for j in range(3))
+            x = _unpacked(batch.column(3), dims, kind)
+            edges = np.flatnonzero((np.diff(tile) != 0) | (np.diff(query) != 0)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(batch)]):
                 if lo == hi:
                     continue
-                if key != (cell[lo], block[lo]):
-                    key, data = (cell[lo], block[lo]), []
+                if key != tile[lo]:
+                    key, data = tile[lo], []
                 if not query[lo]:
                     data.append((ids[lo:hi], x[lo:hi]))
                 elif data:
+                    if len(data) > 1:
+                        data = [tuple(np.concatenate(part) for part in zip(*data))]
                     yield best(data, ids[lo:hi], x[lo:hi])
 
     return run
@@ -132,10 +166,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
     table = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("query")).where(usable)
     table = table.select("vec_id", "query", ints.alias("v")).groupBy("vec_id", "v").agg(F.max("query").alias("query"))
     table = written(table.select("vec_id", "query", "v"), "ints")
-    rows, dims = table.agg(F.count("*"), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1))))
+    rows, dims, most = table.agg(F.count("*"), F.max(F.size("v")), largest).first()
     result = "query_id long, rank int, vec_id long, score long"
-    if not rows or not dims:
+    if not rows:
         return spark.createDataFrame([], result)
+    dims, kind = max(dims, 1), next(f"<i{w}" for w in (2, 4, 8) if (most or 0) < 1 << (8 * w - 1))
 
     some = table.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(max(8, min(MOST_PIVOTS, isqrt(rows) // 4))).toArrow().combine_chunks()
     pivots = np.unique(_rows(some["v"].combine_chunks() if some["v"].num_chunks != 1 else some["v"].chunk(0), dims), axis=0)
@@ -148,9 +184,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
             far = (x**2).sum(axis=1)[:, None] - 2 * x @ p.T + (p**2).sum(axis=1)
             cell = far.argmin(axis=1)
             reach = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(reach)], ["vec_id", "query", "v", "cell", "reach"])
+            columns = [*batch.columns[:2], _packed(_rows(batch.column(2), dims), kind), pa.array(cell.astype(np.int32)), pa.array(reach)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "query", "v", "cell", "reach"])
 
-    placed = written(table.mapInArrow(assign, "vec_id long, query boolean, v array<long>, cell int, reach double"), "cells")
+    placed = written(in_batches(table, assign, "vec_id long, query boolean, v binary, cell int, reach double"), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius"), F.max(F.when(F.col("query"), F.col("reach"))).alias("of_queries")).collect()  # a row for each pivot
     home = placed.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").count()  # vectors of one id may lie in several cells
     ids = {r["cell"]: r["count"] for r in home.collect()}
@@ -160,14 +197,18 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
     pairs = _needed(pivots, cells, groups, k)
     if not pairs:
         return spark.createDataFrame([], result)
-    needs = F.broadcast(spark.createDataFrame([(g, c, -(-rows_of[c] // BLOCK)) for g, c in pairs], "cell int, need int, blocks int"))  # pivots squared at most
-    blocks = F.broadcast(spark.createDataFrame([(c, -(-n // BLOCK)) for c, n in rows_of.items()], "cell int, blocks int"))
-
-    data = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
-    asked = placed.where("query").join(needs, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = asked.select(F.col("need").alias("cell"), "block", F.lit(True).alias("is_query"), "vec_id", "v")
-    dealt = data.union(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "is_query")
-    local = dealt.mapInArrow(_solve(k, dims), "query_id long, vec_id long, score long")
+    spread = -(-rows // (4 * spark.sparkContext.defaultParallelism))
+    tiles = _tiles(rows_of, max(LEAST_ROWS, min(BLOCK_BYTES // (8 * dims), spread)))
+    first_tile = F.broadcast(spark.createDataFrame([(c, *t) for c, t in tiles.items()], "cell int, tile int, tiles int"))  # a row for each pivot
+    wanted = sorted({(g, *tiles[c]) for g, c in pairs})
+    needs = F.broadcast(spark.createDataFrame(wanted, "cell int, tile int, tiles int"))  # pivots squared at most
+
+    own = (F.col("tile") + F.pmod(F.xxhash64("vec_id"), F.col("tiles"))).cast("int").alias("tile")
+    data = placed.join(first_tile, "cell").select(own, F.lit(False).alias("is_query"), "vec_id", "v")
+    each = F.explode(F.sequence(F.col("tile"), F.col("tile") + F.col("tiles") - 1)).alias("tile")
+    asked = placed.where("query").join(needs, "cell").select(each, F.lit(True).alias("is_query"), "vec_id", "v")
+    dealt = data.union(asked).repartition("tile").sortWithinPartitions("tile", "is_query")
+    local = in_batches(dealt, _solve(k, dims, kind), "query_id long, vec_id long, score long")
     drop(table)
     best = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
