@@ -4,12 +4,19 @@ Blocks start on lines of their own, paragraphs and the like with an empty line b
 outside <pre>; list items are marked and indented by depth; table cells are padded to columns. Invisible
 are elements that are never shown (script, style, head, template ...), those with `hidden`, or hidden by their
 own style or by a simple selector (tag, .class, #id) of the page's style sheets, and the closed part of details.
-Rules count that hold on any screen, and the last one for a selector and property (an important one first).
+Rules count that hold on any screen; of those for a property the element's own style wins, then #id, .class and
+tag, and for one selector the last (an important one first). What is inside of an element of hidden visibility
+shows again where it is made visible.
+
+Cells are aligned by columns, as colspan and rowspan place them. A table whose lines would be longer than LINE
+has its cells two spaces apart instead, so that the text of a page grows with the page.
 
 Defined cases: a null or empty page renders as the empty string. Unclosed, misnested and stray tags never
-fail: an end tag without a start is left out, a `<` that starts no tag is text, elements nested deeper than
-DEPTH are placed at that depth. Rows that share an id are rendered each by itself. A column named text is
-replaced, others pass through if kept.
+fail: an end tag without a start is left out, a `<` that starts no tag is text, as is all from a tag on that
+never ends, a quotation mark without its mate is a character, elements nested deeper than DEPTH are placed at
+that depth. Spans that are no numbers count as 1. Pages of any length are read in linear time. Rows that share
+an id, and repeated rows, are rendered each by itself. A column named text is replaced, others pass through if
+kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from pyspark.sql import functions as F
 from .shared import in_batches
 
 DEPTH = 200
+LINE = 1000  # characters of a line of aligned cells at most
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 NEVER_SHOWN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg datalist area base link meta".split())
@@ -50,9 +58,10 @@ CLOSES_P = (BLOCKS - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot"
 NO_WRAPPER = frozenset("table caption details ul ol li pre blockquote dd textarea select".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "html"})
 
-_TAG = re.compile(r"<!--(.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NUMBER = re.compile(r"\s*\+?0*([0-9]{1,9})(?![0-9])")
 _NO_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
 _BRACE = re.compile(r"[{};]")
 _SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
@@ -98,10 +107,40 @@ def _rules(css: str) -> Iterator[tuple[str, str]]:
                     yield selectors, ";".join(declarations)
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """(root, selectors that its style sheets hide)."""
-    root = Node("html", {})
-    stack, hiding, at = [root], {}, 0  # hiding: (selector, property) to (important, hides)
+Rules = dict[tuple[str, str], tuple[bool, bool]]  # (selector, property) to (important, hides)
+
+
+def _declared(style: str) -> Iterator[tuple[str, tuple[bool, bool]]]:
+    """property, (important, hides) of the declarations of display and visibility."""
+    for d in filter(None, map(_SHOWING.fullmatch, style.split(";"))):
+        name = d[1].lower()
+        yield name, (bool(d[3]), d[2].lower() in (("none",) if name == "display" else ("hidden", "collapse")))
+
+
+def _add_rules(css: str, rules: Rules) -> None:
+    for selectors, body in _rules(css):
+        simple = [x.strip().lower() for x in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", x)]
+        for name, now in _declared(body) if simple else ():
+            for x in simple:
+                if now[0] or not rules.get((x, name), now)[0]:
+                    rules[x, name] = now
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The `>` that ends a tag, not one in quotation marks; -1 if none does. last: the last place of each mark."""
+    while stop := _TAG_STOP.search(page, at):
+        c, at = stop[0], stop.start()
+        if c == ">":
+            return at
+        at = (page.index(c, at + 1) if at < last[c] else at) + 1
+    return -1
+
+
+def parse(page: str) -> tuple[Node, Rules]:
+    """(root, rules of its style sheets)."""
+    root, rules = Node("html", {}), {}
+    stack, at = [root], 0
+    last = {c: page.rfind(c) for c in "\"'"}
 
     def text(s: str) -> None:
         if s:
@@ -117,21 +156,22 @@ def parse(page: str) -> tuple[Node, set[str]]:
 
     while at < len(page):
         m = _TAG.search(page, at)
-        if not m:
+        end = _tag_end(page, m.end(), last) if m and m[2] else 0
+        if not m or end < 0:
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+        if not m[2]:
+            at = m.end()
             continue
-        if m[2]:
+        at, tag, inside = end + 1, m[2].lower(), page[m.end() : end]
+        if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
                 close({tag}, SCOPE - {tag} if tag not in ("table", "body", "html") else ())
             continue
-        attributes = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m[4])} if m[4] else {}
+        attributes = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(inside)} if inside else {}
         if tag == "html" or tag == "body" and any(x.tag == "body" for x in stack):
             root.attributes |= attributes
             continue
@@ -149,35 +189,39 @@ def parse(page: str) -> tuple[Node, set[str]]:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            content = page[at : end.start() if end else len(page)]
-            at = end.end() if end else len(page)
+            shut = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            content = page[at : shut.start() if shut else len(page)]
+            at = (page.find(">", shut.end()) if shut else -1) + 1 or len(page)
             if tag == "style" and _screen(attributes.get("media", "")):
-                for selectors, body in _rules(content):
-                    simple = [x.strip().lower() for x in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", x)]
-                    for d in filter(None, map(_SHOWING.fullmatch, body.split(";") if simple else ())):
-                        now = bool(d[3]), d[2].lower() in (("none",) if d[1].lower() == "display" else ("hidden", "collapse"))
-                        for x in simple:
-                            if now[0] or not hiding.get((x, d[1].lower()), now)[0]:
-                                hiding[x, d[1].lower()] = now
+                _add_rules(content, rules)
             elif tag == "textarea":
                 node.children.append(unescape(content))
-        elif tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
+        elif tag not in VOID and not inside.rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
             in_rows = tag == "form" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr")  # such a form holds nothing, as in browsers
             if len(stack) < DEPTH and not in_rows:
                 stack.append(node)
-    return root, {x for (x, _), (_, hides) in hiding.items() if hides}
+    return root, rules
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
+def _hides(node: Node, name: str, rules: Rules) -> bool | None:
+    """What style says on a property of an element: whether it hides; None if nothing."""
+    a = node.attributes
+    for own, (_, hides) in reversed([*_declared(a["style"])] if "style" in a else []):
+        if own == name:
+            return hides
+    if rules:
+        for x in (["#" + a["id"].lower()] if "id" in a else []) + ["." + c.lower() for c in a.get("class", "").split()] + [node.tag]:
+            if (x, name) in rules:
+                return rules[x, name][1]
+    return None
+
+
+def visible(node: Node, rules: Rules) -> bool:
+    """Whether anything of an element takes part in the layout."""
     a = node.attributes
     if node.tag in NEVER_SHOWN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input":
         return False
-    if "style" in a and _HIDING.search(a["style"]):
-        return False
-    if hidden and (node.tag in hidden or any(f".{c.lower()}" in hidden for c in a.get("class", "").split()) or "#" + a.get("id", "").lower() in hidden):
-        return False
-    return True
+    return not _hides(node, "display", rules)
 
 
 class Flow:
@@ -221,72 +265,109 @@ def _holds_cells(node: Node) -> bool:
     return node.tag not in NO_WRAPPER and any(isinstance(x, Node) and (x.tag in ("tr", "td", "th") or _holds_cells(x)) for x in node.children)
 
 
-def _cells(node: Node, hidden: set[str], strays: list[Node | str], row: list | None = None) -> list[list[tuple[Node, int]]]:
-    """Rows of (cell, columns) of a table, without those of tables inside it; what stands outside of cells goes to strays."""
+def _number(value: str, most: int) -> int:
+    found = _NUMBER.match(value)
+    return min(int(found[1]), most) if found else most if re.match(r"\s*\+?[0-9]", value) else 1
+
+
+def _cells(node: Node, rules: Rules, veiled: bool, strays: list, row: list | None = None) -> list[list[tuple[Node, bool]]]:
+    """Rows of (cell, whether its visibility is hidden) of a table, without those of tables inside it; what stands outside of cells goes to strays, likewise."""
     rows = []
     for x in node.children:
         if isinstance(x, str):
-            strays.append(x)
-        elif not visible(x, hidden):
+            strays.append((x, veiled))
+            continue
+        if not visible(x, rules):
             continue
-        elif x.tag == "tr":
+        own = _veiled(x, rules, veiled)
+        if x.tag == "tr":
             rows.append([])
-            strays.append(" ")
-            rows += _cells(x, hidden, strays, rows[-1])
-            strays.append(" ")
+            strays.append((" ", False))
+            rows += _cells(x, rules, own, strays, rows[-1])
+            strays.append((" ", False))
         elif x.tag in ("td", "th"):
             if row is None:
                 row = []
                 rows.append(row)
-            span = x.attributes.get("colspan", "")
-            row.append((x, max(1, min(int(span) if span.isdecimal() else 1, 100))))
+            row.append((x, own))
         elif x.tag in ("thead", "tbody", "tfoot", "colgroup") or _holds_cells(x):
-            rows += _cells(x, hidden, strays, row)
+            rows += _cells(x, rules, own, strays, row)
         else:
-            strays.append(x)
+            strays.append((x, veiled))
     return rows
 
 
-def _table(node: Node, flow: Flow, hidden: set[str]) -> None:
-    strays: list[Node | str] = []
-    found = _cells(node, hidden, strays)
-    for x in strays:  # what stands outside of cells is shown before the table
-        _render(x, flow, hidden, False)
-    flow.end(0)
-    rows = [[(_lines(c, hidden), n) for c, n in row] for row in found]
-    widths: list[int] = []
+def _placed(rows: list[list[tuple[Node, list[str]]]]) -> tuple[list[list[tuple[int, int]]], list[int]] | None:
+    """(first column, columns) of each cell, and the width of each column; None if a line would be longer than LINE."""
+    busy: list[int] = []  # by column: rows that a cell above still takes
+    places, most = [], LINE // 3
     for row in rows:
-        at = 0
-        for lines, n in row:
-            widths += [0] * (at + n - len(widths))
-            if n == 1:
-                widths[at] = max([widths[at], *map(len, lines)])
+        at, placed = 0, []
+        for cell, _ in row:
+            while at < len(busy) and busy[at]:
+                at += 1
+            n = max(1, _number(cell.attributes.get("colspan", ""), most))
+            down = _number(cell.attributes.get("rowspan", ""), len(rows)) or len(rows)
+            placed.append((at, n))
+            busy += [0] * (at + n - len(busy))
+            busy[at : at + n] = [down] * n
             at += n
-    for row in rows:
-        for k in range(max([len(lines) for lines, _ in row], default=0)):
-            out, at = [], 0
-            for lines, n in row:
-                out.append((lines[k] if k < len(lines) else "").ljust(sum(widths[at : at + n]) + 2 * (n - 1)))
-                at += n
-            flow.line = "  ".join(out)
+            if len(busy) > most:
+                return None
+        busy = [max(0, b - 1) for b in busy]
+        places.append(placed)
+    widths = [0] * len(busy)
+    long = [(n, at, max(map(len, lines), default=0)) for row, placed in zip(rows, places) for (_, lines), (at, n) in zip(row, placed)]
+    for n, at, width in sorted(long):  # a cell over several columns widens the last of them
+        widths[at + n - 1] += max(0, width - sum(widths[at : at + n]) - 2 * (n - 1))
+    return (places, widths) if sum(widths) + 2 * len(widths) <= LINE else None
+
+
+def _table(node: Node, flow: Flow, rules: Rules, veiled: bool) -> None:
+    strays: list[tuple[Node | str, bool]] = []
+    found = _cells(node, rules, veiled, strays)
+    for x, own in strays:  # what stands outside of cells is shown before the table
+        _render(x, flow, rules, False, own)
+    flow.end(0)
+    rows = [[(c, _lines(c, rules, own)) for c, own in row] for row in found]
+    places, widths = _placed(rows) or ([[(k, 1) for k in range(len(row))] for row in rows], [])
+    for row, placed in zip(rows, places):
+        for k in range(max([len(lines) for _, lines in row], default=0)):
+            line, upto = "", 0
+            for (_, lines), (at, n) in zip(row, placed):
+                own = lines[k] if k < len(lines) else ""
+                if widths:
+                    line += " " * (sum(widths[upto:at]) + 2 * (at - upto)) + own.ljust(sum(widths[at : at + n]) + 2 * n - 2) + "  "
+                    upto = at + n
+                else:
+                    line += own + "  "
+            flow.line = line
             flow.end(0)
 
 
-def _lines(node: Node, hidden: set[str]) -> list[str]:
+def _lines(node: Node, rules: Rules, veiled: bool = False) -> list[str]:
     flow = Flow()
     for x in node.children:
-        _render(x, flow, hidden, False)
+        _render(x, flow, rules, False, veiled)
     flow.end(0)
     return flow.lines
 
 
-def _render(node: Node | str, flow: Flow, hidden: set[str], pre: bool) -> None:
+def _veiled(node: Node, rules: Rules, veiled: bool) -> bool:
+    """Whether an element's own text is hidden, by its visibility or that of the elements around it."""
+    own = _hides(node, "visibility", rules)
+    return veiled if own is None else own
+
+
+def _render(node: Node | str, flow: Flow, rules: Rules, pre: bool, veiled: bool) -> None:
     if isinstance(node, str):
-        flow.text(node, pre)
+        if not veiled:
+            flow.text(node, pre)
         return
     tag = node.tag
-    if not visible(node, hidden):
+    if not visible(node, rules):
         return
+    veiled = _veiled(node, rules, veiled)
     if tag == "br":
         flow.end(0, force=True)
         return
@@ -297,29 +378,30 @@ def _render(node: Node | str, flow: Flow, hidden: set[str], pre: bool) -> None:
     if block:
         flow.end(gap)
     if tag == "hr":
-        flow.line = "---"
+        flow.line = "" if veiled else "---"
     elif tag == "table":
-        _table(node, flow, hidden)
+        _table(node, flow, rules, veiled)
     elif tag in ("td", "th"):  # outside of a table
         for x in node.children:
-            _render(x, flow, hidden, pre)
+            _render(x, flow, rules, pre, veiled)
         flow.text(" ", False)
     elif tag in ("ul", "ol"):
         start = node.attributes.get("start", "1")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         for x in node.children:
-            if isinstance(x, Node) and x.tag == "li" and visible(x, hidden):
-                mark = f"{number}. " if tag == "ol" else "- "
+            if isinstance(x, Node) and x.tag == "li" and visible(x, rules):
+                inner = _veiled(x, rules, veiled)
+                mark = "" if inner else f"{number}. " if tag == "ol" else "- "
                 number += 1
                 outer = flow.indent
                 flow.end(0)
                 flow.indent, flow.mark = outer + " " * len(mark), mark
                 for y in x.children:
-                    _render(y, flow, hidden, pre)
+                    _render(y, flow, rules, pre, inner)
                 flow.end(0)
                 flow.indent, flow.mark = outer, ""
             else:
-                _render(x, flow, hidden, pre)
+                _render(x, flow, rules, pre, veiled)
     else:
         outer = flow.indent
         if tag in ("blockquote", "dd"):
@@ -327,7 +409,7 @@ def _render(node: Node | str, flow: Flow, hidden: set[str], pre: bool) -> None:
         shut = tag == "details" and "open" not in node.attributes
         for x in node.children:
             if not shut or isinstance(x, Node) and x.tag == "summary":
-                _render(x, flow, hidden, pre or tag in ("pre", "textarea"))
+                _render(x, flow, rules, pre or tag in ("pre", "textarea"), veiled)
         if block:
             flow.end(gap)
         flow.indent = outer
@@ -340,8 +422,8 @@ def render(page: str | None) -> str:
     """The visible text of a page, laid out."""
     if not page:
         return ""
-    root, hidden = parse(page)
-    lines = _lines(root, hidden)
+    root, rules = parse(page)
+    lines = _lines(root, rules)
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
