@@ -57,7 +57,13 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(rules.measure(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
     judged = rules.apply_policy(book)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", rules.only_rule().alias("only_rule"))
+
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8's ledger: what each rule of each policy drops, and drops alone."""
+    book = rules.ledger(rules.measure(_table(spark, sf_dir, "documents"), keep=["doc_id"])).select("failed_bits")
+    return rules.ablation(book, *rules.POLICIES)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_lm": op9_lm,
     "op10_secrets": op10_secrets,
+    "rules_ablation": rules_ablation,
 }
 
 ORACLES: dict[str, str] = {

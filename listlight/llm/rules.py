@@ -3,9 +3,11 @@
 measure() reads each text once and returns counts. ledger() evaluates every rule once on these counts and
 stores one bit for each rule that fails. A policy is a set of rules, that is a mask: apply_policy() keeps
 a document whose bits miss the mask, and ablation() finds by one bitwise aggregation how many documents
-each policy drops, which rule drops alone, and what leaving a rule out would keep.
+each policy drops, which rule drops alone, and what leaving a rule out would keep. Rules are added at the end,
+so that stored bits keep their meaning; a policy that changes gets a version of its own.
 
-Defined cases: a null or empty text has no words and fails few_words alone. Rows that share a doc_id are
+Defined cases: a null or empty text has no words and fails few_words alone. Very long texts are measured whole,
+in linear time. Rows that share a doc_id are
 judged each by its own text. Other columns pass through where asked for; names that clash with a
 measurement are replaced. An empty table gives an empty ledger.
 """
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from .shared import in_batches
 from .textbuf import NOT_SPACE, code_points, hash_spans, mix, slices, spans, sums_by
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals",
+    "n_bullets", "n_cut_lines", "n_wordy", "n_long_words", "n_run_chars",
+)
 
 
 def _set(*chars: int) -> np.ndarray:
@@ -36,6 +41,9 @@ _SYMBOL = _set(*b"#*$%&|<>")
 _NOT_NEWLINE = ~_set(10)
 _CAPITAL = _set(*range(0x41, 0x5B))
 _LETTER = _set(*range(0x41, 0x5B), *range(0x61, 0x7B))
+_WORDY = _LETTER | _set(*range(0xC3, 0xF5))  # letters, and first bytes of longer characters from Latin on
+_DASH = _set(*b"-*")
+LONG_WORD, RUN = 30, 6
 
 
 def _equal_to(keys: np.ndarray, earlier_only: bool) -> np.ndarray:
@@ -49,6 +57,31 @@ def _equal_to(keys: np.ndarray, earlier_only: bool) -> np.ndarray:
     return out
 
 
+def _ends_with(buf: np.ndarray, ends: np.ndarray, suffix: bytes) -> np.ndarray:
+    """Where buf[:end] ends with the suffix."""
+    out = ends >= len(suffix)
+    for k, c in enumerate(reversed(suffix)):
+        out = out & (buf[np.maximum(ends - 1 - k, 0)] == c)
+    return out
+
+
+def _spread(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), bool)
+    out[at] = values
+    return out
+
+
+def _in_runs(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Bytes of words in runs of RUN or more equal ones of a document."""
+    if not len(buf):
+        return np.zeros(0, bool)
+    new = np.concatenate(([True], buf[1:] != buf[:-1]))
+    new[offs[:-1][offs[:-1] < len(buf)]] = True
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(buf)))
+    return np.repeat((length >= RUN) & NOT_SPACE[buf[begin]], length)
+
+
 def _doc_keys(n: np.ndarray) -> np.ndarray:
     return np.repeat(mix(np.arange(len(n), dtype=np.uint64)), n)
 
@@ -69,6 +102,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line_starts, line_ends, line_first = spans(buf, offs, _NOT_NEWLINE)
             with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
             (line,) = hash_spans(buf, line_starts, line_ends)
+            begin, end = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends) - 1  # first and last word of each line
+            begin, end = begin[with_word], end[with_word]
+            head, tail = starts[begin], ends[end]
+            bullet = (_DASH[buf[head]] & (ends[begin] - head == 1)) | _ends_with(buf, np.minimum(head + 3, ends[begin]), "\u2022".encode())
+            cut = _ends_with(buf, tail, b"...") | _ends_with(buf, tail, "\u2026".encode())
+            of_lines = lambda x: sums_by(_spread(x, with_word), line_first)
+            wordy = np.concatenate(([0], np.cumsum(_WORDY[buf])))
+            chars = np.concatenate(([0], np.cumsum(code_points(buf))))
             dup = np.zeros(len(line), bool)
             dup[with_word] = _equal_to((line + _doc_keys(np.diff(line_first)))[with_word], True)
             parts.append(
@@ -81,6 +122,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums_by(with_word, line_first),
                     sums_by(_LETTER[buf], offs),
                     sums_by(_CAPITAL[buf], offs),
+                    of_lines(bullet),
+                    of_lines(cut),
+                    sums_by(wordy[ends] > wordy[starts], first),
+                    sums_by(chars[ends] - chars[starts] > LONG_WORD, first),
+                    sums_by(_in_runs(buf, offs), offs),
                 ]
             )
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)] or [pa.array([], pa.int64())] * len(MEASURES)
@@ -105,6 +151,11 @@ def rules() -> dict[str, Column]:
         "symbols": F.col("n_symbols") * 100 > words * 20,
         "duplicate_lines": (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 100 > F.col("n_lines") * 30),
         "capitals": (F.col("n_letters") >= 50) & (F.col("n_capitals") * 100 > F.col("n_letters") * 40),
+        "bullets": (F.col("n_lines") >= 3) & (F.col("n_bullets") * 100 > F.col("n_lines") * 90),
+        "cut_lines": (F.col("n_lines") >= 3) & (F.col("n_cut_lines") * 100 > F.col("n_lines") * 30),
+        "no_letters": F.col("n_wordy") * 100 < n * 60,
+        "long_words": F.col("n_long_words") * 100 > n * 10,
+        "runs": F.col("n_run_chars") * 100 > F.col("word_chars") * 20,
     }
 
 
@@ -112,7 +163,9 @@ def rules() -> dict[str, Column]:
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "2": ("few_words", "repeated_words", "short_or_long_words", "symbols", "duplicate_lines", "capitals"),
+    "3": ("few_words", "repeated_words", "short_or_long_words", "symbols", "duplicate_lines", "capitals", "bullets", "cut_lines", "no_letters", "long_words", "runs"),
 }
+LATEST = "3"
 
 
 def mask(names: tuple[str, ...]) -> int:
@@ -129,19 +182,28 @@ def fails(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
 
 
-def apply_policy(book: DataFrame, policy: str = "2", *, base: str = "base") -> DataFrame:
+def apply_policy(book: DataFrame, policy: str = LATEST, *, base: str = "base") -> DataFrame:
     """book with base_failed and kept (boolean): failure of the base policy, and neither that nor failure of `policy`."""
     return book.withColumn("base_failed", fails(base)).withColumn("kept", ~(fails(base) | fails(policy)))
 
 
-def ablation(book: DataFrame, policy: str = "2") -> DataFrame:
-    """rule, failed, only_this (what only this rule drops, so what leaving it out would keep), dropped, rows; from one aggregation over distinct bits."""
-    m = mask(POLICIES[policy])
-    bits = book.groupBy(F.col("failed_bits").bitwiseAND(F.lit(m)).alias("bits")).count()
-    flags = [F.struct(F.lit(name).alias("rule"), F.lit(mask((name,))).cast("long").alias("bit")) for name in POLICIES[policy]]
-    each = bits.withColumn("r", F.explode(F.array(*flags)))
+def only_rule(policy: str = LATEST) -> Column:
+    """The rule of a policy that alone drops a document, null if none or several do."""
+    bits = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*[F.when(bits == mask((name,)), F.lit(name)) for name in POLICIES[policy]])
+
+
+def ablation(book: DataFrame, *policies: str) -> DataFrame:
+    """policy, rule, failed, only_this (what only this rule drops, so what leaving it out would keep), dropped, rows; from one aggregation over distinct bits."""
+    bits = book.groupBy("failed_bits").count()
+    flags = [
+        F.struct(F.lit(p).alias("policy"), F.lit(name).alias("rule"), F.lit(mask((name,))).cast("long").alias("bit"), F.lit(mask(POLICIES[p])).cast("long").alias("mask"))
+        for p in policies or (LATEST,)
+        for name in POLICIES[p]
+    ]
+    each = bits.withColumn("r", F.explode(F.array(*flags))).withColumn("bits", F.col("failed_bits").bitwiseAND(F.col("r.mask")))
     count_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0))
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(
+    return each.groupBy(F.col("r.policy").alias("policy"), F.col("r.rule").alias("rule")).agg(
         count_if(F.col("bits").bitwiseAND(F.col("r.bit")) != 0).alias("failed"),
         count_if(F.col("bits") == F.col("r.bit")).alias("only_this"),
         count_if(F.col("bits") != 0).alias("dropped"),
