@@ -9,12 +9,14 @@ the character class of the run or piece. What base spans leave of it is reported
 
 Defined cases: a null or empty text has no spans. Offsets are code points, the end exclusive. Spans are
 sorted by start, then by kind in the order of KINDS. Rows that share a doc_id are scanned each by its own
-text. Columns named spans or redacted are replaced, others pass through if kept.
+text, and what stands in other rows of a batch never matters. A very long text is scanned in linear time.
+Columns named spans or redacted are replaced, others pass through if kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -68,6 +70,11 @@ def entropy_spans(run: bytes) -> list[tuple[int, int]]:
     if _SYMBOL.search(run):
         for m in _PIECE.finditer(run):
             found += [(m.start() + a, m.start() + b) for a, b in _windows(m[0])]
+    return _union(found)
+
+
+def _union(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one, by start."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and out[-1][1] >= a:
@@ -77,15 +84,18 @@ def entropy_spans(run: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def _left(a: int, b: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """The parts of a span that no base span covers."""
-    for p, q, _ in sorted(base):
-        if q > a and p < b:
+def _left(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that none of the spans (by start, apart from each other) covers."""
+    out = []
+    for k in range(max(bisect_right(covered, (a, a)) - 1, 0), len(covered)):
+        p, q = covered[k]
+        if p >= b:
+            break
+        if q > a:
             if p > a:
-                yield a, p
-            a = max(a, q)
-    if a < b:
-        yield a, b
+                out.append((a, p))
+            a = q
+    return out + [(a, b)] if a < b else out
 
 
 def _windows(run: bytes) -> list[tuple[int, int]]:
@@ -131,20 +141,23 @@ def _scan(buf: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, s
         for m in _ASSIGN.finditer(whole[offs[d] : offs[d + 1]]):
             if len(m[2]) >= 6:
                 found.setdefault(d, []).append((m.start(), m.end(), "assign"))
-    keyed = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in re.finditer(rb"AKIA", whole)}
+    keyed, at = set(), whole.find(b"AKIA")
+    while at >= 0:  # one that spans two documents must not hide the one after it
+        keyed.add(int(np.searchsorted(offs, at, "right")) - 1)
+        at = whole.find(b"AKIA", at + 1)
     for d in sorted(keyed):
         for m in _ACCESS.finditer(whole[offs[d] : offs[d + 1]]):
             if len(m[0]) >= 20:
                 found.setdefault(d, []).append((m.start(), m.end(), "access"))
     for d, a, b in runs(_HEX, 24):
         found.setdefault(d, []).append((a - int(offs[d]), b - int(offs[d]), "hex"))
-    base = {d: list(x) for d, x in found.items()}
+    base = {d: _union([(a, b) for a, b, _ in x]) for d, x in found.items()}
     for d, a, b in runs(_RUN, WINDOW):
         for x, y in entropy_spans(whole[a:b]):
             x, y = a + x - int(offs[d]), a + y - int(offs[d])
-            near = [s for s in base.get(d, ()) if s[0] < y and x < s[1]]
-            for p, q in _left(x, y, near):
-                if not near or not ALLOWED.fullmatch(whole[offs[d] + p : offs[d] + q]):
+            left = _left(x, y, base.get(d, []))
+            for p, q in left:
+                if left == [(x, y)] or not ALLOWED.fullmatch(whole[offs[d] + p : offs[d] + q]):
                     found.setdefault(d, []).append((p, q, "entropy"))
     for x in found.values():
         x.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
