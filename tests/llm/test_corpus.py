@@ -77,6 +77,23 @@ def test_near_duplicates_of_a_large_hot_group(spark):
     check_near(spark.createDataFrame(pairs, "doc_id long, text string").repartition(7), pairs)
 
 
+def test_near_duplicates_in_blocks_of_few_shingles(spark, monkeypatch):
+    """Blocks bounded by bytes, sets larger than a block, and hot sets: the same links."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dup, "HOT", 20)
+    rng = np.random.default_rng(6)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(120):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(1, 5), replace=False):
+            w[at] = f"n{rng.integers(1 << 30)}"
+        texts.append(" ".join(w))
+    long = [f"v{k}" for k in range(2000)]
+    texts += [" ".join(base)] * 90 + [" ".join(long), " ".join([*long[:1500], "other", *long[1501:]]), " ".join(long[:1900])] + ["a b c d e f g"] * 40
+    pairs = list(enumerate(texts))
+    check_near(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5), pairs)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (None, "a b c d e f", "y"), (3, "a b c d e f", "x"), (4, "A b c d e f", "x"), (4, "A b c d e f", "x"), (5, "w " * 300_000, "x"), (6, "one", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
@@ -143,6 +160,24 @@ def test_mixing(spark, docs):
     assert mixing.repeated(mixing.mix(docs), docs.columns).count() == sum(r["copies"] for r in first)
 
 
+def test_mixing_many_sources(spark, docs, monkeypatch):
+    """More sources than are broadcast, a hot one, and targets of hundreds of sources in one pass."""
+    rng = np.random.default_rng(12)
+    rows = [(k, "hot" if k % 3 == 0 else f"s{rng.integers(300)}" if k % 50 else None, "w " * int(rng.integers(0, 30))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    key = lambda rows: sorted((r["doc_id"], r["copies"], round(r["target"], 6)) for r in rows)
+    expected = key(mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 20)
+    got = mixing.mix(df).collect()
+    assert key(got) == expected and len(got) == len(rows)
+    sums = {}
+    for r in got:
+        sums[r["source"]] = sums.get(r["source"], 0) + r["size"]
+    sources = sorted(sums, key=lambda s: (s is None, s))
+    targets = dict(zip(sources, fill([sums[s] for s in sources], [(3, 1, 2)[k % 3] for k in range(len(sources))])))
+    assert all(abs(r["target"] - targets[r["source"]]) < 1e-6 * max(1, r["target"]) for r in got)
+
+
 def test_mixing_odd_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(k, "hot" if k % 3 else f"s{k % 17}", "w " * int(rng.integers(0, 60)), 1, 2) for k in range(600)]
@@ -208,6 +243,29 @@ def test_knn_repeated_ids_are_one_candidate(spark):
     assert sorted(tuple(r) for r in knn.nearest(df, F.col("vec_id") % 50 == 0).collect()) == expected
 
 
+@pytest.mark.parametrize("scale, least", [(256.0, 4096), (256.0, 16), (1e7, 16), (2.6e9, 7)])
+def test_knn_tiles_and_widths_agree(spark, monkeypatch, scale, least):
+    """Hot cells over several tiles, small cells sharing one, components of two, four and eight bytes, and empty vectors."""
+    monkeypatch.setattr(knn, "LEAST_ROWS", least)
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 3).clip(-0.5, 0.5)]) for k in range(200)] + [(k, [0.25, 0.5, -0.125]) for k in range(200, 330)] + [(331, [0.9, 0.0, 0.0]), (333, []), (350, [])]
+    x = {i: [int(np.floor(scale * c)) for c in [*v, 0, 0, 0][:3]] for i, v in rows}
+    expected = []
+    for q in range(0, 351, 50):
+        if q in x:
+            scores = sorted((-sum(a * b for a, b in zip(x[q], x[c])), c) for c in x if c != q)
+            expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in knn.nearest(df, F.col("vec_id") % 50 == 0, scale=scale).collect()) == expected
+    empty = spark.createDataFrame([(50, []), (3, []), (4, [])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in knn.nearest(empty, F.col("vec_id") % 50 == 0).collect()) == [(50, 1, 3, 0), (50, 2, 4, 0)]
+
+
+def test_knn_tiles():
+    assert knn._tiles({0: 3, 1: 4, 2: 25, 3: 2, 4: 8, 5: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
+    assert knn._tiles({7: 30}, 10) == {7: (0, 3)}
+
+
 def test_knn_bounds_prune_far_cells():
     pivots = np.array([[100, 0], [-100, 0]])
     cells, groups = {0: (10, 5.0), 1: (10, 5.0)}, {0: 1.0}
@@ -252,6 +310,23 @@ def test_classifier_odd_rows(spark, docs, module, label):
     assert {r["predicted"] for r in module.score(odd, module.train(docs, labels.limit(0))).collect()} == {0}
 
 
+def test_convolution_and_pooling_agree_with_loops(monkeypatch):
+    """Every filter over every window of every document, at least 0, in pieces of any size."""
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(50, toxicity.COLUMNS)).astype(np.float32)
+    lengths = [0, 1, 2, 3, 20, 0, 5, 7, 14, 1]
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    words = rng.integers(0, 50, (first[-1], 3)).astype(np.int32)
+    got = toxicity._pool(table, words, first)
+    for d, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+        for w, width in enumerate(toxicity.WIDTHS):
+            column = sum(toxicity.WIDTHS[:w]) * toxicity.FILTERS
+            for f in range(toxicity.FILTERS):
+                values = [sum(table[words[p + k]].sum(axis=0)[column + k * toxicity.FILTERS + f] for k in range(width) if p + k < hi) for p in range(lo, hi)]
+                assert np.isclose(got[d, w * toxicity.FILTERS + f], max([0.0, *values]), atol=1e-4)
+
+
 def test_sample_is_bounded_and_held_out(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").where(~held_out(F.col("doc_id"), 5, 0))
     rows = samples.labelled_sample(docs, labels, "toxic", per_class=5, max_chars=3000).collect()
