@@ -9,9 +9,10 @@ leave a pair as soon as the posterior probability that its similarity reaches th
 `miss`; what survives is confirmed on the full shingle sets (64-bit hashes).
 
 Defined cases: a null or empty text, or one without words, has no shingles, is linked with nothing and is
-kept. Fewer words than `words` make one shingle of the whole sequence. Rows that share a doc_id count as
-one document. A null doc_id takes no part in linking: component_id is null and kept true. Other columns
-are neither read nor returned. An empty table gives an empty result.
+kept. Fewer words than `words` make one shingle of the whole sequence. A very long text is one set like any
+other; blocks are bounded by the shingles that they hold. Rows that share a doc_id count as one document. A
+null doc_id takes no part in linking: component_id is null and kept true. Other columns are neither read nor
+returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop, in_batches, written
+from .shared import drop, in_batches, join_spread, written
 from .textbuf import LOWER, NOT_SPACE, hash_spans, mix, slices, spans
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
-BLOCK = 256  # members of a bucket on each side of a block
+BLOCK = 256  # members of a bucket on each side of a block, or so
+BLOCK_SHINGLES = 1 << 20  # their shingles (8 MB), or so; a larger set is a side of its own
+HOT = 10_000  # groups that hold this part of all rows or more, so this many at most, are joined by a broadcast
 BROADCAST_IDS = 1_000_000  # ids (8 MB) up to which the texts to confirm are found by a broadcast
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -214,6 +217,12 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
+def _hot(groups: DataFrame, rows: str) -> Column:
+    """Groups of so many rows that HOT of them would hold all."""
+    total = groups.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    return F.col(rows) * HOT >= F.lit(max(total, 2 * HOT))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); links have 100 * |A and B| >= percent * |A or B|.
 
@@ -223,19 +232,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(in_batches(source, _features(words), FEATURES), "features")
     with_set = table.where("n_shingles > 0 and doc_id is not null")
-    reps = with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    reps = written(with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     of_reps = with_set.join(reps.select("rep").distinct(), with_set.doc_id == F.col("rep"), "left_semi")
 
-    in_bands = of_reps.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    members = written(in_bands.join(buckets, "bucket"), "members")
+    in_bands = of_reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("doc_id").alias("least")).where("n > 1")
+    buckets = written(buckets, "buckets")
+    of_bucket = join_spread(in_bands.select("bucket", "doc_id"), buckets, ["bucket"], _hot(buckets, "n"), F.xxhash64("doc_id", "bucket"))
+    members = written(of_bucket.where("n is not null").select("bucket", "doc_id", "n", "shingles", "least"), "members")
+    drop(buckets)
 
     stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     signed = table.select("doc_id", "n_shingles", "sig").where("sig is not null").dropDuplicates(["doc_id"])
     one = signed.toDF("a", "n_a", "sig")
     two = signed.toDF("b", "n_b", "sig_b")
     near_size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    likely = written(stars.join(one, "a").join(two, "b").where(near_size).select("a", "b", "sig", "sig_b").mapInArrow(_prune(percent, miss), "a long, b long"), "likely")
+    starred = stars.join(one, "a").join(two, "b").where(near_size).select("a", "b", "sig", "sig_b")
+    likely = written(in_batches(starred, _prune(percent, miss), "a long, b long"), "likely")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = written(ids.distinct(), "ids")
@@ -247,33 +260,35 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
 
     sets = sets_of(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")))
     pairs = likely.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "shingles_b"), "b")
-    links = written(pairs.select("a", "b", "shingles", "shingles_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    links = written(in_batches(pairs.select("a", "b", "shingles", "shingles_b"), _confirm(percent), "a long, b long"), "links")
     drop(likely, sets)
     roots = written(components(links), "roots")
 
     # Buckets of three or more whose members still lie in different components.
-    rooted = members.where("n > 2").join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "n", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    rooted = members.where("n > 2").join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "n", "shingles", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
     still = rooted.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rest = written(rooted.join(still, "bucket", "left_semi"), "open")
     open_sets = sets_of(rest.select("doc_id"))
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     dealt = (
-        rest.join(signed.select("doc_id", "sig"), "doc_id")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bucket"), chunks).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        rest.withColumn("chunks", chunks).drop("shingles").join(signed.select("doc_id", "sig"), "doc_id")
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("chunks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "doc_id", "comp", "chunk", "sig")
         .join(open_sets, "doc_id")
         .select("bucket", "i", "j", "doc_id", "comp", "chunk", "sig", "shingles")
     )
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = written(dealt.mapInArrow(_blocks(percent, miss), "a long, b long"), "links")
+    more = written(in_batches(dealt, _blocks(percent, miss), "a long, b long"), "links")
     drop(rest, open_sets, members)
     final = written(components(roots.union(more)), "roots")
     drop(roots, links, more)
 
-    sets_roots = reps.join(final, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    keyed = table.select("doc_id", "n_shingles", "set_a", "set_b")
-    out = keyed.join(sets_roots, ["set_a", "set_b", "n_shingles"], "left")
+    # Copies find the component of their set: those of hot sets by a broadcast.
+    of_set = reps.join(final, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", "copies", F.coalesce("root", "rep").alias("component_id"))
+    of_set = written(of_set, "components")
+    drop(reps, final)
+    out = join_spread(table.select("doc_id", "set_a", "set_b", "n_shingles"), of_set, ["set_a", "set_b", "n_shingles"], _hot(of_set, "copies"), F.xxhash64("doc_id"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

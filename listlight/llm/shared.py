@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -89,6 +90,19 @@ def _delete_all() -> None:
             _delete(spark, path)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column, spread: Column) -> DataFrame:
+    """rows left-joined with table, which has a row for each key, without a hot key landing in one task.
+
+    Rows whose key is hot, which must hold for few rows of table, find theirs by a broadcast; in the shuffle that
+    serves the others they are dealt out by the long `spread` instead of the first key.
+    """
+    found = F.struct(*[c for c in table.columns if c not in keys])
+    joined = rows.join(F.broadcast(table.where(hot).select(*keys, found.alias("by_broadcast"))), keys, "left")
+    moved = joined.withColumn("own_key", F.col(keys[0])).withColumn(keys[0], F.when(F.col("by_broadcast").isNull(), F.col(keys[0])).otherwise(spread))
+    out = moved.join(table.where(~hot).select(*keys, found.alias("by_shuffle")), keys, "left").withColumn("found", F.coalesce("by_broadcast", "by_shuffle"))
+    return out.select(F.col("own_key").alias(keys[0]), *[c for c in rows.columns if c != keys[0]], "found.*")
+
+
 def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with Arrow batches of BATCH_ROWS rows and BATCH_BYTES or so: workers and executors hold few texts at once.
 
