@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import small
+
 # Sale vocabulary in rental comments (Latvian with and without accents, Russian).
 SALE_WORDS = ("pārdod", "pārdošan", "pārdots", "izpirkum", "pirkt", "pardod", "pardosan", "pardots", "продаётся", "Продаем", "Продается", "Продам")
 MOST_RENT_PER_SQM = 50
@@ -85,9 +87,9 @@ def whole_word_pattern(word: Column) -> Column:
 
 
 def tagged(docs: DataFrame, keywords: DataFrame, *texts: str) -> DataFrame:
-    """(row of docs, name) for each keyword (column name) that occurs as a whole word in the lower-cased texts: every pair is tried, by substring before the pattern."""
+    """(row of docs, name) for each keyword (column name) that occurs as a whole word in the lower-cased texts: every pair is tried, by substring before the pattern; for keywords that are a dimension. Beyond it tagged_by_token() is linear."""
     text = F.lower(F.concat_ws(" ", *texts))
-    return docs.join(F.broadcast(keywords), text.contains(F.lower("name")) & F.regexp_like(text, whole_word_pattern(F.col("name"))))
+    return docs.join(small(keywords), text.contains(F.lower("name")) & F.regexp_like(text, whole_word_pattern(F.col("name"))))
 
 
 def tagged_by_token(docs: DataFrame, key: str, keywords: DataFrame, *texts: str) -> DataFrame:
@@ -100,4 +102,4 @@ def tagged_by_token(docs: DataFrame, key: str, keywords: DataFrame, *texts: str)
 def tagged_by_substring(docs: DataFrame, keywords: DataFrame, *texts: str) -> DataFrame:
     """(row of docs, name) for each keyword that occurs anywhere in the texts, joined without separators; null texts count as empty."""
     text = F.lower(F.concat(*[F.coalesce(F.col(t), F.lit("")) for t in texts]))
-    return docs.join(F.broadcast(keywords), text.contains(F.lower(F.col("name"))))
+    return docs.join(small(keywords), text.contains(F.lower(F.col("name"))))

@@ -6,29 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from .stored import SMALL, numbered, small, written  # noqa: F401  (small is used from here too)
 
-SMALL = 100_000  # rows (a few MB) up to which a dimension is broadcast; beyond it joins shuffle
-
-
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows; the check reads no more than most + 1 of them."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+WRITTEN_FROM = 2  # rounds after which steps and pairs are written, so that plans stay short
 
 
 def closure(regions: DataFrame) -> DataFrame:
-    """(root_id, region_id): each region with itself and all its descendants, to any depth."""
-    spark = regions.sparkSession
-    regions.select("id", "parent_id").createOrReplaceTempView("closure_regions")
-    return spark.sql(
-        """
-        WITH RECURSIVE reach(root_id, region_id) AS (
-          SELECT id, id FROM closure_regions
-          UNION ALL
-          SELECT reach.root_id, r.id FROM reach JOIN closure_regions AS r ON r.parent_id = reach.region_id
-        )
-        SELECT root_id, region_id FROM reach
-        """
-    )
+    """(root_id, region_id): each region with itself and all its descendants, to any depth; regions in a cycle are an error.
+
+    Pairs up to 2^k levels apart follow from those up to 2^(k-1), so a tree of depth d takes log2(d) rounds.
+    """
+    ids = regions.select("id", "parent_id").where("id is not null")
+    reach = ids.select(F.col("id").alias("root_id"), F.col("id").alias("region_id"))
+    step = ids.where("parent_id is not null").join(ids.select(F.col("id").alias("known")), F.col("parent_id") == F.col("known"), "left_semi").select(F.col("parent_id").alias("root_id"), F.col("id").alias("region_id"))
+    levels, most = 1, None
+    while not step.isEmpty():
+        if levels > 1 << WRITTEN_FROM:
+            most = ids.count() if most is None else most
+            if levels > most:
+                raise ValueError("regions form a cycle")
+        below = reach.select(F.col("root_id").alias("via"), F.col("region_id").alias("below"))
+        reach = reach.union(step.join(below, F.col("region_id") == F.col("via")).select("root_id", F.col("below").alias("region_id")))
+        twice = step.select(F.col("root_id").alias("via"), F.col("region_id").alias("below"))
+        step = step.join(twice, F.col("region_id") == F.col("via")).select("root_id", F.col("below").alias("region_id"))
+        levels *= 2
+        if levels >= 1 << WRITTEN_FROM:
+            reach, step = written(reach, "reach"), written(step, "step")
+    return reach
 
 
 def of_kind(regions: DataFrame, kind: str, *, by_url: bool = False) -> DataFrame:
@@ -89,12 +93,15 @@ def resumed(regions: DataFrame, resume: DataFrame) -> DataFrame:
 
 
 def crawled_tree(links: DataFrame, base: str, root_path: str) -> DataFrame:
-    """Region rows (name, url, parent_url) of links (page_path, href, title, text): those one level below the page they stand on, once each, in English addresses."""
+    """Region rows (name, url, parent_url) of links (page_path, href, title, text): those one level below the page they stand on, once each, in English addresses.
+
+    Of several links to one address the first by parent (roots before all) and name counts.
+    """
     own = links.where(parse.is_direct_child(F.col("href"), F.col("page_path")))
     path = F.regexp_replace(F.col("href"), r"[?#].*$", "")
     english = lambda p: F.replace(F.concat(F.lit(base), p), F.lit("/lv/"), F.lit("/en/"))
     parent = F.when(F.col("page_path") != root_path, english(F.col("page_path")))
-    return own.select(parse.link_name(F.col("title"), F.col("text"), path).alias("name"), english(path).alias("url"), parent.alias("parent_url")).where("name <> ''").dropDuplicates(["url"])
+    return own.select(parse.link_name(F.col("title"), F.col("text"), path).alias("name"), english(path).alias("url"), parent.alias("parent_url")).where("name <> ''").groupBy("url").agg(F.min(F.struct("parent_url", "name")).alias("first")).select("first.name", "url", "first.parent_url")
 
 
 def synchronised(regions: DataFrame, crawled: DataFrame, category: str) -> DataFrame:
@@ -102,13 +109,14 @@ def synchronised(regions: DataFrame, crawled: DataFrame, category: str) -> DataF
 
     New ids continue after the largest, by address.
     """
+    crawled = written(crawled, "crawled")  # read by five joins
     known = regions.select(F.col("id").alias("known_id"), F.col("url").alias("known_url"))
     fresh = crawled.join(known, F.col("url") == F.col("known_url"), "left_anti")
     roots = crawled.where("parent_url is null").select("url").union(regions.where("parent_id is null").select("url")).distinct()
     placed = fresh.join(roots.withColumnRenamed("url", "parent_url"), "parent_url", "left_semi").unionByName(fresh.where("parent_url is null"))
     last = regions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = placed.withColumn("n", F.row_number().over(Window.orderBy(F.col("parent_url").isNotNull(), "url"))).crossJoin(F.broadcast(last))  # a crawl's new regions; last is one row
-    new = numbered.select((F.col("last") + F.col("n")).alias("id"), "name", "url", F.lit(category).alias("category"), "parent_url", F.col("parent_url").isNotNull().alias("scrape_enabled"))
+    ordered = numbered(placed.withColumn("is_child", F.col("parent_url").isNotNull()), ["is_child", "url"]).crossJoin(F.broadcast(last))  # last is one row
+    new = ordered.select((F.col("last") + F.col("n")).alias("id"), "name", "url", F.lit(category).alias("category"), "parent_url", F.col("parent_url").isNotNull().alias("scrape_enabled"))
     seen = crawled.select(F.col("url").alias("c_url"), F.col("name").alias("c_name"), F.col("parent_url").alias("c_parent"))
     old = regions.join(seen, F.col("url") == F.col("c_url"), "left")
     old = old.select("id", F.coalesce("c_name", "name").alias("name"), "url", "category", F.col("c_parent").alias("parent_url"), "scrape_enabled", "parent_id")

@@ -116,3 +116,8 @@ def vacancy_keywords(vacancies: DataFrame, links: DataFrame, keywords: DataFrame
     """Vacancies seen before, a row for each keyword, last seen first."""
     out = vacancies.where("last_seen is not null").join(links, F.col("id") == F.col("vacancy_id")).join(keywords.select(F.col("id").alias("keyword_id"), F.col("name").alias("keyword")), "keyword_id")
     return out.orderBy(F.desc("last_seen"), "id", "keyword_id")
+
+
+def text_order(column: str, collation: str | None = None) -> Column:
+    """What to sort texts by: their bytes, or a collation (UNICODE puts a before ā before b before Z)."""
+    return F.col(column) if collation is None else F.collate(column, collation)

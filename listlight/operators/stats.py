@@ -58,11 +58,11 @@ def region_ads(ads: DataFrame, sightings: DataFrame, closure: DataFrame, root_id
 KINDS = ("flat_rent", "flat_sale", "house_rent", "house_sale")
 
 
-def daily_report(sightings: dict[str, DataFrame], *, date_from: str, date_to: str, descending: bool = True, regions: DataFrame | None = None, ads: DataFrame | None = None) -> DataFrame:
+def daily_report(sightings: dict[str, DataFrame], *, date_from: str, date_to: str, direction: str | None = "desc", regions: DataFrame | None = None, ads: DataFrame | None = None) -> DataFrame:
     """seen_on, the count of each kind, flats, houses, total: one union and one aggregation.
 
     sightings: by kind (ad_id, seen_on). With regions (region_id), only sightings of ads (id, region_id) in them;
-    hidden ads count, unlike in region_stats.
+    hidden ads count, unlike in region_stats. direction: asc, or desc for whatever else is asked.
     """
     seen = reduce(DataFrame.union, [sightings[k].where(F.col("seen_on").between(F.lit(date_from).cast("date"), F.lit(date_to).cast("date"))).select("ad_id", "seen_on", F.lit(k).alias("kind")) for k in KINDS])
     if regions is not None:
@@ -70,7 +70,7 @@ def daily_report(sightings: dict[str, DataFrame], *, date_from: str, date_to: st
         seen = seen.join(own, "ad_id")
     out = seen.groupBy("seen_on").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
     out = out.select("*", (F.col("flat_rent") + F.col("flat_sale")).alias("flats"), (F.col("house_rent") + F.col("house_sale")).alias("houses")).withColumn("total", F.col("flats") + F.col("houses"))
-    return out.orderBy(F.desc("seen_on") if descending else F.asc("seen_on"))
+    return out.orderBy(F.asc("seen_on") if str(direction).lower() == "asc" else F.desc("seen_on"))
 
 
 def report_header(report: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import small, written
+
 
 def kid_friendly(pages: DataFrame, analyses: DataFrame, reviews: DataFrame, themes: DataFrame) -> DataFrame:
     """Pages whose expensive analyses are false for as many as there are themes and without a rejected review, or whose match of kid_unfriendly a reviewer rejected."""
-    a = analyses.join(F.broadcast(themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme"))), "theme_id")  # a handful of themes
+    a = analyses.join(small(themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme"))), "theme_id")
     rejected = a.join(reviews.where("not analysis_approved").select(F.col("page_analysis_id").alias("id")).distinct().withColumn("rejected", F.lit(True)), "id", "left")
     # All that the conditions ask, in one aggregation by page.
     facts = rejected.groupBy("page_id").agg(
@@ -28,8 +30,10 @@ def done(analyses: DataFrame, themes: int) -> DataFrame:
     return counts.where((F.col("n") >= themes) | (F.col("matches") > 0)).select("page_id")
 
 
-def missing(pages: DataFrame, themes: DataFrame, analyses: DataFrame) -> DataFrame:
-    """page_id, theme_id, analysis_order: themes that a page wasn't analysed for. One row for each page and theme, of which there are few."""
+def missing(pages: DataFrame, themes: DataFrame, analyses: DataFrame, most: int = 1000) -> DataFrame:
+    """page_id, theme_id, analysis_order: themes (at most `most`, more are an error) that a page wasn't analysed for."""
+    if themes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} themes")
     listed = F.broadcast(themes.agg(F.sort_array(F.collect_list(F.struct("analysis_order", F.col("id").alias("theme_id")))).alias("all")))
     pairs = pages.select(F.col("id").alias("page_id")).crossJoin(listed).select("page_id", F.explode("all").alias("t")).select("page_id", "t.theme_id", "t.analysis_order")
     return pairs.join(analyses.select("page_id", "theme_id"), ["page_id", "theme_id"], "left_anti")
@@ -61,20 +65,24 @@ def media_heavy_results(pages: DataFrame, theme_id: int) -> DataFrame:
     )
 
 
-def cascade(pages: DataFrame, themes: DataFrame, cheap, expensive) -> DataFrame:
+def cascade(pages: DataFrame, themes: DataFrame, cheap, expensive, *, cheap_tier: Column | None = None) -> DataFrame:
     """Analyses of pages in two tiers: the cheap scorer looks at the first theme; what it doesn't match goes to the expensive one, theme by theme up to the first match.
 
     A scorer maps (page_id, theme, text) rows to theme_match and confidence_score columns: DataFrame to DataFrame.
+    Pages of listings that switch the cheap tier off (cheap_tier false; null counts as true) go to the expensive one
+    at once. The cheap scorer runs once, its answers are written before they decide.
     """
     ordered = themes.select(F.col("name").alias("theme"), "analysis_order")
     first = F.broadcast(ordered.orderBy("analysis_order", "theme").limit(1))
     tier = lambda df, name: df.withColumn("model_tier", F.lit(name))
-    low = tier(cheap(pages.select(F.col("id").alias("page_id"), "text").crossJoin(first)), "cheap")  # one theme
-    rest = pages.select(F.col("id").alias("page_id"), "text").join(low.where("theme_match").select("page_id"), "page_id", "left_anti")
-    high = tier(expensive(rest.crossJoin(F.broadcast(ordered))), "expensive")  # a row for each page and theme, of which there are few
-    high = until_match(high.withColumnRenamed("theme", "name")).withColumnRenamed("name", "theme")
+    own = pages.select(F.col("id").alias("page_id"), "text", F.coalesce(F.lit(True) if cheap_tier is None else cheap_tier, F.lit(True)).alias("cheap_tier"))
     columns = ["page_id", "theme", "theme_match", "confidence_score", "model_tier"]
-    return low.select(columns).unionByName(high.select(columns))
+    low = tier(cheap(own.where("cheap_tier").select("page_id", "text").crossJoin(first)), "cheap")  # one theme
+    low = written(low.select(columns), "cheap")
+    rest = own.select("page_id", "text").join(low.where("theme_match").select("page_id"), "page_id", "left_anti")
+    high = tier(expensive(rest.crossJoin(small(ordered))), "expensive")  # a row for each page and theme, of which there are few
+    high = until_match(high.withColumnRenamed("theme", "name")).withColumnRenamed("name", "theme")
+    return low.unionByName(high.select(columns))
 
 
 def unfinished(pages: DataFrame, analyses: DataFrame, themes: int, *, target_theme: int | None = None, reanalyse: bool = False) -> DataFrame:

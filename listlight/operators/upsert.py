@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import numbered
+
 
 def last_of_each(batch: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:
-    """One row for each key: the one with the largest sequence (any one without a sequence)."""
-    if sequence is None:
-        return batch.dropDuplicates(keys)
+    """One row for each key: the one with the largest sequence, the largest other columns among equals or without a sequence."""
     rest = [c for c in batch.columns if c not in keys]
-    newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), sequence).alias("r"))
+    if not rest:
+        return batch.distinct()
+    row = F.struct(*rest)
+    newest = batch.groupBy(*keys).agg((F.max(row) if sequence is None else F.max_by(row, F.struct(sequence, row))).alias("r"))
     return newest.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in batch.columns])
 
 
@@ -73,12 +76,31 @@ def diff_update(stored: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def get_or_create(stored: DataFrame, wanted: DataFrame, keys: list[str], usable: Column | None = None) -> DataFrame:
     """A dimension (id, keys) with the wanted keys added under new ids after the largest, in the order of the keys."""
-    from pyspark.sql import Window
-
     new = (wanted.where(usable) if usable is not None else wanted).select(*keys).distinct().join(stored.select(*keys), keys, "left_anti")
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("last"))  # one row
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy(*keys))).crossJoin(F.broadcast(last))
-    return stored.select("id", *keys).union(numbered.select((F.col("last") + F.col("n")).alias("id"), *keys))
+    added = numbered(new, keys).crossJoin(F.broadcast(last))
+    return stored.select("id", *keys).union(added.select((F.col("last") + F.col("n")).alias("id"), *keys))
+
+
+def keywords_added(stored: DataFrame, names: DataFrame) -> DataFrame:
+    """The keyword dimension (id, name) with names (name) added, stripped and lower-cased; blank ones and those known make no row."""
+    clean = names.select(F.lower(F.trim(F.regexp_replace("name", r"^\s+|\s+$", ""))).alias("name"))
+    return get_or_create(stored, clean, ["name"], usable=F.col("name") != "")
+
+
+def required(stored: DataFrame, columns: dict[str, str], *, relax: bool = False) -> DataFrame:
+    """stored with columns that may not be null holding a default instead; with relax they may be null again, and the defaults become nulls."""
+    change = (lambda c, v: F.nullif(F.col(c), F.lit(v))) if relax else (lambda c, v: F.coalesce(F.col(c), F.lit(v)))
+    return stored.select(*[change(c, columns[c]).alias(c) if c in columns else F.col(c) for c in stored.columns])
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write each table as Parquet into its own folder below a new one; rows by name. An existing snapshot is never overwritten."""
+    out = {}
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        out[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
+    return out
 
 
 def sight(sightings: DataFrame, ads: DataFrame, day: Column) -> DataFrame:

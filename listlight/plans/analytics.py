@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import classify
+from ..functions import classify, parse
 from ..operators import regions, search, stats
 from ..sources.tables import visible
 from .market import ADS, CLOSURE, MOST_PER_SQM, REGIONS, SEEN, SIGHTINGS, Market
@@ -103,7 +104,7 @@ def a05_daily_report(m: Market):
 def j04_daily_report_of_region(m: Market):
     """Sightings of a region's ads, through the ads and without their visibility."""
     own = regions.closure(m.regions()).where("root_id = 1")
-    return stats.daily_report(m.seen(), date_from=SEEN_FROM, date_to=SEEN_TO, descending=False, regions=own, ads=m.seen_ads())
+    return stats.daily_report(m.seen(), date_from=SEEN_FROM, date_to=SEEN_TO, direction="asc", regions=own, ads=m.seen_ads())
 
 
 @query(
@@ -350,3 +351,24 @@ def a12_by_district(m: Market):
     """Share removed by district, and districts that go whole (here: sellers)."""
     ads = m.ads().where("deal_type = 'RENT'").withColumn("district", F.col("seller"))
     return stats.by_district(ads, F.col("price_per_sqm") > 1500)
+
+
+@query(f"WITH {SEEN} SELECT seen_on, count(*) AS total FROM seen {_IN_RANGE} GROUP BY seen_on ORDER BY seen_on DESC LIMIT 1")
+def t04_direction(m: Market):
+    """A direction that isn't known means the latest day first."""
+    return stats.daily_report(m.seen(), date_from=SEEN_FROM, date_to=SEEN_TO, direction="sideways").select("seen_on", "total").limit(1)
+
+
+@query(f"WITH {REGIONS} SELECT id, name, CAST(row_number() OVER (ORDER BY lower(name), id) AS INTEGER) AS place FROM regions")
+def t05_collated_names(m: Market):
+    """Names in the order of a collation, whatever their case."""
+    names = m.regions().select("id", F.when(F.col("id") % 2 == 0, F.lower("name")).otherwise(F.col("name")).alias("shown"), "name")
+    place = F.row_number().over(Window.orderBy(search.text_order("shown", "UNICODE_CI"), "id"))  # the regions are few
+    return names.select("id", "name", place.alias("place"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '—' ELSE format('{:,.2f}', p_retailprice * p_size) END AS label FROM part")
+def k18_dashes(m: Market):
+    """Numbers as texts; zero and null show as a dash."""
+    price = F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice") * F.col("p_size")).when(F.col("p_size") % 2 == 0, F.lit(0.0))
+    return m.table("part").select(F.col("p_partkey").alias("id"), parse.dash_if_zero(price, 2).alias("label"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..operators import stored as stored_tables
 from ..operators import upsert
 from ..sources import pages
 from ..streaming import sightings as stream
@@ -125,7 +124,7 @@ def s16_articles(m: Market):
 )
 def c01_ingested_ads(m: Market):
     """Parse, prune what is stored, insert the rest, and mark who was seen today."""
-    found = pages.flat_listing(_flat_pages(m), SITE).select("ad_id", "link", "total_price", "comment")
+    found = stored_tables.written(pages.flat_listing(_flat_pages(m), SITE).select("ad_id", "link", "total_price", "comment"), "found")  # parsed once, read three times
     even = F.regexp_extract("link", "([0-9]+)", 1).cast("int") % 2 == 0
     stored = found.where(even).select("ad_id", F.lit(1.0).alias("total_price"), F.lit("stored").alias("comment"))
     stored = stored.union(m.spark.createDataFrame([("gone", 1.0, "stored")], stored.schema))
@@ -145,8 +144,7 @@ def a13_action_counts(m: Market):
 @query("SELECT CAST(ts AS DATE) AS seen_on, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def st_daily_sightings(m: Market):
     """Streaming: files to one sighting for each ad and day, exactly once over two runs of a scheduled job, counted by day."""
-    folder = m.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{folder}/{'sightings-' + next(tempfile._get_candidate_names())}"
+    at = stored_tables.new_folder(m.spark, "sightings")
     events = m.table("events")
     events.select("user_id", "ts").write.parquet(f"{at}/in")
     for _ in range(2):

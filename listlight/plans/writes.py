@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import upsert
+from ..operators import stored, upsert
 from .market import ADS, SIGHTINGS, Market
 from .registry import query
 
@@ -33,15 +33,15 @@ def _tables(m: Market):
     coalesce(s.is_hidden, b.is_hidden) AS is_hidden, coalesce(s.first_seen, b.first_seen) AS first_seen FROM stored AS s FULL JOIN latest AS b ON b.id = s.id"""
 )
 def k02_upsert(m: Market):
-    """Listed columns change, the others keep their values; the last of a batch wins."""
-    stored, batch = _tables(m)
-    return upsert.upsert(stored, batch, ["id"], ["total_price", "comment"], sequence="seq")
+    """Listed columns change, the others keep their values; the last of a batch wins."""
+    old, batch = _tables(m)
+    return upsert.upsert(old, batch, ["id"], ["total_price", "comment"], sequence="seq")
 
 
 @query(f"WITH {_STORED} SELECT * FROM stored UNION ALL SELECT * FROM latest WHERE id NOT IN (SELECT id FROM stored)")
 def k03_insert_ignore(m: Market):
-    stored, batch = _tables(m)
-    return upsert.insert_ignore(stored, batch, ["id"], sequence="seq")
+    old, batch = _tables(m)
+    return upsert.insert_ignore(old, batch, ["id"], sequence="seq")
 
 
 @query(
@@ -50,22 +50,22 @@ def k03_insert_ignore(m: Market):
 )
 def k09_fill_blanks(m: Market):
     """A stored text is replaced only if blank."""
-    stored, batch = _tables(m)
-    stored = stored.withColumn("comment", F.when(F.col("id") % 8 == 0, "").otherwise(F.col("comment")))
-    return upsert.upsert(stored, batch, ["id"], [], sequence="seq", fill=["comment"]).select("id", "comment")
+    old, batch = _tables(m)
+    old = old.withColumn("comment", F.when(F.col("id") % 8 == 0, "").otherwise(F.col("comment")))
+    return upsert.upsert(old, batch, ["id"], [], sequence="seq", fill=["comment"]).select("id", "comment")
 
 
 @query(f"WITH {_STORED} SELECT id, CASE WHEN id IN (SELECT id FROM batch) THEN TIMESTAMP '2026-01-01' ELSE first_seen END AS first_seen FROM stored")
 def k10_touch(m: Market):
-    stored, batch = _tables(m)
-    return upsert.touch(stored, "id", batch, "first_seen", F.lit("2026-01-01").cast("timestamp_ntz")).select("id", "first_seen")
+    old, batch = _tables(m)
+    return upsert.touch(old, "id", batch, "first_seen", F.lit("2026-01-01").cast("timestamp_ntz")).select("id", "first_seen")
 
 
 @query(f"WITH {_STORED} SELECT id FROM batch WHERE id NOT IN (SELECT id FROM stored)")
 def j07_new_rows(m: Market):
     """Rows not stored, duplicates kept."""
-    stored, batch = _tables(m)
-    return upsert.new_rows(batch, stored, ["id"]).select("id")
+    old, batch = _tables(m)
+    return upsert.new_rows(batch, old, ["id"]).select("id")
 
 
 @query(f"WITH {ADS}, {SIGHTINGS} SELECT ad_id, seen_on FROM sightings UNION SELECT id, DATE '2001-12-31' FROM ads WHERE id % 5 = 0 UNION SELECT id, DATE '1998-03-05' FROM ads WHERE id % 5 = 0")
@@ -84,7 +84,7 @@ def k04_sight(m: Market):
     UNION ALL SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY phone, contact_id), phone, contact_id FROM wanted AS w WHERE NOT EXISTS (SELECT 1 FROM stored AS s WHERE s.phone = w.phone AND s.contact_id = w.contact_id)"""
 )
 def k05_sellers(m: Market):
-    """A dimension with what it lacked; blank keys make no row."""
+    """A dimension with what it lacked; blank keys make no row."""
     customers = m.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("phone"), F.col("c_mktsegment").alias("contact_id"))
     wanted = customers.where("id % 3 = 0").select("phone", "contact_id").union(m.table("supplier").select("s_name", F.lit("")))
     wanted = wanted.union(m.spark.createDataFrame([("", "")], "phone string, contact_id string"))
@@ -146,3 +146,36 @@ def j07_new_slots(m: Market):
     start = F.lit("2026-04-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("p_partkey") % 72).cast("int"))
     p = m.table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("title"), F.col("p_type").alias("channel"), start.alias("start_time"))
     return upsert.new_slots(p.where("id % 2 = 1"), p.where("id % 2 = 0")).select("id")
+
+
+@query(
+    """WITH stored AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer WHERE c_custkey % 2 = 0), wanted AS (SELECT DISTINCT lower(c_name) AS name FROM customer WHERE c_custkey % 3 = 0)
+    SELECT id, name FROM stored UNION ALL SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY name), name FROM wanted WHERE name NOT IN (SELECT name FROM stored)"""
+)
+def k16_keywords(m: Market):
+    """Names are stripped and lower-cased; known and blank ones make no row."""
+    customers = m.table("customer").select(F.col("c_custkey").alias("id"), "c_name")
+    wanted = customers.where("id % 3 = 0").select(F.concat(F.lit(" \t"), F.upper("c_name"), F.lit(" ")).alias("name"))
+    wanted = wanted.union(customers.where("id % 6 = 0").select("c_name")).union(customers.select(F.lit("  ")))
+    return upsert.keywords_added(customers.where("id % 2 = 0").select("id", F.lower("c_name").alias("name")), wanted)
+
+
+@query("SELECT o_orderkey AS id, coalesce(nullif(o_orderpriority, '5-LOW'), '') AS raw_project FROM orders")
+def m05_required(m: Market):
+    """A column that may no longer be null."""
+    rows = m.table("orders").select(F.col("o_orderkey").alias("id"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("raw_project"))
+    return upsert.required(rows, {"raw_project": ""})
+
+
+@query("SELECT o_orderkey AS id, nullif(o_orderpriority, '5-LOW') AS raw_project FROM orders")
+def m05_relaxed(m: Market):
+    """The inverse; blanks become nulls again."""
+    rows = m.table("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority")).alias("raw_project"))
+    return upsert.required(rows, {"raw_project": ""}, relax=True)
+
+
+@query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def k17_snapshot(m: Market):
+    """Tables written to a new folder, and what was read back."""
+    counts = upsert.snapshot({t: m.table(t) for t in ("customer", "orders", "part")}, stored.new_folder(m.spark, "snapshot"))
+    return m.spark.createDataFrame(sorted(counts.items()), "name string, n long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import written
+
 VACANCIES = (
     "vacancies array<struct<id: bigint, positionTitle: string, positionContent: string, employerName: string, salaryFrom: double, salaryTo: double, "
     "publishDate: string, expirationDate: string, categories: array<string>, keywords: array<string>>>"
@@ -48,20 +50,22 @@ def next_page(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r'<link [^>]*rel="next"[^>]*href="([^"]*)"', 1), F.lit(""))
 
 
-def chain(pages: DataFrame, start: str, most: int = 20) -> DataFrame:
-    """(url, n): the pages (url, next_url) that a listing leads through from its first, at most `most`."""
-    pages.select("url", "next_url").createOrReplaceTempView("chain_pages")
-    return pages.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(url, next_url, n) AS (
-          SELECT url, next_url, 1 FROM chain_pages WHERE url = :start
-          UNION ALL
-          SELECT p.url, p.next_url, walk.n + 1 FROM walk JOIN chain_pages AS p ON p.url = walk.next_url WHERE walk.n < {int(most)}
-        )
-        SELECT url, n FROM walk
-        """,
-        {"start": start},
-    )
+def chain(pages: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+    """(start, url, n): the pages (url, next_url) that each listing leads through from its first (starts: url), at most `most` of a listing.
+
+    Pages 2^k steps on follow from those 2^(k-1) on, so the rounds are log2(most), however many listings there are.
+    An address that isn't among the pages ends a chain; one that leads back goes on until `most`.
+    """
+    step = pages.groupBy("url").agg(F.min("next_url").alias("next_url"))
+    known = step.select(F.col("url").alias("next_url"))
+    step = written(step.join(known, "next_url", "left_semi").select(F.col("url").alias("at"), F.col("next_url").alias("to")), "step")
+    walk = starts.select("url").distinct().join(pages.select("url").distinct(), "url", "left_semi").select(F.col("url").alias("start"), "url", F.lit(1).alias("n"))
+    reach = 1
+    while reach < most and not step.isEmpty():
+        walk = written(walk.union(walk.join(step, F.col("url") == F.col("at")).select("start", F.col("to").alias("url"), F.col("n") + reach)), "walk")
+        step = written(step.join(step.select(F.col("at").alias("to"), F.col("to").alias("on")), "to").select("at", F.col("on").alias("to")), "step")
+        reach *= 2
+    return walk.where(F.col("n") <= most)
 
 
 def bare_text(html: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+DEPTH = 500  # elements nested deeper are placed at that depth
 ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "li": ("li",), "p": ("p",)}  # an opening tag ends an open one of these
 
 
@@ -37,11 +38,14 @@ class Element:
         return next(self.all(tag, css, **attributes), None)
 
     def strings(self, without: tuple[str, ...] = ()) -> Iterator[str]:
-        for c in self.children:
+        """All text below, in order, without that of some elements."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in without:
-                yield from c.strings(without)
+                todo += c.children[::-1]
 
     def text(self) -> str:
         return "".join(self.strings())
@@ -68,7 +72,7 @@ class _Builder(HTMLParser):
             self._close(ENDS[tag], "tr" if tag in ("td", "th") else "table" if tag == "tr" else None)
         e = Element(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].children.append(e)
-        if tag not in VOID:
+        if tag not in VOID and len(self.stack) < DEPTH:
             self.stack.append(e)
 
     def handle_startendtag(self, tag, attrs):
@@ -192,7 +196,7 @@ def flat_details(pages: DataFrame) -> DataFrame:
 
 
 def _house_detail(page: Element) -> list[dict]:
-    out = {"day": "", "phone": "", "contact_id": ""}
+    out = {"posted": "", "phone": "", "contact_id": ""}
     for row in (page.first("table", id="page_main") or page).all("tr"):
         own = list(row.all("td"))
         if len(own) != 2:
@@ -200,7 +204,7 @@ def _house_detail(page: Element) -> list[dict]:
         label, value = (e.text().strip() for e in own)
         if len(value) > 100:
             continue
-        for key, words in (("day", ("Date", "Datums")), ("phone", ("Phone", "Tālrunis")), ("contact_id", ("Contact", "Kontakts"))):
+        for key, words in (("posted", ("Date", "Datums")), ("phone", ("Phone", "Tālrunis")), ("contact_id", ("Contact", "Kontakts"))):
             if any(w in label for w in words):
                 out[key] = value
                 break
@@ -208,8 +212,8 @@ def _house_detail(page: Element) -> list[dict]:
 
 
 def house_details(pages: DataFrame) -> DataFrame:
-    r = records(pages, _house_detail, "day string, phone string, contact_id string")
-    return r.withColumn("post_date", parse.post_day(F.col("day"))).drop("day")
+    r = records(pages, _house_detail, "posted string, phone string, contact_id string")
+    return r.withColumn("post_date", parse.post_day(F.col("posted"))).drop("posted")
 
 
 def _programmes(page: Element) -> list[dict]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,6 +24,35 @@ def lexicon_scorer(lexicon: dict[str, tuple[str, ...]] = LEXICON) -> Callable[[p
     return score
 
 
+class Blocked(Exception):
+    """The model refuses to answer on a text."""
+
+
+def attempted(ask: Callable[[str, str], tuple[bool, float]], *, attempts: int = 2, sleep: Callable[[float], None] = time.sleep) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A scorer that asks a model for (theme_match, confidence_score) of each theme and text.
+
+    A blocked reply is a match of confidence 1.0. Other failures are tried again after 2^n seconds, `attempts` times
+    in all; then the answer is null, and the page stays unanswered for the theme.
+    """
+
+    def one(theme: str, text: str):
+        for n in range(attempts):
+            try:
+                return ask(theme, text)
+            except Blocked:
+                return True, 1.0
+            except Exception:  # whatever the client of a model raises
+                if n + 1 < attempts:
+                    sleep(2.0**n)
+        return None, None
+
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        found = [one(theme, text) for theme, text in zip(batch["theme"], batch["text"])]
+        return pd.DataFrame({"theme_match": pd.array([x for x, _ in found], "boolean"), "confidence_score": pd.array([y for _, y in found], "Float64")})
+
+    return score
+
+
 def scored(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """rows (page_id, theme, text, ...) with theme_match and confidence_score instead of text."""
     keep = [c for c in rows.columns if c != "text"]

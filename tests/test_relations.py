@@ -1,13 +1,16 @@
 """Regions, statistics, search, writes and themes on small tables, and properties that must hold."""
 
 import datetime as dt
+import uuid
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from listlight.operators import regions, search, stats, themes, upsert
+from listlight.operators import regions, search, stats, stored, themes, upsert
+from listlight.sources import scorer
 from listlight.sources.tables import SCHEMAS, all_rows, visible
 
 TREE = [(1, None), (2, 1), (3, 2), (4, 1), (9, None)]
@@ -116,3 +119,48 @@ def test_resume_point(spark):
     r = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "id long, scrape_enabled boolean")
     at = lambda x: sorted(y["id"] for y in regions.resumed(r, spark.createDataFrame([(x,)], "region_id long")).collect())
     assert at(2) == [2, 4] and at(3) == [] and at(None) == [1, 2, 4]
+
+
+def test_closure_of_a_deep_chain_and_of_a_cycle(spark):
+    deep = spark.createDataFrame([(k, k - 1 if k else None) for k in range(1000)] + [(5000, 9999)], "id long, parent_id long")
+    got = regions.closure(deep)
+    assert got.count() == 1000 * 1001 // 2 + 1 and got.where("root_id = 0").count() == 1000 and got.distinct().count() == got.count()
+    with pytest.raises(ValueError, match="cycle"):
+        regions.closure(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, parent_id long"))
+    assert regions.closure(deep.limit(0)).count() == 0
+
+
+def test_numbering_and_determinism(spark):
+    rows = spark.createDataFrame([(f"k{k % 700:03}", k) for k in range(1400)], "name string, v long").repartition(7)
+    got = stored.numbered(rows, ["name", "v"]).orderBy("n").collect()
+    assert [(r["name"], r["v"]) for r in got] == sorted((r["name"], r["v"]) for r in got) and [r["n"] for r in got] == list(range(1, 1401))
+    assert {r["v"] for r in upsert.last_of_each(rows, ["name"], None).collect()} == set(range(700, 1400))
+    tie = spark.createDataFrame([(1, "a", 5), (1, "b", 5)], "id long, x string, s long")
+    assert upsert.last_of_each(tie, ["id"], "s").collect()[0]["x"] == "b"
+    stored_keys = spark.createDataFrame([(7, "k001")], "id long, name string")
+    new = upsert.get_or_create(stored_keys, rows, ["name"]).orderBy("id").collect()
+    assert [r["name"] for r in new] == ["k001", *(f"k{k:03}" for k in range(700) if k != 1)] and [r["id"] for r in new] == [7, *range(8, 707)]
+
+
+def test_cascade_asks_the_cheap_scorer_once(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "bad", True), (2, "fine", None), (3, "bad", False)], "id long, text string, cheap boolean")
+    kinds = spark.createDataFrame([("b", 2), ("a", 1)], "name string, analysis_order int")
+
+    def asked(name):
+        def score(batch):
+            for t in batch["text"]:
+                (tmp_path / f"{name}-{uuid.uuid4().hex}").write_text(t)
+            return pd.DataFrame({"theme_match": [t == "bad" for t in batch["text"]], "confidence_score": [0.5] * len(batch)})
+
+        return lambda rows: scorer.scored(rows, score)
+
+    out = themes.cascade(pages, kinds, asked("cheap"), asked("high"), cheap_tier=F.col("cheap")).collect()
+    assert sorted((r["page_id"], r["theme"], r["theme_match"], r["model_tier"]) for r in out) == [(1, "a", True, "cheap"), (2, "a", False, "cheap"), (2, "a", False, "expensive"), (2, "b", False, "expensive"), (3, "a", True, "expensive")]
+    assert len(list(tmp_path.glob("cheap-*"))) == 2
+
+
+def test_snapshots_are_never_overwritten(spark, tmp_path):
+    df = spark.range(3)
+    assert upsert.snapshot({"a": df}, str(tmp_path / "s")) == {"a": 3}
+    with pytest.raises(Exception, match="(?i)exist"):
+        upsert.snapshot({"a": df}, str(tmp_path / "s"))
