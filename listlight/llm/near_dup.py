@@ -242,13 +242,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     members = written(of_bucket.where("n is not null").select("bucket", "doc_id", "n", "shingles", "least"), "members")
     drop(buckets)
 
-    stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    stars = written(members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "stars")
     signed = table.select("doc_id", "n_shingles", "sig").where("sig is not null").dropDuplicates(["doc_id"])
     one = signed.toDF("a", "n_a", "sig")
     two = signed.toDF("b", "n_b", "sig_b")
     near_size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    starred = stars.join(one, "a").join(two, "b").where(near_size).select("a", "b", "sig", "sig_b")
+    centres = written(stars.groupBy("b").agg(F.count("*").alias("stars")).join(two, "b"), "centres")
+    starred = join_spread(stars.join(one, "a"), centres, ["b"], _hot(centres, "stars"), F.xxhash64("a")).where(near_size).select("a", "b", "sig", "sig_b")
     likely = written(in_batches(starred, _prune(percent, miss), "a long, b long"), "likely")
+    drop(stars, centres)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = written(ids.distinct(), "ids")
