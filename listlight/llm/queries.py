@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, knn, lm, mixing, quality, rules, secrets, toxicity
+from . import bpe, html, knn, lm, mixing, oracles, quality, rules, secrets, toxicity
 from .near_dup import near_duplicates
 from .textbuf import held_out
 
@@ -101,6 +101,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_near_dup": oracles.NEAR_DUP,
+    "op8_rules": oracles.RULES,
+    "rules_ablation": oracles.ABLATION,
     "op4_knn": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
