@@ -57,9 +57,9 @@ def _equal_to(keys: np.ndarray, earlier_only: bool) -> np.ndarray:
     return out
 
 
-def _ends_with(buf: np.ndarray, ends: np.ndarray, suffix: bytes) -> np.ndarray:
-    """Where buf[:end] ends with the suffix."""
-    out = ends >= len(suffix)
+def _ends_with(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, suffix: bytes) -> np.ndarray:
+    """Where buf[start:end] ends with the suffix."""
+    out = ends - starts >= len(suffix)
     for k, c in enumerate(reversed(suffix)):
         out = out & (buf[np.maximum(ends - 1 - k, 0)] == c)
     return out
@@ -105,8 +105,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends) - 1  # first and last word of each line
             begin, end = begin[with_word], end[with_word]
             head, tail = starts[begin], ends[end]
-            bullet = (_DASH[buf[head]] & (ends[begin] - head == 1)) | _ends_with(buf, np.minimum(head + 3, ends[begin]), "\u2022".encode())
-            cut = _ends_with(buf, tail, b"...") | _ends_with(buf, tail, "\u2026".encode())
+            bullet = (_DASH[buf[head]] & (ends[begin] - head == 1)) | _ends_with(buf, head, np.minimum(head + 3, ends[begin]), "\u2022".encode())
+            cut = _ends_with(buf, starts[end], tail, b"...") | _ends_with(buf, starts[end], tail, "\u2026".encode())
             of_lines = lambda x: sums_by(_spread(x, with_word), line_first)
             wordy = np.concatenate(([0], np.cumsum(_WORDY[buf])))
             chars = np.concatenate(([0], np.cumsum(code_points(buf))))

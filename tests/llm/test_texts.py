@@ -71,6 +71,14 @@ def test_rules_measure_lines_and_runs(spark):
     assert all(tuple(r)[1:] == measured(r["text"]) + measured_for_rules(r["text"]) for r in rules.measure(df).collect())
 
 
+def test_rules_rows_do_not_touch_each_other(spark):
+    """A first word that would end in dots, start a bullet or go on with a run together with the row before."""
+    texts = ["end.", "..\na\nb", "a..", ".", "xaaa", "aaa x", "-", "- y", "", "...", None, ".."]
+    for order in (texts, texts[::-1], sorted(texts, key=lambda t: t or "")):
+        df = spark.createDataFrame([(t,) for t in order], "text string").coalesce(1)
+        assert all(tuple(r)[1:] == measured(r["text"]) + measured_for_rules(r["text"]) for r in rules.measure(df).collect())
+
+
 def test_rules_policies(spark, docs, odd):
     book = rules.ledger(rules.measure(docs, keep=["doc_id"])).cache()
     judged = rules.apply_policy(book).collect()
