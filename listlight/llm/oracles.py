@@ -4,6 +4,24 @@ SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RUNS = "|".join(rf"\x{c:02X}{{6,}}" for c in range(128) if c != 0x20 and not 9 <= c <= 13)  # runs of a character of one byte
 
+KNN = """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             max(CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT)) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+      WHERE q.vec_id % 50 = 0
+      GROUP BY q.vec_id, c.vec_id
+    ), ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+      FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 NEAR_DUP = rf"""
     WITH RECURSIVE worded AS (
       SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'), '{WORD}+') AS w FROM documents

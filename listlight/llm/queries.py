@@ -104,20 +104,5 @@ ORACLES: dict[str, str] = {
     "op7_near_dup": oracles.NEAR_DUP,
     "op8_rules": oracles.RULES,
     "rules_ablation": oracles.ABLATION,
-    "op4_knn": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-          FROM embeddings
-          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
-        ), scored AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                 CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-          FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
-          WHERE q.vec_id % 50 = 0
-        ), ranked AS (
-          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-          FROM scored
-        )
-        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-    """,
+    "op4_knn": oracles.KNN,
 }

@@ -4,11 +4,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from listlight.llm import graph, html, knn, lm, mixing, near_dup, quality, queries, samples, toxicity
+from listlight.llm import graph, html, knn, lm, mixing, near_dup, oracles, quality, queries, samples, toxicity
 from listlight.llm.textbuf import held_out
 from tests.oracle import SF
 
@@ -241,6 +242,10 @@ def test_knn_repeated_ids_are_one_candidate(spark):
         expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(of)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     assert sorted(tuple(r) for r in knn.nearest(df, F.col("vec_id") % 50 == 0).collect()) == expected
+    duck = duckdb.connect()
+    table = df.toArrow()
+    duck.register("embeddings", table)
+    assert sorted(duck.execute(oracles.KNN).fetchall()) == expected
 
 
 @pytest.mark.parametrize("scale, least", [(256.0, 4096), (256.0, 16), (1e7, 16), (2.6e9, 7)])
