@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from .stored import SMALL, numbered, small, written  # noqa: F401  (small is used from here too)
+from .stored import SMALL, drop, numbered, small, written  # noqa: F401  (small is used from here too)
 
 WRITTEN_FROM = 2  # rounds after which steps and pairs are written, so that plans stay short
 
@@ -19,7 +19,7 @@ def closure(regions: DataFrame) -> DataFrame:
     ids = regions.select("id", "parent_id").where("id is not null")
     reach = ids.select(F.col("id").alias("root_id"), F.col("id").alias("region_id"))
     step = ids.where("parent_id is not null").join(ids.select(F.col("id").alias("known")), F.col("parent_id") == F.col("known"), "left_semi").select(F.col("parent_id").alias("root_id"), F.col("id").alias("region_id"))
-    levels, most = 1, None
+    levels, most, tables = 1, None, ()
     while not step.isEmpty():
         if levels > 1 << WRITTEN_FROM:
             most = ids.count() if most is None else most
@@ -32,6 +32,9 @@ def closure(regions: DataFrame) -> DataFrame:
         levels *= 2
         if levels >= 1 << WRITTEN_FROM:
             reach, step = written(reach, "reach"), written(step, "step")
+            drop(*tables)
+            tables = reach, step
+    drop(*tables[1:])
     return reach
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SMALL = 100_000  # rows (a few MB) up to which a dimension is broadcast; beyond it joins shuffle
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_folders: dict[str, str] = {}  # of applications that name no shared folder themselves
+_tables: dict[str, tuple[str, object]] = {}  # path: (application, Hadoop configuration, which outlives the application)
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -17,13 +24,16 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset and executors are this machine (local runs): a folder of our own."""
+    """The session's spark.checkpoint.dir. Only where that is unset and executors are this machine (local runs): a folder of our own, one for each application."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="listlight-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if context.applicationId not in _folders:
+            _folders[context.applicationId] = tempfile.mkdtemp(prefix="listlight-")
+            kept(spark, _folders[context.applicationId])
+        path = _folders[context.applicationId]
     return path.rstrip("/")
 
 
@@ -31,11 +41,92 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/listlight-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: computed once, and a lineage cut that survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _system(spark_jvm, path: str, conf):
+    at = spark_jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(conf)
+
+
+def kept(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted: by drop, by close, when another session writes after the end of this one, or at the latest as the JVM or Python exits."""
+    conf = spark._jsc.hadoopConfiguration()
+    at, system = _system(spark._jvm, path, conf)
+    system.deleteOnExit(at)
+    _tables[path] = spark.sparkContext.applicationId, conf
+
+
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+
+    _, conf = _tables.pop(path)
+    if SparkContext._jvm is not None:
+        at, system = _system(SparkContext._jvm, path, conf)
+        system.delete(at, True)
+        system.cancelDeleteOnExit(at)
+
+
+def write(df: DataFrame, name: str, codec: str | None = None, by: str | None = None) -> str:
+    """Write df as Parquet into a new folder below the shared one and return its path.
+
+    The shuffle files of the write are deleted with its end, as nothing reads them again. What ended sessions left is deleted first.
+    """
+    spark = df.sparkSession
+    own = spark.sparkContext.applicationId
+    for path in [p for p, (application, _) in _tables.items() if application != own]:
+        _delete(path)
+        _folders.pop(next((a for a, f in _folders.items() if f == path), None), None)
+    path = new_folder(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        writer = df.write.option("compression", codec) if codec else df.write
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        kept(spark, path)
+    except BaseException:
+        at, system = _system(spark._jvm, path, spark._jsc.hadoopConfiguration())
+        system.delete(at, True)
+        raise
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return path
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out.listlight_path = path
+    return out
+
+
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df into the shared folder and read it back: computed once, and a lineage cut that survives lost executors.
+
+    The table stays until drop or close, since results that are still to be run may read it; at the latest it goes with the session.
+    """
+    return read(df.sparkSession, write(df, name, codec), df.schema)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for df in tables:
+        path = getattr(df, "listlight_path", None) if "listlight_path" in df.__dict__ else None
+        for file in [] if path else df.inputFiles()[:1]:
+            path = max([p for p in _tables if "/".join(p.split("/")[-2:]) + "/" in unquote(file)], key=len, default=None)
+        if path in _tables:
+            _delete(path)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete all that was written for the session's results; they can't be read any more."""
+    for path in [p for p, (application, _) in _tables.items() if application == spark.sparkContext.applicationId and p not in _folders.values()]:
+        _delete(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_tables):
+        try:
+            _delete(path)
+        except Exception:  # the JVM is gone; it has deleted what it was told to as it went
+            return
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

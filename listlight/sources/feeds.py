@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stored import written
+from ..operators.stored import drop, written
 
 VACANCIES = (
     "vacancies array<struct<id: bigint, positionTitle: string, positionContent: string, employerName: string, salaryFrom: double, salaryTo: double, "
@@ -62,9 +62,12 @@ def chain(pages: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     walk = starts.select("url").distinct().join(pages.select("url").distinct(), "url", "left_semi").select(F.col("url").alias("start"), "url", F.lit(1).alias("n"))
     reach = 1
     while reach < most and not step.isEmpty():
+        before, first = (walk, step), reach == 1
         walk = written(walk.union(walk.join(step, F.col("url") == F.col("at")).select("start", F.col("to").alias("url"), F.col("n") + reach)), "walk")
         step = written(step.join(step.select(F.col("at").alias("to"), F.col("to").alias("on")), "to").select("at", F.col("on").alias("to")), "step")
+        drop(*before[first:])  # the first walk isn't written
         reach *= 2
+    drop(step)
     return walk.where(F.col("n") <= most)
 
 
