@@ -1,95 +1,30 @@
-"""Tables in the folder that driver and executors share (spark.checkpoint.dir)."""
+"""Tables in the folder that driver and executors share, by the module that the rest of the library uses; joins and batches of the operators."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset and executors are this machine (local runs): a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="listlight-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _write(df: DataFrame, name: str, codec: str | None, by: str | None = None) -> str:
-    """The shuffle files of the write are deleted with its end, as nothing reads them again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/listlight-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        writer = df.write.option("compression", codec) if codec else df.write
-        (writer.partitionBy(by) if by else writer).parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
-    return path
-
-
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    _own.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
-def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: a lineage cut that survives lost executors.
+from ..operators.stored import drop, kept, read, shared_dir, write, written  # noqa: F401  (used from here too)
 
-    A table stays until it is dropped or the session ends, since results that are still to be run may read it.
-    """
-    return _read(df.sparkSession, _write(df, name, codec), df.schema)
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def written_apart(df: DataFrame, name: str, by: str, values: list, codec: str | None = None) -> list[DataFrame]:
     """As written: a table for each of the values that the column `by` has, without that column."""
-    path, rest = _write(df, name, codec, by), df.drop(by)
-    _own.append((df.sparkSession, path))
+    spark, rest = df.sparkSession, df.drop(by)
+    path = write(df, name, codec, by)
     out = []
     for v in values:
         at = f"{path}/{by}={v}"
         rest.limit(0).write.mode("append").parquet(at)  # a value without rows is an empty table
-        out.append(_read(df.sparkSession, at, rest.schema))
+        kept(spark, at)
+        out.append(read(spark, at, rest.schema))
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete written tables that nothing lazy reads any more."""
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            of = [p for _, p in _own if "/".join(p.split("/")[-2:]) + "/" in unquote(file)]
-            if of:
-                path = max(of, key=len)
-                _delete(df.sparkSession, path)
-                _own[:] = [x for x in _own if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in _own:
-        if spark._sc._jsc is not None:
-            _delete(spark, path)
-
-
 def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column, spread: Column) -> DataFrame:
     """rows left-joined with table, which has a row for each key, without a hot key landing in one task.
 
