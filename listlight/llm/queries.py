@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, knn, lm, mixing, oracles, quality, rules, secrets, toxicity
+from . import bpe, byte_bpe, hard_negatives, html, knn, lm, mixing, oracles, quality, rules, secrets, toxicity, whitening
 from .near_dup import near_duplicates
 from .textbuf import held_out
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"], packed=True, decode=True)
+    count = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", count, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -97,6 +114,9 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_lm": op9_lm,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
     "rules_ablation": rules_ablation,
 }
 
@@ -105,4 +125,5 @@ ORACLES: dict[str, str] = {
     "op8_rules": oracles.RULES,
     "rules_ablation": oracles.ABLATION,
     "op4_knn": oracles.KNN,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
