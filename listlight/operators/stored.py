@@ -136,3 +136,18 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     offsets = spread.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     return spread.join(F.broadcast(offsets), "part").withColumn("n", F.col("offset") + within).drop("part", "offset")
+
+
+def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with, for each (name: column) of sums, the sum of the column up to and including the row in the order of columns (nulls first; unique, lest ties be summed in any order).
+
+    Ranges are summed apart and offset by the totals of those before them: no task sees more than a range.
+    """
+    spread = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "running")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = spread.groupBy("part").agg(*[F.sum(c).alias(f"of_{n}") for n, c in sums.items()])
+    offsets = totals.select("part", *[F.coalesce(F.sum(f"of_{n}").over(before), F.lit(0)).alias(f"of_{n}") for n in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = spread.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"in_{n}") for n, c in sums.items()])
+    joined = summed.join(F.broadcast(offsets), "part")
+    return joined.select(*rows.columns, *[(F.col(f"of_{n}") + F.col(f"in_{n}")).alias(n) for n in sums])

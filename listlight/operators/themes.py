@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import small, written
+from .stored import drop, numbered, running, small, written
 
 
 def kid_friendly(pages: DataFrame, analyses: DataFrame, reviews: DataFrame, themes: DataFrame) -> DataFrame:
@@ -56,6 +56,75 @@ def within_budget(pages: DataFrame, order: list[Column], budget: int) -> DataFra
     return pages.orderBy(*order).limit(budget)
 
 
+def _asked(rows: DataFrame, scorer, tier: str, step: int, name: str) -> DataFrame:
+    """One call for each of rows (n, page_id, theme, text), written, so that no model is asked twice: its answer, and whether there was one."""
+    keep = ["n", "page_id", "theme", "theme_match", "confidence_score"]
+    return written(scorer(rows).select(*keep, F.lit(tier).alias("model_tier"), F.lit(step).alias("step"), F.col("theme_match").isNotNull().alias("answered")), name)
+
+
+def calls_within_budget(pages: DataFrame, order: list[str], themes: DataFrame, cheap, expensive, budget: int, *, cheap_tier: Column | None = None, most: int = 100) -> DataFrame:
+    """The calls of models that a run over pages (id, text, order columns) makes until `budget` of them were answered: n (the page's place in order), page_id, theme,
+    theme_match, confidence_score, model_tier, step (of the page), answered, spent (answers up to and with this call), complete (the page's analysis came to its end).
+
+    A page is looked at by the cheap scorer up to the first theme that it answers; unless that matches, by the expensive one theme by theme up to
+    the first match. A scorer maps (n, page_id, theme, text) to theme_match (null: no answer, which costs nothing; a blocked reply is an answer) and confidence_score. Before each call
+    the run ends if the budget is spent, so of a page in the middle some calls are made and it is not complete. cheap_tier: as for cascade().
+
+    Pages are taken in waves that can't overspend: as many as the rest of the budget allows if each needed all its calls; when not even one page surely fits, the next one's
+    calls are made one by one. So a run makes the calls that a run page by page makes, in some log(budget) waves. Themes are few (more than `most` are an error). The order must tell all pages apart.
+    """
+    names = [r["name"] for r in themes.orderBy("analysis_order", "name").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} themes")
+    tier = F.coalesce(F.lit(True) if cheap_tier is None else cheap_tier, F.lit(True))
+    queue = written(numbered(pages.select("id", "text", *[c for c in order if c not in ("id", "text")], tier.alias("cheap_tier")), order).select("n", F.col("id").alias("page_id"), "text", "cheap_tier"), "queue")
+    total, left, at, calls = queue.count(), budget, 1, []
+    worst = 1 + len(names)  # answers that a page may need
+
+    def one_wave(wave: DataFrame, allowed: int) -> int:
+        """Answers to the calls of a wave of pages, at most `allowed` (which one page alone may exceed)."""
+        spent, step = 0, 0
+        for name, scorer in (("cheap", cheap), ("expensive", expensive)):
+            open_pages = wave.where("cheap_tier") if name == "cheap" else wave
+            matched = [c.where(F.col("theme_match") & (F.col("model_tier") == "cheap")).select("n") for c in calls[begun:]]
+            for found in matched:
+                open_pages = open_pages.join(found, "n", "left_anti")
+            for theme in names:
+                if spent >= allowed:
+                    return spent
+                answers = _asked(open_pages.select("n", "page_id", F.lit(theme).alias("theme"), "text"), scorer, name, step, "calls")
+                calls.append(answers)
+                step += 1
+                spent += answers.where("answered").count()
+                over = answers.where("answered" if name == "cheap" else "theme_match").select("n")
+                open_pages = open_pages.join(over, "n", "left_anti")
+        return spent
+
+    while left > 0 and at <= total and names:
+        size, begun = max(1, left // worst), len(calls)
+        left -= one_wave(queue.where(F.col("n").between(at, at + size - 1)), left)
+        at += size
+        if len(calls) > 8 * worst:  # few tables, however many waves
+            merged = written(_union(calls), "calls")
+            drop(*calls)
+            calls = [merged]
+    empty = "n long, page_id long, theme string, theme_match boolean, confidence_score double, model_tier string, step int, answered boolean"
+    made = _union(calls) if calls else pages.sparkSession.createDataFrame([], empty)
+    summed = running(made.withColumn("answer", F.col("answered").cast("long")), ["n", "step"], {"spent": "answer"}).drop("answer")
+    due = F.col("spent") - F.col("answered").cast("long") < budget  # a call that fails isn't tried once the budget is spent
+    last = F.max(F.struct("step", "theme_match", "model_tier", "theme", "answered")).over(Window.partitionBy("n"))
+    ended = (F.col("last.theme_match") & F.col("last.answered")) | ((F.col("last.model_tier") == "expensive") & (F.col("last.theme") == names[-1] if names else F.lit(True)))
+    every = summed.withColumn("due", due).where("due").withColumn("last", last)
+    return every.withColumn("complete", F.coalesce(ended, F.lit(False))).drop("due", "last")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def media_heavy_results(pages: DataFrame, theme_id: int) -> DataFrame:
     """Analyses of pages that are all media: matched without a model."""
     heavy = (F.col("has_video") | (F.col("image_count") >= 5)) & (F.col("text_length") < 1000)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..operators import regions, search, stats
+from ..operators import labels, regions, search, stats
 from ..sources.tables import visible
 from .market import ADS, CLOSURE, MOST_PER_SQM, REGIONS, SEEN, SIGHTINGS, Market
 from .registry import query
@@ -68,11 +68,47 @@ def j09_closure(m: Market):
 
 
 @query(
-    f"""WITH RECURSIVE {CLOSURE}, {ADS}, {SIGHTINGS}
+    f"""WITH RECURSIVE {REGIONS}, paths AS (
+      SELECT id, 0 AS depth, [id] AS path FROM regions WHERE parent_id IS NULL UNION ALL SELECT r.id, depth + 1, list_append(path, r.id) FROM paths AS p JOIN regions AS r ON r.parent_id = p.id
+    ), placed AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS first FROM paths)
+    SELECT id, CAST(depth AS INTEGER) AS depth, first, first + (SELECT count(*) FROM placed AS b WHERE list_contains(b.path, a.id)) - 1 AS last FROM placed AS a"""
+)
+def j09_labels(m: Market):
+    """J09 as intervals: a region's number in a walk from the roots, and the largest one below it."""
+    return labels.labels(m.regions())
+
+
+def _labelled_stats(m: Market, ads, roots):
+    return _rounded(labels.region_stats(ads, m.sightings(), labels.labels(m.regions()), roots, price="price_per_sqm", date_from=FROM, date_to=TO))
+
+
+@query(f"WITH RECURSIVE {CLOSURE}, {ADS}, {SIGHTINGS}, roots AS (SELECT id FROM regions)" + _STATS.format(deal="deal_type = 'RENT'", lo=FROM, hi=TO))
+def a01_region_stats_by_label(m: Market):
+    """Every region's tree, by running sums in the order of labels."""
+    return _labelled_stats(m, visible(m.ads()).where("deal_type = 'RENT'"), m.regions())
+
+
+@query(f"WITH RECURSIVE {CLOSURE}, {ADS}, {SIGHTINGS}, roots AS (SELECT id FROM regions WHERE parent_id = 3 OR id = 2)" + _STATS.format(deal="deal_type = 'RENT' AND district = 'BUILDING' AND region_id % 2 = 0", lo=FROM, hi=TO))
+def a03_child_region_stats_by_label(m: Market):
+    """A03, J09, J10 from labels."""
+    ads = visible(m.ads()).where("deal_type = 'RENT' and district = 'BUILDING' and region_id % 2 = 0")
+    return _labelled_stats(m, ads, m.regions().where("parent_id = 3 or id = 2"))
+
+
+_REGION_ADS = f"""WITH RECURSIVE {CLOSURE}, {ADS}, {SIGHTINGS}
     SELECT a.id, a.region_id, a.total_price, coalesce(s.n, 0) AS days_active FROM shown AS a
     LEFT JOIN (SELECT ad_id, count(*) AS n FROM sightings GROUP BY ad_id) AS s ON s.ad_id = a.id
     WHERE a.deal_type = 'SELL' AND CAST(first_seen AS DATE) BETWEEN DATE '{FROM}' AND DATE '{TO}' AND a.region_id IN (SELECT region_id FROM closure WHERE root_id = 2)"""
-)
+
+
+@query(_REGION_ADS)
+def a09_region_ads_by_label(m: Market):
+    """A region's tree as a range."""
+    ads = visible(m.ads()).where("deal_type = 'SELL'")
+    return labels.region_ads(ads, m.sightings(), labels.labels(m.regions()), 2, date_from=FROM, date_to=TO).select("id", "region_id", "total_price", "days_active")
+
+
+@query(_REGION_ADS)
 def a09_region_ads(m: Market):
     """All ads of a region's tree, newest first."""
     ads = visible(m.ads()).where("deal_type = 'SELL'")

@@ -240,6 +240,43 @@ def c03_within_budget(m: Market):
     return themes.within_budget(pages, [F.desc("n_chars"), F.col("id")], 100).select("id")
 
 
+_CALLS = """WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS t, length(coalesce(text, '')) AS len, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents),
+    f AS (SELECT *, len % 7 <> 0 AS a1, len % 5 <> 0 AS a2, contains(t, 'clown') AS refused, CAST(contains(t, 'idiot') AS INTEGER) AS low, CAST(contains(t, 'idiot') AS INTEGER) + CAST(contains(t, 'scum') AS INTEGER) AS high,
+      CAST(contains(t, 'trash') AS INTEGER) AS kid, CASE WHEN len % 7 <> 0 THEN contains(t, 'clown') OR contains(t, 'idiot') ELSE len % 5 <> 0 AND contains(t, 'clown') END AS stopped FROM p),
+    calls AS (
+      SELECT n, doc_id AS page_id, 'toxicity' AS theme, 'cheap' AS model_tier, 0 AS step, a1 AS answered, refused, low AS hits FROM f
+      UNION ALL SELECT n, doc_id, 'kid_unfriendly', 'cheap', 1, a2, refused, 0 FROM f WHERE NOT a1
+      UNION ALL SELECT n, doc_id, 'toxicity', 'expensive', 2, a1, refused, high FROM f WHERE NOT stopped
+      UNION ALL SELECT n, doc_id, 'kid_unfriendly', 'expensive', 3, a2, refused, kid FROM f WHERE NOT stopped AND NOT (a1 AND (refused OR high > 0))
+    ), spent AS (
+      SELECT *, CASE WHEN answered THEN refused OR hits > 0 END AS theme_match, CASE WHEN answered THEN CASE WHEN refused THEN 1.0 ELSE 1 - pow(0.5, hits + 1) END END AS confidence_score,
+        CAST(sum(CAST(answered AS INTEGER)) OVER (ORDER BY n, step) AS BIGINT) AS spent FROM calls
+    ), made AS (SELECT * FROM spent WHERE spent - CAST(answered AS INTEGER) < {budget})
+    SELECT page_id, theme, model_tier, theme_match, CAST(confidence_score AS DOUBLE) AS confidence_score, spent, coalesce(max_by(theme_match, step) OVER w, false) OR max(step) OVER w = 3 AS complete FROM made WINDOW w AS (PARTITION BY n)"""
+
+
+def _model(lexicon):
+    """A model that answers some texts only on no attempt, and refuses some."""
+
+    def ask(theme, text):
+        if len(text or "") % {"toxicity": 7, "kid_unfriendly": 5}[theme] == 0:
+            raise ConnectionError
+        if "clown" in (text or "").lower():
+            raise scorer.Blocked
+        hits = sum(w in (text or "").lower() for w in lexicon.get(theme, ()))
+        return hits > 0, 1 - 0.5 ** (hits + 1)
+
+    return lambda rows: scorer.scored(rows, scorer.attempted(ask, sleep=lambda seconds: None))
+
+
+@query(_CALLS.replace("{budget}", "400"))
+def c03_answers_within_budget(m: Market):
+    """The longest pages first, until 400 calls were answered; calls that fail twice cost nothing, refused texts match."""
+    pages = m.table("documents").select(F.col("doc_id").alias("id"), "text", (-F.col("n_chars")).alias("place"))
+    made = themes.calls_within_budget(pages, ["place", "id"], m.themes(), _model({"toxicity": ("idiot",)}), _model({"toxicity": ("idiot", "scum"), "kid_unfriendly": ("trash",)}), 400)
+    return made.select("page_id", "theme", "model_tier", "theme_match", "confidence_score", "spent", "complete")
+
+
 @query("SELECT doc_id AS page_id, CAST(1 AS BIGINT) AS theme_id, 1.0 AS confidence_score, true AS theme_match, 'content_analyzer' AS model, 'cheap' AS model_tier FROM documents WHERE n_chars < 1000 AND (doc_id % 4 = 0 OR doc_id % 9 >= 5)".replace("1.0 AS", "CAST(1 AS DOUBLE) AS"))
 def c05_media_heavy_results(m: Market):
     pages = m.table("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4 == 0).alias("has_video"), (F.col("doc_id") % 9).alias("image_count"), F.col("n_chars").alias("text_length"))
@@ -311,191 +348,6 @@ def s22_config(m: Market):
     return m.table("events").join(regions.small(kinds), F.col("event_type") == F.col("name")).groupBy("tier", "weight").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + i AS vacancy_portal_id, 'Job ' || i AS title, CAST(i AS DOUBLE) * 100 AS salary_from, event_type AS company_name FROM events, (SELECT unnest([1, 2]) AS i)")
-def s09_json_vacancies(m: Market):
-    """An array of records in a JSON response."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    one = lambda i: F.concat(F.lit('{"id":'), (k + i).cast("string"), F.lit(f',"positionTitle":"Job {i}","salaryFrom":{i}00.0,"employerName":"'), F.col("event_type"), F.lit('"}'))
-    body = F.concat(F.lit('{"vacancies":['), one(1), F.lit(","), one(2), F.lit("]}"))
-    return feeds.vacancies(m.table("events").select("event_id", body.alias("body"))).select("event_id", F.col("vacancy_portal_id").cast("long").alias("vacancy_portal_id"), "title", "salary_from", "company_name")
-
-
-# Programmes.
-
-
-@query(
-    f"""WITH {PROGRAMMES} SELECT p.id, c.name AS channel_name, pg_rating, imdb_rating FROM programmes AS p JOIN channels AS c ON c.id = p.channel_id
-    WHERE CAST(start_time AS DATE) BETWEEN DATE '2026-04-05' AND DATE '2026-04-18' AND NOT coalesce(pg_rating = 'R', false) AND imdb_rating >= '7.5' AND c.name <> 'tv3'"""
-)
-def p09_programmes(m: Market):
-    """Unrated programmes stay, ratings compare as text."""
-    out = search.programmes(m.programmes().drop("channel"), m.channels(), date_from="2026-04-05", date_to="2026-04-18", min_rating="7.5", not_channel="tv3")
-    return out.select("id", "channel_name", "pg_rating", "imdb_rating")
-
-
-@query(f"WITH {PROGRAMMES} SELECT p.id FROM programmes AS p WHERE CAST(start_time AS DATE) BETWEEN DATE '2026-04-05' AND DATE '2026-04-18' AND TRY_CAST(imdb_rating AS DOUBLE) >= 7.5 AND pg_rating = 'R' AND channel_id = 1")
-def p10_programmes_by_number(m: Market):
-    """P10 with numbers; the default exclusion switched off."""
-    return search.programmes(m.programmes().drop("channel"), m.channels(), date_from="2026-04-05", date_to="2026-04-18", rating="R", not_rating="", min_rating="7.5", channel="filmzone", numeric=True).select("id")
-
-
-_CLASS = """CASE WHEN contains(lower(title_lv), 'filma') THEN ['movie', '1.0', 'film word in title: filma'] WHEN contains(lower(title_lv), 'seriāls') THEN ['not_movie', '0.95', 'other programme: seriāls']
-  WHEN contains(channel, 'filmzone') AND d >= 60 THEN ['movie', '0.9', 'film channel, 60 minutes or more'] WHEN contains(channel, 'filmzone') AND d IS NULL THEN ['unknown', '0.0', 'film channel, no duration']
-  WHEN NOT contains(channel, 'filmzone') AND d >= 80 THEN ['movie', '0.8', '80 minutes or more'] WHEN d < 45 THEN ['not_movie', '0.85', 'under 45 minutes'] ELSE ['unknown', '0.0', 'no rule applies'] END"""
-
-
-@query(f"WITH {PROGRAMMES} SELECT id, r[1] AS content_type, CAST(r[2] AS DOUBLE) AS confidence, r[3] AS reasoning FROM (SELECT id, {_CLASS} AS r FROM (SELECT *, greatest(duration_minutes, 0) + 0 * duration_minutes AS d FROM programmes))")
-def x20_classified_programmes(m: Market):
-    """Ordered rules, first hit."""
-    verdict = classify.programme(F.col("title_lv"), F.col("description_lv"), F.col("channel"), F.col("duration_minutes"))
-    return m.programmes().withColumn("c", verdict).select("id", "c.content_type", "c.confidence", "c.reasoning")
-
-
-@query(f"WITH {PROGRAMMES} SELECT id, r[1] AS content_type FROM (SELECT id, start_time, {_CLASS} AS r FROM (SELECT *, duration_minutes AS d FROM programmes)) WHERE r[1] <> CASE WHEN id % 2 = 0 THEN 'movie' ELSE 'unknown' END AND start_time >= TIMESTAMP '2026-04-10'")
-def k13_reclassified(m: Market):
-    """Since a day, only what changes."""
-    stored = m.programmes().where(F.col("start_time") >= F.lit("2026-04-10").cast("date")).withColumn("content_type", F.when(F.col("id") % 2 == 0, "movie").otherwise("unknown"))
-    new = classify.programme(F.col("title_lv"), F.col("description_lv"), F.col("channel"), F.col("duration_minutes"))["content_type"]
-    return upsert.diff_update(stored, {"content_type": new}).select("id", "content_type")
-
-
-@query(f"WITH {PROGRAMMES} SELECT id, title_lv FROM programmes WHERE NOT CASE WHEN id % 9 = 0 THEN 'De Facto' WHEN id % 13 = 0 THEN 'Panorāma' ELSE title_lv END IN ('Panorāma', 'De Facto')")
-def p13_listed_titles(m: Market):
-    """Titles of local programmes are left out."""
-    title = F.when(F.col("id") % 9 == 0, "De Facto").when(F.col("id") % 13 == 0, "Panorāma").otherwise(F.col("title_lv"))
-    return m.programmes().withColumn("title_lv", title).where(~F.col("title_lv").isin(list(classify.EXCLUDED_TITLES))).select("id", "title_lv")
-
-
-@query(f"WITH {PROGRAMMES} SELECT name AS channel, CAST(DATE '2026-04-24' + CAST(i AS INTEGER) AS DATE) AS day FROM channels, (SELECT unnest(generate_series(-7, 6)) AS i)")
-def s13_day_frontier(m: Market):
-    return feeds.day_frontier(m.channels(), "2026-04-24")
-
-
-# Pages.
-
-
-@query("SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE starts_with(href, '/t')")
-def s11_links(m: Market):
-    return feeds.links_under(m.table("pages").select("page_id", "html"), "/t")
-
-
-_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]*>', chr(10), 'g'), '\s*\n\s*', '', 'g')"
-
-
-@query(
-    rf"""SELECT page_id, CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'No Title Found' END AS title, n_img AS image_count, n_video AS video_count, length(bare) AS text_length, n_video > 0 OR contains(lower(bare), 'video') AS has_video
-    FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS title, {_BARE} AS bare,
-      len(regexp_extract_all(html, '<img[ >]')) - len(regexp_extract_all(html, '<img [^>]*alt="emotion"')) AS n_img, len(regexp_extract_all(html, '<video[ >]')) AS n_video FROM pages)"""
-)
-def s17_page_features(m: Market):
-    """Title, media and text length of a page."""
-    return m.table("pages").select("page_id", *feeds.page_features(F.col("html")))
-
-
-@query(rf"SELECT page_id, (n_img >= 5 OR page_id % 3 = 0) AND length(bare) < 2000 AND page_id % 3 = 0 AND length(bare) < 1000 AS heavy FROM (SELECT page_id, {_BARE} AS bare, len(regexp_extract_all(html, '<img[ >]')) AS n_img FROM pages)")
-def p20_media_heavy(m: Market):
-    """P20 over page features; every third page counts as one with a video."""
-    page = m.table("pages").select("page_id", *feeds.page_features(F.col("html")))
-    return page.select("page_id", classify.is_media_heavy(F.col("page_id") % 3 == 0, F.col("image_count"), F.col("text_length")).alias("heavy"))
-
-
-@query("SELECT 'p' || (p_partkey - p_partkey % 30) AS start, 'p' || p_partkey AS url, CAST(p_partkey % 30 + 1 AS INTEGER) AS n FROM part WHERE p_partkey % 30 < 20")
-def s15_page_chain(m: Market):
-    """The chains of next pages from the first of each listing; 20 of 30 pages are followed."""
-    k = F.col("p_partkey")
-    on = F.concat(F.lit('<link rel="next" href="p'), (k + 1).cast("string"), F.lit('">'))
-    pages = m.table("part").select(F.concat(F.lit("p"), k.cast("string")).alias("url"), F.when(k % 30 != 29, on).otherwise("<p>end</p>").alias("html"), k)
-    return feeds.chain(pages.select("url", feeds.next_page(F.col("html")).alias("next_url")), pages.where(k % 30 == 0).select("url"))
-
-
-@query(
-    rf"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'old ' || page_id ELSE url END AS url, n_img AS image_count, n_video AS video_count, length(bare) AS text_length, n_video > 0 OR contains(lower(bare), 'video') AS has_video
-    FROM (SELECT page_id, url, {_BARE} AS bare, len(regexp_extract_all(html, '<img[ >]')) - len(regexp_extract_all(html, '<img [^>]*alt="emotion"')) AS n_img, len(regexp_extract_all(html, '<video[ >]')) AS n_video FROM pages)"""
-)
-def k12_page_features(m: Market):
-    """Pages are kept or created, their four features overwritten."""
-    features = feeds.page_features(F.col("html"))[1:]
-    batch = m.table("pages").select("page_id", "url", *features)
-    names = batch.columns[2:]
-    none = [F.lit(None).cast(t).alias(c) for c, t in batch.dtypes[2:]]
-    stored = m.table("pages").where("page_id % 2 = 0").select("page_id", F.concat(F.lit("old "), F.col("page_id").cast("string")).alias("url"), *none)
-    return upsert.upsert(stored, batch, ["page_id"], names)
-
-
-# Themes.
-
-
-@query(
-    f"""WITH {ANALYSES}
-    SELECT p.doc_id AS id FROM documents AS p
-    WHERE ((SELECT count(*) FROM analyses AS a WHERE a.page_id = p.doc_id AND model_tier = 'expensive' AND NOT theme_match) = (SELECT count(*) FROM themes)
-           AND NOT EXISTS (SELECT 1 FROM reviews AS r JOIN analyses AS a ON a.id = r.page_analysis_id WHERE a.page_id = p.doc_id AND NOT analysis_approved))
-       OR EXISTS (SELECT 1 FROM reviews AS r JOIN analyses AS a ON a.id = r.page_analysis_id WHERE a.page_id = p.doc_id AND a.theme_id = 1 AND a.theme_match AND NOT analysis_approved)"""
-)
-def a08_kid_friendly(m: Market):
-    """Conditional count against a scalar, and two existence tests in an OR."""
-    pages = m.table("documents").select(F.col("doc_id").alias("id"))
-    return themes.kid_friendly(pages, m.analyses(), m.reviews(), m.themes())
-
-
-@query(f"WITH {ANALYSES} SELECT page_id FROM analyses WHERE page_id % 5 <> 0 OR theme_id = 1 GROUP BY page_id HAVING count(*) >= 2 OR count(*) FILTER (theme_match) > 0")
-def a07_done_pages(m: Market):
-    return themes.done(m.analyses().where("page_id % 5 <> 0 or theme_id = 1"), 2)
-
-
-@query(f"WITH {ANALYSES} SELECT d.doc_id AS page_id, t.id AS theme_id, t.analysis_order FROM documents AS d CROSS JOIN themes AS t WHERE NOT EXISTS (SELECT 1 FROM analyses AS a WHERE a.page_id = d.doc_id AND a.theme_id = t.id)".replace("t.id AS theme_id", "CAST(t.id AS BIGINT) AS theme_id"))
-def j14_missing_themes(m: Market):
-    return themes.missing(m.table("documents").select(F.col("doc_id").alias("id")), m.themes(), m.analyses())
-
-
-@query(f"WITH {ANALYSES} SELECT page_id, arg_min(name, analysis_order) AS theme FROM analyses AS a JOIN themes AS t ON t.id = a.theme_id WHERE theme_match GROUP BY page_id")
-def w03_first_match(m: Market):
-    """The first theme in order that matches."""
-    named = m.analyses().join(F.broadcast(m.themes().select(F.col("id").alias("theme_id"), "name", "analysis_order")), "theme_id")
-    return themes.first_match(named)
-
-
-@query(f"WITH {ANALYSES} SELECT a.page_id, t.name FROM analyses AS a JOIN themes AS t ON t.id = a.theme_id WHERE NOT EXISTS (SELECT 1 FROM analyses AS b JOIN themes AS u ON u.id = b.theme_id WHERE b.page_id = a.page_id AND b.theme_match AND u.analysis_order < t.analysis_order)")
-def c04_until_match(m: Market):
-    """Analyses up to a page's first match."""
-    named = m.analyses().join(F.broadcast(m.themes().select(F.col("id").alias("theme_id"), "name", "analysis_order")), "theme_id")
-    return themes.until_match(named).select("page_id", "name")
-
-
-@query("SELECT doc_id AS id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100")
-def c03_within_budget(m: Market):
-    """A budget of requests, taken in order before anything is scored."""
-    pages = m.table("documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return themes.within_budget(pages, [F.desc("n_chars"), F.col("id")], 100).select("id")
-
-
-@query("SELECT doc_id AS page_id, CAST(1 AS BIGINT) AS theme_id, 1.0 AS confidence_score, true AS theme_match, 'content_analyzer' AS model, 'cheap' AS model_tier FROM documents WHERE n_chars < 1000 AND (doc_id % 4 = 0 OR doc_id % 9 >= 5)".replace("1.0 AS", "CAST(1 AS DOUBLE) AS"))
-def c05_media_heavy_results(m: Market):
-    pages = m.table("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4 == 0).alias("has_video"), (F.col("doc_id") % 9).alias("image_count"), F.col("n_chars").alias("text_length"))
-    return themes.media_heavy_results(pages, 1)
-
-
-@query(f"WITH {ANALYSES} SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT page_id FROM analyses WHERE theme_id = 2 AND model_tier = 'cheap')")
-def c06_reanalysed(m: Market):
-    """Only pages that have an analysis for the target theme."""
-    pages = m.table("documents").select(F.col("doc_id").alias("id"))
-    return themes.unfinished(pages, m.analyses().where("model_tier = 'cheap'"), 2, target_theme=2, reanalyse=True)
-
-
-@query(f"WITH {ANALYSES} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM analyses GROUP BY page_id HAVING count(*) >= 2 OR count(*) FILTER (theme_match) > 0)")
-def u03_unfinished(m: Market):
-    """Pages less those that are done."""
-    return themes.unfinished(m.table("documents").select(F.col("doc_id").alias("id")), m.analyses(), 2)
-
-
-@query()
-def s23_cascade(m: Market):
-    """Two tiers with a lexicon as the scorer; rows only."""
-    pages = m.table("documents").select(F.col("doc_id").alias("id"), "text")
-    run = lambda lexicon: lambda rows: scorer.scored(rows, scorer.lexicon_scorer(lexicon))
-    return themes.cascade(pages, m.themes(), run({"toxicity": ("idiot",)}), run({"toxicity": ("idiot", "scum"), "kid_unfriendly": ("clown", "trash")}))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS theme_match, CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS confidence_score FROM events")
 def x23_replies(m: Market):
     """Fenced JSON with a trailing comma."""
