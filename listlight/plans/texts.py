@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import regions, search, themes, upsert
+from ..operators import keywords, regions, search, themes, upsert
 from ..sources import config, feeds, scorer
 from .market import ANALYSES, KEYWORDS, PROGRAMMES, VACANCIES, Market
 from .registry import query
@@ -42,10 +42,11 @@ def p19_vacancies_seen(m: Market):
     return m.vacancies().where("last_seen is not null").orderBy(F.desc("last_seen"), "id").select("id", "title", "salary_from", "last_seen")
 
 
-@query(
-    rf"""WITH {KEYWORDS} SELECT d.doc_id, k.name FROM documents AS d JOIN keywords AS k
+_WHOLE_WORDS = rf"""WITH {KEYWORDS} SELECT d.doc_id, k.name FROM documents AS d JOIN keywords AS k
     ON regexp_matches(lower(d.text || ' ' || d.source), '(^|[^\p{{L}}\p{{N}}_])' || regexp_replace(lower(k.name), '([^\p{{L}}\p{{N}}_\s])', '\\\1', 'g') || '([^\p{{L}}\p{{N}}_]|$)')"""
-)
+
+
+@query(_WHOLE_WORDS)
 def x14_whole_words(m: Market):
     """Keywords as whole words, any characters."""
     return classify.tagged(m.table("documents"), m.keywords(), "text", "source").select("doc_id", "name")
@@ -60,6 +61,23 @@ def x14_whole_words_by_token(m: Market):
     return classify.tagged_by_token(m.table("documents"), "doc_id", m.keywords().where("name <> 'c++'"), "text", "source")
 
 
+@query(_WHOLE_WORDS)
+def x14_whole_words_by_automaton(m: Market):
+    """All keywords in one pass over a text."""
+    return keywords.tagged(m.table("documents"), "doc_id", m.keywords(), "text", "source")
+
+
+@query(
+    r"""WITH keywords AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS name FROM benchmark),
+    held AS MATERIALIZED (SELECT d.doc_id, k.name, lower(d.text) AS text FROM documents AS d JOIN keywords AS k ON contains(lower(d.text), lower(k.name)))
+    SELECT doc_id, name FROM held AS k WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])' || regexp_replace(lower(k.name), '([^\p{L}\p{N}_\s])', '\\\1', 'g') || '([^\p{L}\p{N}_]|$)')"""
+)
+def x14_phrases(m: Market):
+    """Keywords of several words, here the beginnings of the benchmark's passages."""
+    phrases = m.table("benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("name"))
+    return keywords.tagged(m.table("documents"), "doc_id", phrases, "text")
+
+
 @query(f"WITH {KEYWORDS} SELECT d.doc_id, k.name FROM documents AS d JOIN keywords AS k ON contains(lower(d.text || d.source), lower(k.name))")
 def x15_substrings(m: Market):
     return classify.tagged_by_substring(m.table("documents"), m.keywords(), "text", "source").select("doc_id", "name")
