@@ -54,6 +54,15 @@ def kept(spark: SparkSession, path: str) -> None:
     _tables[path] = spark.sparkContext.applicationId, conf
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that is deleted as written tables are."""
+    path = new_folder(spark, name)
+    at, system = _system(spark._jvm, path, spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    kept(spark, path)
+    return path
+
+
 def _delete(path: str) -> None:
     from pyspark import SparkContext
 

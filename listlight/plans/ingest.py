@@ -8,6 +8,7 @@ from ..functions import parse
 from ..operators import stored as stored_tables
 from ..operators import upsert
 from ..sources import pages
+from ..streaming import merge
 from ..streaming import sightings as stream
 from .market import Market
 from .registry import query
@@ -144,10 +145,24 @@ def a13_action_counts(m: Market):
 @query("SELECT CAST(ts AS DATE) AS seen_on, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def st_daily_sightings(m: Market):
     """Streaming: files to one sighting for each ad and day, exactly once over two runs of a scheduled job, counted by day."""
-    at = stored_tables.new_folder(m.spark, "sightings")
+    at = stored_tables.own_folder(m.spark, "sightings")
     events = m.table("events")
     events.select("user_id", "ts").write.parquet(f"{at}/in")
     for _ in range(2):
         seen = stream.read(m.spark, f"{at}/in", "user_id bigint, ts timestamp_ntz").withColumnRenamed("user_id", "ad_id")
         stream.run_once(stream.daily_sightings(seen, late="60 days"), f"{at}/out", f"{at}/state").awaitTermination()
     return m.spark.read.parquet(f"{at}/out").groupBy("seen_on").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS ad_id, min(CAST(ts AS DATE)) AS first_seen, max(CAST(ts AS DATE)) AS last_seen, count(*) AS times FROM events GROUP BY user_id")
+def st_merged_sightings(m: Market):
+    """K04 as a stream: two scheduled runs merge what came into the first and last day and the number of sightings of each ad; a batch that comes again changes nothing."""
+    at = stored_tables.own_folder(m.spark, "merged")
+    events = m.table("events")
+    for k in range(2):
+        events.where(F.col("event_id") % 2 == k).select("user_id", "ts").write.mode("append").parquet(f"{at}/in")
+        seen = stream.read(m.spark, f"{at}/in", "user_id bigint, ts timestamp_ntz").select(F.col("user_id").alias("ad_id"), F.to_date("ts").alias("first_seen"), F.to_date("ts").alias("last_seen"), F.lit(1).cast("long").alias("times"))
+        how = {"first_seen": "min", "last_seen": "max", "times": "sum"}
+        merge.merge_sink(seen, f"{at}/out", f"{at}/state", ["ad_id"], how, buckets=8).awaitTermination()
+    merge.merge(events.where("event_id % 2 = 1").select(F.col("user_id").alias("ad_id"), F.to_date("ts").alias("first_seen"), F.to_date("ts").alias("last_seen"), F.lit(1).cast("long").alias("times")), 1, f"{at}/out", ["ad_id"], how, buckets=8)
+    return merge.merged(m.spark, f"{at}/out")

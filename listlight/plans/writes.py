@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stored, upsert
-from .market import ADS, SIGHTINGS, Market
+from ..operators import partitions, rollups, stored, upsert
+from .analytics import SEEN_FROM, SEEN_TO
+from .market import ADS, SEEN, SIGHTINGS, Market
 from .registry import query
 
 # Stored: ads with even ids, half of them hidden. Incoming: ads divisible by three, with other prices and rooms, some twice.
@@ -28,16 +29,27 @@ def _tables(m: Market):
     return stored, some(3, 1, "new").union(some(9, 2, "newer"))
 
 
-@query(
-    f"""WITH {_STORED} SELECT coalesce(s.id, b.id) AS id, coalesce(s.rooms, b.rooms) AS rooms, coalesce(b.total_price, s.total_price) AS total_price, coalesce(b.comment, s.comment) AS comment,
+_UPSERTED = f"""WITH {_STORED} SELECT coalesce(s.id, b.id) AS id, coalesce(s.rooms, b.rooms) AS rooms, coalesce(b.total_price, s.total_price) AS total_price, coalesce(b.comment, s.comment) AS comment,
     coalesce(s.is_hidden, b.is_hidden) AS is_hidden, coalesce(s.first_seen, b.first_seen) AS first_seen FROM stored AS s FULL JOIN latest AS b ON b.id = s.id"""
-)
+
+
+@query(_UPSERTED)
 def k02_upsert(m: Market):
     """Listed columns change, the others keep their values; the last of a batch wins."""
     old, batch = _tables(m)
     return upsert.upsert(old, batch, ["id"], ["total_price", "comment"], sequence="seq")
 
 
+@query(_UPSERTED)
+def k02_upsert_touched(m: Market):
+    """K02 on a stored table: only the buckets of the batch's keys are rewritten."""
+    old, batch = _tables(m)
+    at, part = stored.own_folder(m.spark, "ads") + "/table", partitions.bucket(["id"], 16)
+    partitions.create(old, at, part)
+    partitions.upsert(m.spark, at, batch, ["id"], ["total_price", "comment"], part, sequence="seq")
+    return partitions.read(m.spark, at).drop(partitions.PART)
+
+
 @query(f"WITH {_STORED} SELECT * FROM stored UNION ALL SELECT * FROM latest WHERE id NOT IN (SELECT id FROM stored)")
 def k03_insert_ignore(m: Market):
     old, batch = _tables(m)
@@ -68,7 +80,10 @@ def j07_new_rows(m: Market):
     return upsert.new_rows(batch, old, ["id"]).select("id")
 
 
-@query(f"WITH {ADS}, {SIGHTINGS} SELECT ad_id, seen_on FROM sightings UNION SELECT id, DATE '2001-12-31' FROM ads WHERE id % 5 = 0 UNION SELECT id, DATE '1998-03-05' FROM ads WHERE id % 5 = 0")
+_SEEN_TWICE = f"WITH {ADS}, {SIGHTINGS} SELECT ad_id, seen_on FROM sightings UNION SELECT id, DATE '2001-12-31' FROM ads WHERE id % 5 = 0 UNION SELECT id, DATE '1998-03-05' FROM ads WHERE id % 5 = 0"
+
+
+@query(_SEEN_TWICE)
 def k04_sight(m: Market):
     """Once a day for each ad, however often it is written."""
     ads = m.ads().where("id % 5 = 0").select(F.col("id").alias("ad_id"))
@@ -77,6 +92,36 @@ def k04_sight(m: Market):
     return upsert.sight(once, ads, day("1998-03-05"))
 
 
+@query(_SEEN_TWICE)
+def k04_sight_touched(m: Market):
+    """K04 on a table stored by month: a day's run rewrites its month alone, a repeated one nothing."""
+    at, month = stored.own_folder(m.spark, "sightings") + "/table", F.concat(F.lit("m"), F.date_format("seen_on", "yyyy-MM"))
+    partitions.create(m.sightings(), at, month)
+    ads = m.ads().where("id % 5 = 0").select(F.col("id").alias("ad_id"))
+    for day in ("2001-12-31", "1998-03-05", "1998-03-05"):
+        partitions.insert_ignore(m.spark, at, ads.union(ads).withColumn("seen_on", F.lit(day).cast("date")), ["ad_id", "seen_on"], month)
+    return partitions.read(m.spark, at).drop(partitions.PART)
+
+
+@query(
+    f"""WITH {SEEN} SELECT seen_on, count(*) FILTER (kind = 'flat_rent') AS flat_rent, count(*) FILTER (kind = 'flat_sale') AS flat_sale, count(*) FILTER (kind = 'house_rent') AS house_rent,
+         count(*) FILTER (kind = 'house_sale') AS house_sale, count(*) FILTER (kind LIKE 'flat%') AS flats, count(*) FILTER (kind LIKE 'house%') AS houses, count(*) AS total
+      FROM seen WHERE seen_on BETWEEN DATE '{SEEN_FROM}' AND DATE '{SEEN_TO}' GROUP BY seen_on ORDER BY seen_on DESC"""
+)
+def a05_daily_report_from_rollup(m: Market):
+    """A04, A05 from stored daily counts, after late, repeated and withdrawn sightings."""
+    kinds = {"view": "flat_rent", "click": "flat_sale", "purchase": "house_rent", "signup": "house_sale"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    events = m.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("ad_id"), F.to_date("ts").alias("seen_on"), kind.alias("kind")).where("kind is not null")
+    late = (F.col("id") % 10 == 0) & (F.dayofmonth("seen_on") % 7 == 0)
+    false = events.where((F.col("id") % 50 == 1) & (F.dayofmonth("seen_on") < 9)).withColumn("id", -F.col("id") - 1)  # to be withdrawn
+    at = stored.own_folder(m.spark, "rollup")
+    rollups.create(events.where(~late).union(false), at)
+    rollups.change(m.spark, at, added=events.where(late).union(events.where(late)).union(events.where(late).limit(20)), removed=false.select("id", "seen_on"))
+    rollups.change(m.spark, at, added=events.where(late))
+    return rollups.daily_report(m.spark, at, date_from=SEEN_FROM, date_to=SEEN_TO)
+
+
 @query(
     """WITH stored AS (SELECT c_custkey AS id, c_name AS phone, c_mktsegment AS contact_id FROM customer WHERE c_custkey % 2 = 0),
     wanted AS (SELECT DISTINCT phone, contact_id FROM (SELECT c_name AS phone, c_mktsegment AS contact_id FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT '', '' UNION ALL SELECT s_name, '' FROM supplier) WHERE phone <> '' OR contact_id <> '')
@@ -177,5 +222,5 @@ def m05_relaxed(m: Market):
 @query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def k17_snapshot(m: Market):
     """Tables written to a new folder, and what was read back."""
-    counts = upsert.snapshot({t: m.table(t) for t in ("customer", "orders", "part")}, stored.new_folder(m.spark, "snapshot"))
+    counts = upsert.snapshot({t: m.table(t) for t in ("customer", "orders", "part")}, stored.own_folder(m.spark, "snapshot"))
     return m.spark.createDataFrame(sorted(counts.items()), "name string, n long")
