@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .bpe import _passed
 from .shared import in_batches
 
-CACHE = 200_000  # pieces, and a million pairs of tokens, that a partition remembers
+CACHE = 300_000  # pieces, and a million pairs of tokens, that a partition remembers
 SHORT = 64  # characters of a piece that is remembered
 LONG = 1 << 20  # characters of a text, or ids, from which it is taken part by part
 REACH = 8  # bytes after a piece that the pattern may have looked at
@@ -69,7 +70,7 @@ class Ranks:
             raise ValueError("the rank file lacks single bytes")
         self.longest = max(map(len, self.rank))
         self.halves: list[tuple[int, int] | None] = [None] * len(self.tokens)
-        self.trie, self.ends, nodes = {}, {}, 1
+        self.trie, self.ends = {}, [-1]
         for token, r in sorted(self.rank.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 pairs = ((self.rank.get(token[:i]), self.rank.get(token[i:])) for i in range(1, len(token)))
@@ -80,8 +81,8 @@ class Ranks:
             for byte in reversed(token):
                 to = self.trie.get(node << 8 | byte)
                 if to is None:
-                    to = self.trie[node << 8 | byte] = nodes
-                    nodes += 1
+                    to = self.trie[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
                 node = to
             self.ends[node] = r
 
@@ -137,8 +138,8 @@ class Encoder:
             while True:
                 j -= 1
                 node = trie[node << 8 | piece[j]]
-                token = ends.get(node)
-                if token is None:
+                token = ends[node]
+                if token < 0:
                     continue
                 before = last[j]
                 if before < 0:
@@ -171,37 +172,68 @@ class Encoder:
         out.reverse()
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.rank.get(raw)
-        if whole is not None:
-            out = whole.to_bytes(4, "little")
-        else:
-            last = [-1]
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't remembered: in the order of their bytes, so that each goes on from the table of what it shares with the one before."""
+        out, rank, last, before = {}, self.ranks.rank, [-1], b""
+        for raw, piece in sorted((p.encode(), p) for p in pieces):
+            whole = rank.get(raw)
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+                continue
+            if raw[: len(before)] != before:
+                shared = 0
+                for a, b in zip(raw, before):
+                    if a != b:
+                        break
+                    shared += 1
+                del last[shared + 1 :]
             self.extend(raw, last)
-            out = np.array(self.ids(raw, last), "<u4").tobytes()
-        if len(piece) <= SHORT:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = out
+            out[piece] = pack(f"<{len(ids := self.ids(raw, last))}I", *ids)
+            before = raw
         return out
 
-    def _pieces(self, pieces: list[str]) -> bytes:
+    def _remember(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of these pieces, all that aren't remembered worked out together; long pieces are not remembered."""
+        known = self.pieces
+        fresh = self._learn([p for p in pieces if p not in known])
+        if len(known) + len(fresh) > CACHE:
+            fresh |= {p: known[p] for p in pieces if p in known}
+            known.clear()
+        known.update(islice(((p, ids) for p, ids in fresh.items() if len(p) <= SHORT), CACHE - len(known)))
+        return fresh
+
+    def _joined(self, pieces: list[str]) -> bytes:
         found = list(map(self.pieces.get, pieces))
         if None in found:
-            found = [self.pieces.get(p) or self._piece(p) if f is None else f for p, f in zip(pieces, found)]
+            fresh = self._remember(set(pieces))
+            found = [self.pieces.get(p) or fresh[p] if f is None else f for p, f in zip(pieces, found)]
         return b"".join(found)
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """As encode, for texts that are held together; what is new in all of them is learnt at once."""
+        out, group, size = [], [], 0
+        for text in [*texts, None]:
+            if text is not None and len(text) <= LONG // 16 and size + len(text) <= LONG:
+                group.append(self._split(text).findall(text))
+                size += len(text)
+                out.append(group[-1])
+                continue
+            self._remember({p for pieces in group for p in pieces})
+            out = [self._joined(o) if isinstance(o, list) else o for o in out]
+            group, size = [], 0
+            out.append(self.encode(text))
+        return out[:-1]
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         pattern = self._split(text)
         if len(text) <= LONG:
-            return self._pieces(pattern.findall(text))
+            return self._joined(pattern.findall(text))
         found, out = (m[0] for m in pattern.finditer(text)), []
         while part := list(islice(found, LONG // 16)):
-            out.append(self._pieces(part))
+            out.append(self._joined(part))
         return b"".join(out)
 
     # The stored form: for each byte of the text the last token of its piece up to there, the first byte of a piece marked.
@@ -293,7 +325,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, keep: list[str] | None =
                 tables = [encoder.table(t) for t in texts]
                 ids = [encoder.read(t.encode(), x) for t, x in zip(texts, tables)]
             else:
-                ids = [encoder.encode(t.as_py()) for t in batch.column(0)]
+                ids = encoder.encode_all(batch.column(0).to_pylist())
             columns = [pa.array(ids, pa.binary()) if packed else _list(ids)]
             if decode:
                 columns.append(pa.array([decoded(x, shared.value.tokens) for x in ids], pa.binary()))
