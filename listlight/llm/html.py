@@ -9,7 +9,8 @@ tag, and for one selector the last (an important one first). What is inside of a
 shows again where it is made visible.
 
 Cells are aligned by columns, as colspan and rowspan place them. A table whose lines would be longer than LINE
-has its cells two spaces apart instead, so that the text of a page grows with the page.
+has its cells two spaces apart instead, so that the text of a page grows with the page (by the padding of a line of
+many empty cells up to some hundred times). Of drawings (svg) the texts are shown.
 
 Defined cases: a null or empty page renders as the empty string. Unclosed, misnested and stray tags never
 fail: an end tag without a start is left out, a `<` that starts no tag is text, as is all from a tag on that
@@ -35,7 +36,8 @@ DEPTH = 200
 LINE = 1000  # characters of a line of aligned cells at most
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-NEVER_SHOWN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg datalist area base link meta".split())
+NEVER_SHOWN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist area base link meta".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())  # of a drawing (svg), which shows texts and foreign objects
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body div section article header footer main nav aside address li dt dd form figcaption details summary tr caption thead tbody tfoot center legend optgroup option select textarea dialog".split())
 #: An opening tag of the first kind closes an open element of the second, unless one of the third stands between.
@@ -62,10 +64,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)
 _TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NUMBER = re.compile(r"\s*\+?0*([0-9]{1,9})(?![0-9])")
-_NO_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
+_NO_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.|\\\Z)*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.|\\\Z)*(?:'|(?=\n)|\Z)|<!--|-->", re.S)  # a string without its mate ends with its line
 _BRACE = re.compile(r"[{};]")
 _SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
-_SHOWING = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
+_WORD = re.compile(r"\s*([\w-]+)")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -112,9 +114,14 @@ Rules = dict[tuple[str, str], tuple[bool, bool]]  # (selector, property) to (imp
 
 def _declared(style: str) -> Iterator[tuple[str, tuple[bool, bool]]]:
     """property, (important, hides) of the declarations of display and visibility."""
-    for d in filter(None, map(_SHOWING.fullmatch, style.split(";"))):
-        name = d[1].lower()
-        yield name, (bool(d[3]), d[2].lower() in (("none",) if name == "display" else ("hidden", "collapse")))
+    for declaration in style.split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip().lower() if len(name) < 1000 else ""
+        if name in ("display", "visibility"):
+            value, bang, after = value.partition("!")
+            word = _WORD.match(value)
+            if word and (not bang or after.strip().lower() == "important"):
+                yield name, (bool(bang), word[1].lower() in (("none",) if name == "display" else ("hidden", "collapse")))
 
 
 def _add_rules(css: str, rules: Rules) -> None:
@@ -229,23 +236,26 @@ class Flow:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.indent, self.mark = "", 0, "", ""
+        self.parts: list[str] = []  # of the line under construction, none of them empty
+        self.gap, self.indent, self.mark = 0, "", ""
+
+    def add(self, s: str) -> None:
+        if s:
+            self.parts.append(s)
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
             for k, part in enumerate(s.split("\n")):
                 if k:
                     self.end(0, force=True)
-                self.line += part
+                self.add(part)
             return
         s = _SPACES.sub(" ", s)
-        if s.startswith(" ") and (not self.line or self.line.endswith(" ")):
-            s = s[1:]
-        self.line += s
+        self.add(s[1:] if s.startswith(" ") and (not self.parts or self.parts[-1].endswith(" ")) else s)
 
     def end(self, gap: int, force: bool = False) -> None:
         """End the line; before the next one come at least `gap` empty lines."""
-        line = self.line.rstrip()
+        line, self.parts = "".join(self.parts).rstrip(), []
         if line or force:
             if self.lines and self.gap:
                 self.lines += [""] * self.gap
@@ -254,9 +264,6 @@ class Flow:
             if self.mark and line:
                 lead, self.mark = self.indent[: -len(self.mark)] + self.mark, ""
             self.lines.append((lead + line).rstrip())
-            self.line = ""
-        else:
-            self.line = ""
         self.gap = max(self.gap, gap)
 
 
@@ -341,7 +348,7 @@ def _table(node: Node, flow: Flow, rules: Rules, veiled: bool) -> None:
                     upto = at + n
                 else:
                     line += own + "  "
-            flow.line = line
+            flow.add(line)
             flow.end(0)
 
 
@@ -359,6 +366,17 @@ def _veiled(node: Node, rules: Rules, veiled: bool) -> bool:
     return veiled if own is None else own
 
 
+def _drawn(node: Node, rules: Rules, veiled: bool) -> Iterator[tuple[Node, bool]]:
+    """The texts and foreign objects of a drawing that are shown, and whether their visibility is hidden."""
+    for x in node.children:
+        if isinstance(x, Node) and x.tag not in UNDRAWN and visible(x, rules):
+            own = _veiled(x, rules, veiled)
+            if x.tag in ("text", "foreignobject"):
+                yield x, own
+            else:
+                yield from _drawn(x, rules, own)
+
+
 def _render(node: Node | str, flow: Flow, rules: Rules, pre: bool, veiled: bool) -> None:
     if isinstance(node, str):
         if not veiled:
@@ -378,9 +396,15 @@ def _render(node: Node | str, flow: Flow, rules: Rules, pre: bool, veiled: bool)
     if block:
         flow.end(gap)
     if tag == "hr":
-        flow.line = "" if veiled else "---"
+        flow.add("" if veiled else "---")
     elif tag == "table":
         _table(node, flow, rules, veiled)
+    elif tag == "svg":
+        for x, own in _drawn(node, rules, veiled):
+            flow.text(" ", False)
+            for y in x.children:
+                _render(y, flow, rules, False, own)
+            flow.text(" ", False)
     elif tag in ("td", "th"):  # outside of a table
         for x in node.children:
             _render(x, flow, rules, pre, veiled)

@@ -2,7 +2,6 @@
 
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-RUNS = "|".join(rf"\x{c:02X}{{6,}}" for c in range(128) if c != 0x20 and not 9 <= c <= 13)  # runs of a character of one byte
 
 KNN = """
     WITH v AS (
@@ -82,6 +81,12 @@ _LEDGER = rf"""
       SELECT doc_id, a.i AS i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a.x) >= 2
     ), covered AS (
       SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+    ), characters AS (
+      SELECT doc_id, unnest(regexp_extract_all(t, '(?s).')) AS c, unnest(range(length(t))) AS i FROM texts
+    ), stretches AS (
+      SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS stretch FROM characters WHERE regexp_matches(c, '{WORD}')
+    ), runs AS (
+      SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, count(*) AS n FROM stretches GROUP BY doc_id, c, stretch HAVING count(*) >= 6) GROUP BY doc_id
     ), measured AS (
       SELECT doc_id, len(w) AS n_words,
         length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
@@ -95,8 +100,8 @@ _LEDGER = rf"""
         len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|\x{{2026}}){SPACE}*$'))) AS n_cut_lines,
         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{{C0}}-\x{{10FFFF}}]'))) AS n_wordy,
         len(list_filter(w, lambda x: length(x) > 30)) AS n_long_words,
-        coalesce(list_sum(list_transform(regexp_extract_all(t, '{RUNS}'), lambda x: length(x))), 0) AS n_run_chars
-      FROM parts LEFT JOIN covered USING (doc_id)
+        coalesce(runs.n, 0) AS n_run_chars
+      FROM parts LEFT JOIN covered USING (doc_id) LEFT JOIN runs USING (doc_id)
     ), rule_bits (bit, rule) AS (
       VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'short_or_long_words'), (8, 'symbols'), (16, 'duplicate_lines'), (32, 'capitals'),
         (64, 'bullets'), (128, 'cut_lines'), (256, 'no_letters'), (512, 'long_words'), (1024, 'runs')

@@ -71,15 +71,17 @@ def _spread(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_runs(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Bytes of words in runs of RUN or more equal ones of a document."""
+def _in_runs(buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Characters, of any script, of words in runs of RUN or more equal ones of a document; begins: the first character of each document."""
     if not len(buf):
         return np.zeros(0, bool)
-    new = np.concatenate(([True], buf[1:] != buf[:-1]))
-    new[offs[:-1][offs[:-1] < len(buf)]] = True
+    c = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    new = np.concatenate(([True], c[1:] != c[:-1]))
+    new[begins[:-1][begins[:-1] < len(c)]] = True
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(buf)))
-    return np.repeat((length >= RUN) & NOT_SPACE[buf[begin]], length)
+    length = np.diff(np.append(begin, len(c)))
+    first = c[begin]
+    return np.repeat((length >= RUN) & ((first >= 0x80) | NOT_SPACE[np.minimum(first, 0xFF)]), length)
 
 
 def _doc_keys(n: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     of_lines(cut),
                     sums_by(wordy[ends] > wordy[starts], first),
                     sums_by(chars[ends] - chars[starts] > LONG_WORD, first),
-                    sums_by(_in_runs(buf, offs), offs),
+                    sums_by(_in_runs(buf, chars[offs]), chars[offs]),
                 ]
             )
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)] or [pa.array([], pa.int64())] * len(MEASURES)
@@ -168,13 +170,17 @@ POLICIES = {
 LATEST = "3"
 
 
+#: The rules by name, in the order of their bits: what rules() gives, without making its columns.
+NAMES = POLICIES["3"]
+
+
 def mask(names: tuple[str, ...]) -> int:
-    return sum(1 << list(rules()).index(x) for x in names)
+    return sum(1 << NAMES.index(x) for x in names)
 
 
 def ledger(measured: DataFrame) -> DataFrame:
     """measured with failed_bits (long): bit k set where rule k fails."""
-    bits = [F.when(rule, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(rules().values())]
+    bits = [F.when(rule, F.lit(mask((name,)))).otherwise(F.lit(0)).cast("long") for name, rule in rules().items()]
     return measured.withColumn("failed_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 

@@ -50,7 +50,7 @@ def measured_for_rules(text):
     text = text or ""
     lines = [WORD.findall(line) for line in text.split("\n") if WORD.search(line)]
     letters = re.findall(r"[A-Za-z]", text)
-    runs = [m for m in re.finditer(rb"([^\x20\x09-\x0D])\1*", text.encode()) if len(m[0]) >= rules.RUN]
+    runs = [m for m in re.finditer(r"([^\x20\x09-\x0D])\1*", text) if len(m[0]) >= rules.RUN]
     return (
         len(lines), len(letters), sum(c.isupper() for c in letters),
         sum(w[0] in ("-", "*") or w[0].startswith("\u2022") for w in lines), sum(w[-1].endswith(("...", "\u2026")) for w in lines),
@@ -66,7 +66,7 @@ def test_rules_measure(docs, odd):
 
 
 def test_rules_measure_lines_and_runs(spark):
-    texts = ["- a\n* b\n-c\n\u2022d e\n \u2022 f", "one...\ntwo \u2026\n...", "aaaaaa aaaaa bbbbbbb", "aaaaaaa", "x" * 31 + " " + "é" * 31 + " 12 3é4 ½ \u00bd", "-", "*", "", "a\n\n\nb...", "......", "é" * 6]
+    texts = ["- a\n* b\n-c\n\u2022d e\n \u2022 f", "one...\ntwo \u2026\n...", "aaaaaa aaaaa bbbbbbb", "aaaaaaa", "x" * 31 + " " + "é" * 31 + " 12 3é4 ½ \u00bd", "-", "*", "", "a\n\n\nb...", "......", "é" * 6, "ж" * 9, "ж" * 5, "🎉" * 7 + "世" * 6 + "x" * 6, "\u00a0" * 8]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     assert all(tuple(r)[1:] == measured(r["text"]) + measured_for_rules(r["text"]) for r in rules.measure(df).collect())
 
@@ -79,6 +79,10 @@ def test_rules_rows_do_not_touch_each_other(spark):
         assert all(tuple(r)[1:] == measured(r["text"]) + measured_for_rules(r["text"]) for r in rules.measure(df).collect())
 
 
+def test_rule_names_are_in_the_order_of_the_bits():
+    assert list(rules.NAMES) == list(rules.rules()) and [rules.mask((n,)) for n in rules.NAMES] == [1 << k for k in range(len(rules.NAMES))]
+
+
 def test_rules_policies(spark, docs, odd):
     book = rules.ledger(rules.measure(docs, keep=["doc_id"])).cache()
     judged = rules.apply_policy(book).collect()
@@ -263,7 +267,7 @@ def test_html_spans_visibility_and_quotes(page, text):
     assert html.render(page) == text
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">" ', "</script ", "<script>x</script ", "<td colspan=1000>x", "<tr><td rowspan=9999>x<td>y", "<table><td>", "<!--", "<![", "&#", "<li>", "<a b=c ", "<p title=' "])
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">" ', "</script ", "<script>x</script ", "<td colspan=1000>x", "<tr><td rowspan=9999>x<td>y", "<table><td>", "<!--", "<![", "&#", "<li>", "<a b=c ", "<p title=' ", "wordword <i>y</i> ", "<svg><text>w"])
 def test_html_long_pages_take_linear_time(piece):
     import time
 
@@ -276,6 +280,26 @@ def test_html_long_pages_take_linear_time(piece):
     assert seconds(800_000) < 24 * small + 1
 
 
+@pytest.mark.parametrize("page", ['<p style="display:none' + " " * 1_000_000 + '!x">w', '<p style="' + "display" * 150_000 + '">w', '<style>"' + '\\"' * 500_000 + "</style>w", "<style>" + "'" * 1_000_000 + "</style>w", '<style>"' + "\\" * 999_999 + "</style>w", "wordword <i>y</i> " * 55_000])
+def test_html_a_megabyte_takes_seconds_at_most(page):
+    import time
+
+    began = time.process_time()
+    assert "w" in html.render(page)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a <svg><title>no</title><defs><text>no</text></defs><g><text x=1>one <tspan>two</tspan></text><path d=''/><text>three</text></g></svg> b", "a one two three b"),
+        ("<svg><text style='display:none'>no</text><style>.x{}</style>no</svg>x", "x"), ("<svg>stray</svg>", ""), ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ],
+)
+def test_html_text_of_drawings(page, text):
+    assert html.render(page) == text
+
+
 def test_html_random_nested_tables_lose_no_text():
     """Every visible text is shown once, whatever the nesting of tables, forms and wrappers."""
     rng = np.random.default_rng(4)
