@@ -94,14 +94,17 @@ def price_histogram(ads: DataFrame, price: str, edges: tuple[float, ...] = PRICE
     return ads.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def strategies(ads: DataFrame, price: str, total: str, rules: dict[str, Column]) -> DataFrame:
-    """strategy, kept, removed, avg_price, median_price, avg_total: what each filter (true where an ad goes) leaves, in one pass, all rules beside each other."""
+def strategies(ads: DataFrame, price: str, total: str, rules: dict[str, Column], *, median: bool = True) -> DataFrame:
+    """strategy, kept, removed, avg_price, median_price (unless it is left out), avg_total: what each filter (true where an ad goes) leaves, in one pass, all rules beside each other.
+
+    The median of a strategy is ranked in one task; medians.strategies() has another way for many ads.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.coalesce(r, F.lit(False)).alias("gone")) for n, r in {"none": F.lit(False), **rules}.items()]))
     rows = ads.select(F.col(price).alias("price"), F.col(total).alias("total"), each.alias("s")).select("price", "total", "s.strategy", "s.gone")
     left = ~F.col("gone")
     return rows.groupBy("strategy").agg(
         F.count_if(left).alias("kept"), F.count_if("gone").alias("removed"), F.avg(F.when(left, F.col("price"))).alias("avg_price"),
-        F.median(F.when(left, F.col("price"))).alias("median_price"), F.avg(F.when(left, F.col("total"))).alias("avg_total"),
+        *[F.median(F.when(left, F.col("price"))).alias("median_price")] * median, F.avg(F.when(left, F.col("total"))).alias("avg_total"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..operators import labels, regions, search, stats
+from ..operators import labels, medians, regions, search, stats
 from ..sources.tables import visible
 from .market import ADS, CLOSURE, MOST_PER_SQM, REGIONS, SEEN, SIGHTINGS, Market
 from .registry import query
@@ -367,14 +367,15 @@ def a12_price_histogram(m: Market):
     return stats.price_histogram(m.ads().where("deal_type = 'RENT'"), "price_per_sqm", (200, 500, 1000, 2000, 5000))
 
 
-@query(
-    f"""WITH {_RENTALS}, rows AS (
+_STRATEGIES = f"""WITH {_RENTALS}, rows AS (
       SELECT price_per_sqm AS price, total_price AS total, unnest([{{'s': 'none', 'g': false}}, {{'s': 'price', 'g': price_per_sqm > {MOST_PER_SQM}}}, {{'s': 'words', 'g': contains(lower(seller), '77')}},
              {{'s': 'both', 'g': price_per_sqm > {MOST_PER_SQM} OR contains(lower(seller), '77')}}]) AS r FROM rentals
     )
     SELECT r.s AS strategy, count(*) FILTER (NOT r.g) AS kept, count(*) FILTER (r.g) AS removed, round(avg(price) FILTER (NOT r.g), 4) AS avg_price, round(median(price) FILTER (NOT r.g), 4) AS median_price, round(avg(total) FILTER (NOT r.g), 4) AS avg_total
     FROM rows GROUP BY r.s"""
-)
+
+
+@query(_STRATEGIES)
 def a12_strategies(m: Market):
     """What each filter leaves."""
     price, words = F.col("price_per_sqm") > MOST_PER_SQM, classify.contains_any(F.col("seller"), ("77",))
@@ -382,6 +383,15 @@ def a12_strategies(m: Market):
     return out.select("strategy", "kept", "removed", *[F.round(c, 4).alias(c) for c in ("avg_price", "median_price", "avg_total")])
 
 
+@query(_STRATEGIES)
+def a12_strategies_by_selection(m: Market):
+    """Medians between bounds from sketches, narrowed down until few values are left (here 200)."""
+    price, words = F.col("price_per_sqm") > MOST_PER_SQM, classify.contains_any(F.col("seller"), ("77",))
+    rentals = m.ads().where("deal_type = 'RENT'")
+    out = medians.strategies(rentals, "price_per_sqm", "total_price", {"price": price, "words": words, "both": price | words}, most=200)
+    return out.select("strategy", "kept", "removed", *[F.round(c, 4).alias(c) for c in ("avg_price", "median_price", "avg_total")])
+
+
 @query(f"WITH {_RENTALS} SELECT seller AS district, count(*) AS n, count(*) FILTER (price_per_sqm > 1500) AS removed, round(count(*) FILTER (price_per_sqm > 1500) * 100 / count(*), 2) AS removed_percent, count(*) FILTER (price_per_sqm > 1500) = count(*) AS all_removed FROM rentals GROUP BY seller")
 def a12_by_district(m: Market):
     """Share removed by district, and districts that go whole (here: sellers)."""
