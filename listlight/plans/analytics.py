@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..operators import labels, medians, regions, search, stats
+from ..operators import grams, labels, medians, pages, regions, search, stats
 from ..sources.tables import visible
 from .market import ADS, CLOSURE, MOST_PER_SQM, REGIONS, SEEN, SIGHTINGS, Market
 from .registry import query
@@ -177,6 +179,19 @@ def t07_second_page(m: Market):
     return search.paged(search.filtered_ads(ads, search.AdFilter(district=" ", rooms=""), price="price_per_sqm"), "2").select("id", "post_date")
 
 
+_SALES = f"WITH {ADS}, ordered AS (SELECT id, post_date, row_number() OVER (ORDER BY post_date DESC NULLS FIRST, id) - 1 AS place FROM shown WHERE deal_type = 'SELL')"
+
+
+@query(f"{_SALES} SELECT id, post_date, CAST(place // 50 + 1 AS INTEGER) AS page FROM ordered WHERE place // 50 + 1 IN (1, 2, 37, (SELECT (max(place) // 50) + 1 FROM ordered))")
+def t07_deep_pages(m: Market):
+    """Pages far apart and the last one, each from the ranges that it lies in."""
+    ads = visible(m.ads()).where("deal_type = 'SELL'").select("id", "post_date")
+    index = pages.build(ads, [F.desc_nulls_first("post_date"), F.asc("id")], range_rows=500)
+    last = -(-index.rows // 50)
+    asked = [p for p in dict.fromkeys((1, 2, 37, last)) if p <= last]
+    return reduce(DataFrame.union, [pages.page(index, p).withColumn("page", F.lit(p)) for p in asked])
+
+
 @query(
     f"""WITH {ADS}, n AS (SELECT count(*) AS total FROM shown), p AS (SELECT total, CAST(page AS BIGINT) AS page FROM n, (SELECT unnest([1, 3, 7]) AS page))
     SELECT page, total, CAST(ceil(total / 50) AS BIGINT) AS num_pages, (page - 1) * 50 + 1 AS start_index, least(page * 50, total) AS end_index,
@@ -194,13 +209,24 @@ def p18_facet(m: Market):
     return search.facet(m.ads(), "district")
 
 
-@query(f"WITH {ADS}, {REGIONS} SELECT a.id FROM ads AS a LEFT JOIN regions AS r ON r.id = a.region_id WHERE (contains(lower(district), 'build') OR contains(lower(seller), 'build') OR contains(lower(name), 'build')) AND (contains(lower(district), '1') OR contains(lower(seller), '1') OR contains(lower(name), '1'))")
+_ADMIN = f"WITH {ADS}, {REGIONS} SELECT a.id FROM ads AS a LEFT JOIN regions AS r ON r.id = a.region_id WHERE (contains(lower(district), 'build') OR contains(lower(seller), 'build') OR contains(lower(name), 'build')) AND (contains(lower(district), '1') OR contains(lower(seller), '1') OR contains(lower(name), '1'))"
+
+
+@query(_ADMIN)
 def p17_admin_search(m: Market):
     """Every word in some column, joined ones too."""
     names = regions.small(m.regions().select(F.col("id").alias("region_id"), "name"))
     return search.admin_search(m.ads().join(names, "region_id", "left"), "Build 1", ["district", "seller", "name"]).select("id")
 
 
+@query(_ADMIN)
+def p17_search_by_trigrams(m: Market):
+    """The rows that hold all trigrams of a word are looked at, the others aren't."""
+    names = regions.small(m.regions().select(F.col("id").alias("region_id"), "name"))
+    rows, columns = m.ads().join(names, "region_id", "left").select("id", "district", "seller", "name"), ["district", "seller", "name"]
+    return grams.search(rows, grams.index(rows, "id", columns), "Build 1", columns).select("id")
+
+
 @query(f"WITH {ADS} SELECT DISTINCT district FROM shown ORDER BY district")
 def t06_districts(m: Market):
     """T05, T06, P15."""

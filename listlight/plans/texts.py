@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import keywords, regions, search, themes, upsert
+from ..operators import grams, keywords, regions, search, themes, upsert
 from ..sources import config, feeds, scorer
 from .market import ANALYSES, KEYWORDS, PROGRAMMES, VACANCIES, Market
 from .registry import query
@@ -78,11 +78,21 @@ def x14_phrases(m: Market):
     return keywords.tagged(m.table("documents"), "doc_id", phrases, "text")
 
 
-@query(f"WITH {KEYWORDS} SELECT d.doc_id, k.name FROM documents AS d JOIN keywords AS k ON contains(lower(d.text || d.source), lower(k.name))")
+_SUBSTRINGS = f"WITH {KEYWORDS} SELECT d.doc_id, k.name FROM documents AS d JOIN keywords AS k ON contains(lower(d.text || d.source), lower(k.name))"
+
+
+@query(_SUBSTRINGS)
 def x15_substrings(m: Market):
     return classify.tagged_by_substring(m.table("documents"), m.keywords(), "text", "source").select("doc_id", "name")
 
 
+@query(_SUBSTRINGS)
+def x15_substrings_by_trigrams(m: Market):
+    """Only rows that hold all trigrams of a keyword are looked at."""
+    docs = m.table("documents").withColumn("joined", F.concat("text", "source"))
+    return grams.tagged_by_substring(docs, grams.index(docs, "doc_id", ["joined"]), m.keywords(), "joined").select("doc_id", "name")
+
+
 @query(f"WITH {KEYWORDS} SELECT name, 'https://jobs.example/search?limit=1000&keywords[]=' || name AS url FROM keywords")
 def x25_search_urls(m: Market):
     from ..functions import parse
