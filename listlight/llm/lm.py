@@ -284,8 +284,18 @@ def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
         out = np.zeros((len(keys), width), np.int64)
         if len(values):
             out[hit] = values[at[hit]]
-        columns.append(_packed(out.ravel(), width * n))
-    return pa.table([asked["chunk"], asked["kind"], asked["range"], *columns], names=["chunk", "kind", "range", "b", "t", "more"])
+        columns.append((out.ravel(), width * n))
+    size = 4 if all(x.max(initial=0) < 1 << 31 for x, _ in columns) else 8  # bytes of a count
+    packed = [_packed(x.astype(f"<i{size}"), sizes) for x, sizes in columns]
+    return pa.table([asked["chunk"], asked["kind"], asked["range"], pa.array(np.full(len(asked), size, np.int32)), *packed], names=["chunk", "kind", "range", "size", "b", "t", "more"])
+
+
+def _counts(found: pa.Table, column: str) -> np.ndarray:
+    """The counts of all answers of a chunk, in the order of ranges."""
+    narrow = found["size"].to_numpy() == 4
+    if narrow.all():
+        return _flat(found[column], np.int32).astype(np.int64)
+    return np.concatenate([_flat(found[column].slice(k, 1), np.int32 if few else np.int64).astype(np.int64) for k, few in enumerate(narrow)])
 
 
 def _scored(docs: DataFrame, model: DifferenceModel) -> DataFrame:
@@ -296,7 +306,7 @@ def _scored(docs: DataFrame, model: DifferenceModel) -> DataFrame:
     asked = in_batches(coded.select("chunk", F.col("rows.n_tokens").alias("n"), "tokens", "words"), _asks(model.ranges), "kind int, range long, chunk long, keys binary")
     counts = model.pairs.withColumn("kind", F.lit(PAIRS)).union(model.words.withColumn("kind", F.lit(WORDS)))
     both = asked.groupBy("kind", "range").cogroup(counts.groupBy("kind", "range"))
-    answers = written(both.applyInArrow(_answers, "chunk long, kind int, range long, b binary, t binary, more binary"), "answers", "zstd")
+    answers = written(both.applyInArrow(_answers, "chunk long, kind int, range long, size int, b binary, t binary, more binary"), "answers", "zstd")
     n, vocabulary = model.n, model.vocabulary
 
     def losses(chunk: pa.Table, found: pa.Table) -> pa.Table:
@@ -306,11 +316,11 @@ def _scored(docs: DataFrame, model: DifferenceModel) -> DataFrame:
         found = found.sort_by("range")
         pairs, words = (found.filter(pc.equal(found["kind"], k)) for k in (PAIRS, WORDS))
         more, out = np.empty((len(c.known), 4)), []
-        more[c.by_hash] = _flat(words["more"], np.int64).reshape(-1, 4)
+        more[c.by_hash] = _counts(words, "more").reshape(-1, 4)
         for k, corpus in enumerate(("t", "b")):  # in `more` b comes before t
             by_word = np.empty(len(c.known))
-            by_word[c.by_hash] = _flat(words[corpus], np.int64)
-            log_p = _log_p(_flat(pairs[corpus], np.int64), by_word[c.w], more[c.v, 1 - k], more[c.v, 3 - k], n[k], vocabulary)
+            by_word[c.by_hash] = _counts(words, corpus)
+            log_p = _log_p(_counts(pairs, corpus), by_word[c.w], more[c.v, 1 - k], more[c.v, 3 - k], n[k], vocabulary)
             out.append(pa.array(-sums_by(log_p[c.at], first) / np.maximum(size, 1)))
         return pa.table([*others[1:], others[0], *out], names=[*[f.name for f in fields], *MADE[:3]])
 
