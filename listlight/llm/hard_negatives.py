@@ -29,12 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .knn import BLOCK_BYTES, LEAST_ROWS, _packed, _rows, _tiles, _unpacked
+from .knn import BLOCK_BYTES, LEAST_ROWS, MOST_DIMS, _packed, _rows, _tiles, _unpacked
 from .shared import drop, in_batches, written
 
 PIVOTS = 8  # whose distances are stored
 MOST_CENTRES = 512
-MOST_DIMS = 16_384
 AT_ONCE = 1 << 20  # pairs looked at at once
 MIN, MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _WANTED = "array<struct<positive_id: long, positive_score: long, lo: long, hi: long>>"

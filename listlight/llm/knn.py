@@ -12,7 +12,8 @@ each; these are merged. Where the bounds exclude nothing (vectors of one length
 cells) a query row so travels once for each tile, packed in the fewest bytes that hold its components.
 
 Defined cases: null vectors and those with null or non-finite components take no part, nor do rows without
-a vec_id. Shorter vectors count as padded with zeros, empty ones as all zeros. Rows that share a vec_id count as
+a vec_id. Shorter vectors count as padded with zeros, empty ones as all zeros; more than MOST_DIMS components are an
+error, as every row is padded to the longest. Rows that share a vec_id count as
 one candidate with the better score, and no candidate of its own; repeated rows change nothing. Ties go to the
 smaller vec_id. An empty table gives an empty result. Other columns are not read. Exact as long as sums fit 63 bits.
 """
@@ -31,6 +32,7 @@ from pyspark.sql.window import Window
 from .shared import drop, in_batches, written
 
 MOST_PIVOTS = 512
+MOST_DIMS = 16_384
 BLOCK_BYTES = 32 << 20  # of a tile's vectors as doubles
 LEAST_ROWS = 4096  # of a tile, where there are so many
 AT_ONCE = 1 << 21  # scores held at once
@@ -164,13 +166,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float =
     usable = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ints = F.transform(e, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     table = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("query")).where(usable)
-    table = table.select("vec_id", "query", ints.alias("v")).groupBy("vec_id", "v").agg(F.max("query").alias("query"))
-    table = written(table.select("vec_id", "query", "v"), "ints")
+    table = written(table.select("vec_id", "query", ints.alias("v")), "ints")
     largest = F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1))))
     rows, dims, most = table.agg(F.count("*"), F.max(F.size("v")), largest).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not rows:
         return spark.createDataFrame([], result)
+    if dims > MOST_DIMS:
+        raise ValueError(f"vectors of more than {MOST_DIMS} components")
     dims, kind = max(dims, 1), next(f"<i{w}" for w in (2, 4, 8) if (most or 0) < 1 << (8 * w - 1))
 
     some = table.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(max(8, min(MOST_PIVOTS, isqrt(rows) // 4))).toArrow().combine_chunks()

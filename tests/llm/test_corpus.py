@@ -266,6 +266,13 @@ def test_knn_tiles_and_widths_agree(spark, monkeypatch, scale, least):
     assert sorted(tuple(r) for r in knn.nearest(empty, F.col("vec_id") % 50 == 0).collect()) == [(50, 1, 3, 0), (50, 2, 4, 0)]
 
 
+def test_knn_bounds_the_dimensions(spark):
+    df = spark.createDataFrame([(50, [0.5]), (3, [0.5] * (knn.MOST_DIMS + 1))], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        knn.nearest(df, F.col("vec_id") % 50 == 0)
+    assert knn.nearest(df.where("vec_id = 50").union(df.where("vec_id = 50")), F.col("vec_id") % 50 == 0).count() == 0  # a query is no candidate of its own
+
+
 def test_knn_tiles():
     assert knn._tiles({0: 3, 1: 4, 2: 25, 3: 2, 4: 8, 5: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
     assert knn._tiles({7: 30}, 10) == {7: (0, 3)}
@@ -486,8 +493,48 @@ def test_pipeline_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (1, "", "en", "a", 0), (2, "w " * 50_000, None, "a", 100_000), (3, "token = 'abcdef123456'", "en", "b", 22), (3, "token = 'abcdef123456'", "en", "b", 22)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = [  # (doc_id, text, n_chars) after each stage but the last
+        sorted(((r[0], r[1], r[4]) for r in rows), key=repr),  # no label says toxic
+        sorted(((r[0], r[1], r[4]) for r in rows), key=repr),  # rows of one id are one document, those without words are like nothing, those without an id stay
+        sorted(((r[0], "[assign]'" if r[0] == 3 else r[1], 9 if r[0] == 3 else r[4]) for r in rows), key=repr),
+    ]
     for empty in (False, True):
-        now = docs.limit(0) if empty else docs
-        for _, stage in p.STAGES:
-            now = stage(spark, now, str(tmp_path))
-        assert (now.count() == 0) == empty
+        now = docs.limit(0).withColumns({"ids": F.lit(1), "size": F.lit("x")}) if empty else docs.withColumns({"ids": F.lit(1), "size": F.lit("x")})  # names that results have
+        for k, (_, stage) in enumerate(p.STAGES):
+            columns, now = now.columns, stage(spark, now, str(tmp_path))
+            assert k == 4 or now.columns == columns
+            if k < 3:
+                assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in now.collect()), key=repr) == ([] if empty else expected[k])
+        got = now.collect()
+        assert all(r["n_tokens"] == len(r["ids"]) for r in got) and (not got) == empty
+        if not empty:  # both sources take one and a half times what they have, by weight; no document more than twice
+            taken = {i: sum(r["n_tokens"] for r in got if r["doc_id"] == i) for i in (2, 3)}
+            assert 0 < taken[2] <= 100_000 and [r["doc_id"] for r in got].count(3) <= 4 and all(r["decoded"] == "[</w> as sign</w> ] '</w>" for r in got if r["doc_id"] == 3)
+
+
+def test_html_query_agrees_with_a_plain_parser(spark):
+    """Every page of the table: the words that the standard parser finds outside of invisible elements, in order."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.NEVER_SHOWN and tag not in html.VOID:
+                self.hidden += 1
+
+        def handle_endtag(self, tag):
+            if tag in html.NEVER_SHOWN and tag not in html.VOID:
+                self.hidden -= 1
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    got = {r["page_id"]: r["text"] for r in queries.op6_html(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = Words()
+        plain.feed(r["html"])
+        assert re.sub(r"\s+|(?m:^ *(- |[0-9]+[.] ))", "", got[r["page_id"]]) == "".join(plain.words)
