@@ -11,6 +11,7 @@ from ..operators.stored import small
 
 # Sale vocabulary in rental comments (Latvian with and without accents, Russian).
 SALE_WORDS = ("pārdod", "pārdošan", "pārdots", "izpirkum", "pirkt", "pardod", "pardosan", "pardots", "продаётся", "Продаем", "Продается", "Продам")
+BROAD_SALE_WORD = "pirkum"  # of an earlier list, instead of izpirkum: also in words for everyday shopping
 MOST_RENT_PER_SQM = 50
 
 # Words in a title or description that mark programmes other than films.
@@ -44,6 +45,12 @@ def is_sale_in_disguise(comment: Column, monthly_price_per_sqm: Column, words: t
     return F.coalesce(monthly_price_per_sqm > most, F.lit(False)) | contains_any(comment, words)
 
 
+def sale_strategies(comment: Column, monthly_price_per_sqm: Column, words: tuple[str, ...] = SALE_WORDS, broad: tuple[str, ...] = (*SALE_WORDS, BROAD_SALE_WORD), most: float = MOST_RENT_PER_SQM) -> dict[str, Column]:
+    """The filters of the price study, true where an ad goes: A by price, B by words of the earlier, broad list, C by both, C+ by price and refined words."""
+    price = F.coalesce(monthly_price_per_sqm > most, F.lit(False))
+    return {"A": price, "B": contains_any(comment, broad), "C": price | contains_any(comment, broad), "C+": price | contains_any(comment, words)}
+
+
 def is_film_channel(channel: Column) -> Column:
     key = F.translate(F.lower(F.coalesce(channel, F.lit(""))), " -", "__")
     return reduce(lambda a, b: a | b, [key.contains(n) for n in FILM_CHANNELS])

@@ -64,6 +64,28 @@ def page_window(rows: Column, page: Column, per_page: int, reach: int = 2) -> li
     ]
 
 
+class NotFound(LookupError):
+    """No row where one was asked for."""
+
+
+def one(df: DataFrame, condition: Column) -> DataFrame:
+    """The row for which a condition on a unique key holds; NotFound if there is none. At most one row is looked for."""
+    found = df.where(condition).limit(1)
+    if found.isEmpty():
+        raise NotFound("no such row")
+    return found
+
+
+def first(ordered: DataFrame) -> DataFrame:
+    """The first row of an ordered table, none if it is empty."""
+    return ordered.limit(1)
+
+
+def exists(df: DataFrame, condition: Column | None = None) -> bool:
+    """Whether there is a row (for which a condition holds); reading ends with the first."""
+    return not (df if condition is None else df.where(condition)).limit(1).isEmpty()
+
+
 def facet(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

@@ -418,6 +418,24 @@ def a12_strategies_by_selection(m: Market):
     return out.select("strategy", "kept", "removed", *[F.round(c, 4).alias(c) for c in ("avg_price", "median_price", "avg_total")])
 
 
+@query(
+    f"""WITH {_RENTALS}, told AS (
+      SELECT price_per_sqm AS price, total_price AS total, price_per_sqm > {MOST_PER_SQM} AS dear, district || CASE WHEN id % 7 = 0 THEN ' ar izpirkuma tiesībām' WHEN id % 5 = 0 THEN ' ikdienas pirkumiem' WHEN id % 11 = 0 THEN ' PĀRDOD' ELSE '' END AS comment FROM rentals
+    ), rows AS (
+      SELECT price, total, unnest([{{'s': 'none', 'g': false}}, {{'s': 'A', 'g': dear}}, {{'s': 'B', 'g': contains(lower(comment), 'pirkum') OR contains(lower(comment), 'pārdod')}},
+        {{'s': 'C', 'g': dear OR contains(lower(comment), 'pirkum') OR contains(lower(comment), 'pārdod')}}, {{'s': 'C+', 'g': dear OR contains(lower(comment), 'izpirkum') OR contains(lower(comment), 'pārdod')}}]) AS r FROM told
+    )
+    SELECT r.s AS strategy, count(*) FILTER (NOT r.g) AS kept, count(*) FILTER (r.g) AS removed, round(avg(price) FILTER (NOT r.g), 4) AS avg_price, round(median(price) FILTER (NOT r.g), 4) AS median_price, round(avg(total) FILTER (NOT r.g), 4) AS avg_total
+    FROM rows GROUP BY r.s"""
+)
+def a12_refined_strategies(m: Market):
+    """Price, words of the broad list, both, and C+ with the refined words, which keeps ads that speak of shopping."""
+    more = F.when(F.col("id") % 7 == 0, " ar izpirkuma tiesībām").when(F.col("id") % 5 == 0, " ikdienas pirkumiem").when(F.col("id") % 11 == 0, " PĀRDOD").otherwise("")
+    rentals = m.ads().where("deal_type = 'RENT'").withColumn("comment", F.concat("district", more))
+    out = medians.strategies(rentals, "price_per_sqm", "total_price", classify.sale_strategies(F.col("comment"), F.col("price_per_sqm"), most=MOST_PER_SQM))
+    return out.select("strategy", "kept", "removed", *[F.round(c, 4).alias(c) for c in ("avg_price", "median_price", "avg_total")])
+
+
 @query(f"WITH {_RENTALS} SELECT seller AS district, count(*) AS n, count(*) FILTER (price_per_sqm > 1500) AS removed, round(count(*) FILTER (price_per_sqm > 1500) * 100 / count(*), 2) AS removed_percent, count(*) FILTER (price_per_sqm > 1500) = count(*) AS all_removed FROM rentals GROUP BY seller")
 def a12_by_district(m: Market):
     """Share removed by district, and districts that go whole (here: sellers)."""

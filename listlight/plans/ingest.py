@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import stored as stored_tables
-from ..operators import upsert
+from ..operators.ingest import Ingestion
 from ..sources import pages
 from ..streaming import merge
 from ..streaming import sightings as stream
@@ -125,13 +125,13 @@ def s16_articles(m: Market):
 )
 def c01_ingested_ads(m: Market):
     """Parse, prune what is stored, insert the rest, and mark who was seen today."""
-    found = stored_tables.written(pages.flat_listing(_flat_pages(m), SITE).select("ad_id", "link", "total_price", "comment"), "found")  # parsed once, read three times
+    listing = pages.flat_listing(_flat_pages(m), SITE).select("ad_id", "link", "total_price", "comment")
+    found = stored_tables.written(listing, "listing")
     even = F.regexp_extract("link", "([0-9]+)", 1).cast("int") % 2 == 0
     stored = found.where(even).select("ad_id", F.lit(1.0).alias("total_price"), F.lit("stored").alias("comment"))
     stored = stored.union(m.spark.createDataFrame([("gone", 1.0, "stored")], stored.schema))
-    after = upsert.insert_ignore(stored, upsert.new_rows(found, stored, ["ad_id"]).select("ad_id", "total_price", "comment"), ["ad_id"])
-    seen = found.select("ad_id").distinct().withColumn("seen", F.lit(True))
-    return after.join(seen, "ad_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    run = Ingestion(["ad_id"], parse=lambda rows: rows, valid=F.col("total_price") > 0).run(found, stored)
+    return run.stored.join(run.seen.withColumn("seen", F.lit(True)), "ad_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'updated' ELSE 'created' END AS action, count(*) AS n FROM orders GROUP BY 1")

@@ -93,11 +93,12 @@ def x15_substrings_by_trigrams(m: Market):
     return grams.tagged_by_substring(docs, grams.index(docs, "doc_id", ["joined"]), m.keywords(), "joined").select("doc_id", "name")
 
 
-@query(f"WITH {KEYWORDS} SELECT name, 'https://jobs.example/search?limit=1000&keywords[]=' || name AS url FROM keywords")
+@query("SELECT DISTINCT p_brand AS name, 'https://jobs.example/search?limit=1000&keywords[]=' || p_brand AS url FROM part")
 def x25_search_urls(m: Market):
+    """A search address for each keyword, here each brand."""
     from ..functions import parse
 
-    return m.keywords().select("name", parse.search_url("https://jobs.example/search", F.col("name")).alias("url"))
+    return m.table("part").select(F.col("p_brand").alias("name")).distinct().select("name", parse.search_url("https://jobs.example/search", F.col("name")).alias("url"))
 
 
 @query(
@@ -165,9 +166,10 @@ def p13_listed_titles(m: Market):
     return m.programmes().withColumn("title_lv", title).where(~F.col("title_lv").isin(list(classify.EXCLUDED_TITLES))).select("id", "title_lv")
 
 
-@query(f"WITH {PROGRAMMES} SELECT name AS channel, CAST(DATE '2026-04-24' + CAST(i AS INTEGER) AS DATE) AS day FROM channels, (SELECT unnest(generate_series(-7, 6)) AS i)")
+@query("SELECT DISTINCT p_brand AS channel, CAST(DATE '2026-04-24' + CAST(i AS INTEGER) AS DATE) AS day FROM part, (SELECT unnest(generate_series(-7, 6)) AS i)")
 def s13_day_frontier(m: Market):
-    return feeds.day_frontier(m.channels(), "2026-04-24")
+    """Each channel, here each brand, and day of two weeks."""
+    return feeds.day_frontier(m.table("part").select(F.col("p_brand").alias("name")).distinct(), "2026-04-24")
 
 
 # Pages.

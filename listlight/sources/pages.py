@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -17,21 +18,26 @@ ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "li": ("li",), "p
 
 
 class Element:
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    """An element of a page. `every` holds all elements of the page in order, `places` those of each tag: what is below an element are those from its own place to `end`."""
+
+    __slots__ = ("tag", "attributes", "children", "every", "places", "place", "end")
+
+    def __init__(self, tag: str, attributes: dict[str, str], every: list[Element], places: dict[str, list[int]]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.every, self.places, self.place = every, places, len(every)
+        self.end = self.place + 1
+        every.append(self)
+        places.setdefault(tag, []).append(self.place)
 
     def walk(self) -> Iterator[Element]:
         """All elements below, in order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
+        return iter(self.every[self.place + 1 : self.end])
 
     def all(self, tag: str, css: str = "", **attributes: str) -> Iterator[Element]:
-        wanted = set(css.split())
-        for e in self.walk():
-            if e.tag == tag and wanted <= set(e.attributes.get("class", "").split()) and all(e.attributes.get(k) == v for k, v in attributes.items()):
+        wanted, places = set(css.split()), self.places.get(tag, ())
+        for place in places[bisect_right(places, self.place) : bisect_left(places, self.end)]:
+            e = self.every[place]
+            if (not wanted or wanted <= set(e.attributes.get("class", "").split())) and all(e.attributes.get(k) == v for k, v in attributes.items()):
                 yield e
 
     def first(self, tag: str, css: str = "", **attributes: str) -> Element | None:
@@ -57,12 +63,21 @@ class Element:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [Element("document", {})]
+        self.every, self.places = [], {}
+        self.stack = [self._element("document", ())]
+
+    def _element(self, tag: str, attrs) -> Element:
+        return Element(tag, {k: v or "" for k, v in attrs}, self.every, self.places)
+
+    def _shut(self, k: int) -> None:
+        for e in self.stack[k:]:
+            e.end = len(self.every)
+        del self.stack[k:]
 
     def _close(self, tags: tuple[str, ...], within: str | None = None) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
-                del self.stack[k:]
+                self._shut(k)
                 return
             if self.stack[k].tag == within:
                 return
@@ -70,13 +85,13 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS:
             self._close(ENDS[tag], "tr" if tag in ("td", "th") else "table" if tag == "tr" else None)
-        e = Element(tag, {k: v or "" for k, v in attrs})
+        e = self._element(tag, attrs)
         self.stack[-1].children.append(e)
         if tag not in VOID and len(self.stack) < DEPTH:
             self.stack.append(e)
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+        self.stack[-1].children.append(self._element(tag, attrs))
 
     def handle_endtag(self, tag):
         self._close((tag,))
@@ -89,7 +104,9 @@ def tree(html: str | None) -> Element:
     b = _Builder()
     b.feed(html or "")
     b.close()
-    return b.stack[0]
+    page = b.stack[0]
+    b._shut(0)
+    return page
 
 
 def records(pages: DataFrame, read: Callable[[Element], list[dict]], fields: str, column: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,10 +58,19 @@ SCHEMAS = {
 }
 
 
-def jdbc(spark: SparkSession, url: str, table: str, key: str, parts: int, lower: int, upper: int, **options: str) -> DataFrame:
-    """A table of a relational database, read in `parts` ranges of a numeric key."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, numPartitions=parts, lowerBound=lower, upperBound=upper)
-    return reader.options(**options).load()
+def jdbc(spark: SparkSession, url: str, table: str, key: str, parts: int, lower: int | None = None, upper: int | None = None, **options: str) -> DataFrame:
+    """A table of a relational database, read in `parts` ranges of a numeric key; filters, columns and limits go to the database.
+
+    Without bounds they are asked of the database first (one row). Rows outside of them are read too, by the outermost ranges, those without a key by the
+    first. An empty table is read as one part.
+    """
+    source = spark.read.format("jdbc").options(url=url, **options)
+    if lower is None or upper is None:
+        least, most = source.option("dbtable", table).load().agg(F.min(key), F.max(key)).first()
+        lower, upper = (least if lower is None else lower), (most if upper is None else upper)
+    if lower is None or upper is None:
+        return source.option("dbtable", table).load()
+    return source.options(dbtable=table, partitionColumn=key, numPartitions=parts, lowerBound=int(lower), upperBound=int(upper) + 1).load()
 
 
 def visible(ads: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from listlight.operators import regions, search, stats, stored, themes, upsert
+from listlight.operators import ingest, regions, search, stats, stored, themes, upsert
 from listlight.sources import scorer
 from listlight.sources.tables import SCHEMAS, all_rows, visible
 
@@ -164,3 +164,33 @@ def test_snapshots_are_never_overwritten(spark, tmp_path):
     assert upsert.snapshot({"a": df}, str(tmp_path / "s")) == {"a": 3}
     with pytest.raises(Exception, match="(?i)exist"):
         upsert.snapshot({"a": df}, str(tmp_path / "s"))
+
+
+def test_one_first_and_exists(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a")], "id int, v string")
+    assert [tuple(r) for r in search.one(df, F.col("id") == 3).collect()] == [(3, "c")]
+    with pytest.raises(search.NotFound):
+        search.one(df, F.col("id") == 9)
+    assert search.first(df.orderBy("id")).collect()[0]["v"] == "a" and search.first(df.limit(0)).count() == 0
+    assert search.exists(df) and search.exists(df, F.col("v") == "a") and not search.exists(df, F.col("v") == "x") and not search.exists(df.limit(0))
+
+
+def test_ingestion_in_stages(spark):
+    """Stored listings stay as they are, others are completed once; what can't be completed or is no good is excluded; all found and stored are seen."""
+    pages = spark.createDataFrame([("a:1,b:2",), ("b:2,c:3",), ("d:4,e:5,f:0",)], "html string")
+    stored = spark.createDataFrame([("b", 20.0, "old"), ("z", 1.0, "old")], "ad_id string, price double, comment string")
+    details = spark.createDataFrame([("a", "nice"), ("c", "fine"), ("f", "free")], "ad_id string, comment string")
+    entry = F.explode(F.split("html", ","))
+    run = ingest.Ingestion(
+        ["ad_id"],
+        parse=lambda p: p.select(entry.alias("x")).select(F.split("x", ":")[0].alias("ad_id"), F.split("x", ":")[1].cast("double").alias("price")),
+        complete=lambda rows: rows.join(details, "ad_id"),
+        valid=F.col("price") > 0,
+        finish=lambda rows: rows.withColumn("comment", F.upper("comment")),
+    ).run(pages, stored)
+    assert sorted(map(tuple, run.stored.collect())) == [("a", 1.0, "NICE"), ("b", 20.0, "old"), ("c", 3.0, "FINE"), ("z", 1.0, "old")]
+    assert {r["ad_id"] for r in run.new.collect()} == {"a", "c"} and {r["ad_id"] for r in run.excluded.collect()} == {"d", "e", "f"}
+    assert sorted(r["ad_id"] for r in run.seen.collect()) == ["a", "b", "c"]
+    run.drop()
+    nothing = ingest.Ingestion(["ad_id"], parse=lambda p: p.select(F.col("html").alias("ad_id"), F.lit(1.0).alias("price"), F.lit("").alias("comment"))).run(pages.limit(0), stored)
+    assert nothing.stored.count() == 2 and nothing.new.count() == nothing.seen.count() == 0
