@@ -19,7 +19,8 @@ questions and answers of a part only.
 Defined cases: a null or empty text, or one without words, has no tokens, losses of 0 and score 0. Without a
 target (or background) text that model is uniform over the vocabulary. Rows that share an id are scored each
 by its own text, repeated texts count as often as they occur, and columns named like the results are
-replaced. A text longer than a chunk makes a chunk of its own. Words are runs of letters, digits and
+replaced. A text longer than a chunk makes a chunk of its own; one of more than 2^28 words, whose arrays no Arrow binary
+holds, is an error. Words are runs of letters, digits and
 non-ASCII bytes, lower-cased (A-Z and Latin-1).
 """
 

@@ -9,7 +9,8 @@ the character class of the run or piece. What base spans leave of it is reported
 
 Defined cases: a null or empty text has no spans. Offsets are code points, the end exclusive. Spans are
 sorted by start, then by kind in the order of KINDS. Rows that share a doc_id are scanned each by its own
-text, and what stands in other rows of a batch never matters. A very long text is scanned in linear time.
+text, and what stands in other rows of a batch never matters. A very long text is scanned in linear time. Runs of letters
+alone, as long words are, or of digits alone are no candidates: such keys are found only by a fixed pattern.
 Columns named spans or redacted are replaced, others pass through if kept.
 """
 
