@@ -28,7 +28,7 @@ from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_lat
 
 BITS, RANK, BINS = 17, 8, 8
 STAT_WEIGHT = 0.5
-STATS = ("log_chars", "log_words", "word_length", "symbols", "capitals", "digits", "punctuation", "exclamations", "bars", "lines_per_word", "repeated_lines", "distinct_words", "repeated_triples", "wide")
+STATS = ("log_chars", "log_words", "word_length", "symbols", "capitals", "digits", "punctuation", "exclamations", "bars", "lines_per_word", "repeated_lines", "distinct_words", "repeated_triples", "wide", "doubled_words", "longest_doubling")
 
 
 def _kind(chars: str) -> np.ndarray:
@@ -52,6 +52,20 @@ def _repeats(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums_by(again, first)
 
 
+def _doublings(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By document, how many words equal the word before them, and how many do so in a row at most."""
+    same = np.zeros(len(w) + 1, bool)
+    same[1:-1] = w[1:] == w[:-1]
+    same[first] = False  # the first word of a document follows none
+    upto = np.concatenate(([0], np.cumsum(same[:-1])))
+    broken = np.maximum.accumulate(np.where(same[:-1], 0, upto[1:]))  # doublings before the row that a word stands in
+    longest = np.zeros(len(first) - 1, np.int64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        longest[some] = np.maximum.reduceat(upto[1:] - broken, first[:-1][some])
+    return upto[first[1:]] - upto[first[:-1]], longest
+
+
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, statistics, word buckets, their weights, where each document's buckets begin)."""
     for lo, hi, buf, offs in slices(column):
@@ -78,6 +92,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         triple = mix(np.arange(len(w), dtype=np.uint64))  # the last two words of a document begin none
         at = np.flatnonzero(doc_of[2:] == doc_of[:-2])
         triple[at] = w[at] + w[at + 1] * np.uint64(0x9E3779B97F4A7C15) + w[at + 2] * np.uint64(0xBF58476D1CE4E5B9)
+        doubled, longest = _doublings(w, first)
         stats = np.stack(
             [
                 np.log1p(chars),
@@ -89,6 +104,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
                 np.diff(begin) / np.maximum(np.diff(first), 1),
                 _repeats(triple, first) / np.maximum(np.diff(first), 1),
                 (np.diff(offs) - chars) / some,
+                doubled / np.maximum(np.diff(first), 1),
+                np.log1p(longest),
             ],
             axis=1,
         )
@@ -104,6 +121,21 @@ class QualityModel:
     constant: float | None = None
 
 
+def _edges(stats: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Between the bins of each statistic: the least value has a bin of its own (many documents have no bar, say); those above it are cut at quantiles, both classes weighing alike."""
+    weight = np.where(labels == 1, 1 / max((labels == 1).sum(), 1), 1 / max((labels == 0).sum(), 1))
+    out = np.empty((stats.shape[1], BINS - 1))
+    for k, x in enumerate(stats.T):
+        above = x > x.min()
+        if not above.any():
+            out[k] = np.inf
+            continue
+        order = np.argsort(x[above], kind="stable")
+        values, upto = x[above][order], np.cumsum(weight[above][order])
+        out[k] = values[np.searchsorted(upto, np.arange(BINS - 1) / (BINS - 1) * upto[-1]).clip(0, len(values) - 1)]
+    return out
+
+
 def _binned(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Documents x statistics of feature numbers after those of the words."""
     cells = np.stack([np.searchsorted(edges[k], stats[:, k], "right") for k in range(len(STATS))], axis=1)
@@ -120,7 +152,7 @@ def fit(stats: np.ndarray, words: list[np.ndarray], weights: list[np.ndarray], l
     order = rng.permutation(len(labels))
     parts = [order[labels[order] == y] for y in (0, 1)]
     used = np.concatenate([p[len(p) // 4 :] for p in parts])
-    edges = np.quantile(stats[used], np.arange(1, BINS) / BINS, axis=0).T
+    edges = _edges(stats[used], labels[used])
     cells = _binned(stats, edges)
     linear = np.zeros(size, np.float32)
     factors = rng.normal(0, 0.05, (size, RANK)).astype(np.float32)
