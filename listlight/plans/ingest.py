@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import parse
 from ..operators import stored as stored_tables
 from ..operators.ingest import Ingestion
 from ..sources import pages

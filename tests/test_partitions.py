@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
