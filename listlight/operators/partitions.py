@@ -25,7 +25,7 @@ def _write(df: DataFrame, path: str, mode: str) -> None:
 
 
 def create(df: DataFrame, path: str, part: Column) -> None:
-    """Store df, partitioned by part, which must follow from the key of a row."""
+    """Store df, partitioned by part, which must follow from the key of a row: a whole number, a day, or a text that looks like neither, as Spark reads it back by its look."""
     _write(df.withColumn(PART, part), path, "errorifexists")
 
 
