@@ -10,7 +10,8 @@ leave a pair as soon as the posterior probability that its similarity reaches th
 
 Defined cases: a null or empty text, or one without words, has no shingles, is linked with nothing and is
 kept. Fewer words than `words` make one shingle of the whole sequence. A very long text is one set like any
-other; blocks are bounded by the shingles that they hold. Rows that share a doc_id count as one document. A
+other; blocks are bounded by the shingles that they hold. Rows that share a doc_id count as one document, whose
+text is that with the most shingles (among equals the one whose set has the larger hash); each has its own n_shingles and the document's component. A
 null doc_id takes no part in linking: component_id is null and kept true. Other columns are neither read nor
 returned. An empty table gives an empty result.
 """
@@ -71,6 +72,10 @@ def minhash(x: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _set_hash(x: np.ndarray) -> tuple[int, int]:
+    return (x.sum(), mix(x ^ _PLACE[0]).sum()) if len(x) else (0, 0)
+
+
 def _features(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=np.uint64)
@@ -80,7 +85,7 @@ def _features(words: int):
                 n, sets, bands, sigs = [], [], [], []
                 for x in shingle_sets(buf, offs, words):
                     n.append(len(x))
-                    sets.append((x.sum(), mix(x ^ _PLACE[0]).sum()) if len(x) else (0, 0))
+                    sets.append(_set_hash(x))
                     if len(x):
                         sig = minhash(x)
                         bands.append(mix((sig.reshape(BANDS, ROWS) * _WITHIN).sum(axis=1) + band).view(np.int64))
@@ -101,8 +106,10 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in slices(batch.column(1)):
-                sets = [x.tobytes() for x in shingle_sets(buf, offs, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = list(shingle_sets(buf, offs, words))
+                both = np.array([_set_hash(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "shingles"])
 
     return run
 
@@ -230,8 +237,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     a pair of similarity 0.85 with probability 3e-7; `miss` bounds what a batch of the Bayesian test adds.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(in_batches(source, _features(words), FEATURES), "features")
-    with_set = table.where("n_shingles > 0 and doc_id is not null")
+    features = written(in_batches(source, _features(words), FEATURES), "features")
+    own = F.struct("n_shingles", "set_a", "set_b")
+    twice = features.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(own).alias("of_doc")).where("rows > 1").drop("rows")
+    twice = written(twice, "twice")
+    table = features.withColumn("of_doc", own)  # what stands for the document
+    if not twice.isEmpty():
+        few = twice.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        table = features.join(F.broadcast(twice) if few else twice, "doc_id", "left").withColumn("of_doc", F.coalesce("of_doc", own))
+    with_set = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("of_doc") == own))
     reps = written(with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     of_reps = with_set.join(reps.select("rep").distinct(), with_set.doc_id == F.col("rep"), "left_semi")
 
@@ -243,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     drop(buckets)
 
     stars = written(members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    signed = table.select("doc_id", "n_shingles", "sig").where("sig is not null").dropDuplicates(["doc_id"])
+    signed = with_set.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"])  # equal ones
     one = signed.toDF("a", "n_a", "sig")
     two = signed.toDF("b", "n_b", "sig_b")
     near_size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -256,7 +270,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
         ids = written(ids.distinct(), "ids")
         few = ids.count() <= BROADCAST_IDS
         kept = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        out = written(in_batches(kept.select("doc_id", "text"), _sets(words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+        each = in_batches(kept.select("doc_id", "text"), _sets(words), "doc_id long, n_shingles long, set_a long, set_b long, shingles binary")
+        out = written(each.groupBy("doc_id").agg(F.max_by("shingles", own).alias("shingles")), "sets")
         drop(ids)
         return out
 
@@ -290,7 +305,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     of_set = reps.join(final, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", "copies", F.coalesce("root", "rep").alias("component_id"))
     of_set = written(of_set, "components")
     drop(reps, final)
-    out = join_spread(table.select("doc_id", "set_a", "set_b", "n_shingles"), of_set, ["set_a", "set_b", "n_shingles"], _hot(of_set, "copies"), F.xxhash64("doc_id"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    rows = table.select("doc_id", "of_doc.set_a", "of_doc.set_b", F.col("of_doc.n_shingles").alias("size"), "n_shingles")
+    out = join_spread(rows, of_set.withColumnRenamed("n_shingles", "size"), ["set_a", "set_b", "size"], _hot(of_set, "copies"), F.xxhash64("doc_id"))
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
