@@ -36,6 +36,7 @@ HASHES = BANDS * ROWS
 BLOCK = 256  # members of a bucket on each side of a block, or so
 BLOCK_SHINGLES = 1 << 20  # their shingles (8 MB), or so; a larger set is a side of its own
 HOT = 10_000  # groups that hold this part of all rows or more, so this many at most, are joined by a broadcast
+PLAIN = "uncompressed"  # hashes don't compress, and a codec's direct buffers grow to the largest set
 BROADCAST_IDS = 1_000_000  # ids (8 MB) up to which the texts to confirm are found by a broadcast
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
     a pair of similarity 0.85 with probability 3e-7; `miss` bounds what a batch of the Bayesian test adds.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = written(in_batches(source, _features(words), FEATURES), "features")
+    features = written(in_batches(source, _features(words), FEATURES), "features", PLAIN)
     own = F.struct("n_shingles", "set_a", "set_b")
     twice = features.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(own).alias("of_doc")).where("rows > 1").drop("rows")
     twice = written(twice, "twice")
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, miss:
         few = ids.count() <= BROADCAST_IDS
         kept = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         each = in_batches(kept.select("doc_id", "text"), _sets(words), "doc_id long, n_shingles long, set_a long, set_b long, shingles binary")
-        out = written(each.groupBy("doc_id").agg(F.max_by("shingles", own).alias("shingles")), "sets")
+        out = written(each.groupBy("doc_id").agg(F.max_by("shingles", own).alias("shingles")), "sets", PLAIN)
         drop(ids)
         return out
 

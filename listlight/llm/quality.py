@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import in_batches
 from .samples import labelled_sample, unseen_logits
-from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_latin, mix, slices, spans, sums_by
+from .textbuf import ALNUM, NOT_SPACE, code_points, hash_spans, lists, lower_latin, mix, SLICE, slices, spans, sums_by
 
 BITS, RANK, BINS = 17, 8, 8
 STAT_WEIGHT = 0.5
@@ -68,7 +68,7 @@ def _doublings(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, statistics, word buckets, their weights, where each document's buckets begin)."""
-    for lo, hi, buf, offs in slices(column):
+    for lo, hi, buf, offs in slices(column, SLICE // 4):  # a worker's arrays stay small beside the model
         low = lower_latin(buf)
         starts, ends, first = spans(low, offs, ALNUM)
         (w,) = hash_spans(low, starts, ends)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import in_batches
 from .samples import labelled_sample, unseen_logits
-from .textbuf import ALNUM, hash_spans, lists, lower_latin, slices, spans
+from .textbuf import ALNUM, hash_spans, lists, lower_latin, SLICE, slices, spans
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 6, (1, 2, 3)
 COLUMNS = FILTERS * sum(WIDTHS)
@@ -69,7 +69,7 @@ class ToxicityModel:
 def _buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, words x 3 buckets, first word of each document, language of each document)."""
     frequent = _frequent_hashes()
-    for lo, hi, buf, offs in slices(column):
+    for lo, hi, buf, offs in slices(column, SLICE // 4):  # a worker's arrays stay small beside the model
         low = lower_latin(buf)
         starts, ends, first = spans(low, offs, ALNUM)
         whole, five, four = hash_spans(low, starts, ends, np.minimum(ends, starts + 5), np.minimum(ends, starts + 4))
