@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import BATCH_BYTES, BATCH_ROWS, in_batches  # noqa: F401  (used from here too)
 from ..operators.stored import drop, kept, read, shared_dir, write, written  # noqa: F401  (used from here too)
 
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-
 
 def written_apart(df: DataFrame, name: str, by: str, values: list, codec: str | None = None) -> list[DataFrame]:
     """As written: a table for each of the values that the column `by` has, without that column."""
@@ -36,16 +33,3 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column,
     moved = joined.withColumn("own_key", F.col(keys[0])).withColumn(keys[0], F.when(F.col("by_broadcast").isNull(), F.col(keys[0])).otherwise(spread))
     out = moved.join(table.where(~hot).select(*keys, found.alias("by_shuffle")), keys, "left").withColumn("found", F.coalesce("by_broadcast", "by_shuffle"))
     return out.select(F.col("own_key").alias(keys[0]), *[c for c in rows.columns if c != keys[0]], "found.*")
-
-
-def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow with Arrow batches of BATCH_ROWS rows and BATCH_BYTES or so: workers and executors hold few texts at once.
-
-    The session's settings are lowered to these; smaller ones stay.
-    """
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.fullmatch(r"(\d+)b?", conf.get(key))
-        if not now or not 0 < int(now[1]) <= most:
-            conf.set(key, str(most))
-    return df.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stored as stored_tables
+from ..operators.batches import dealt
 from ..operators.ingest import Ingestion
 from ..sources import pages
 from ..streaming import merge
@@ -62,7 +63,7 @@ def s07_flat_details(m: Market):
         F.lit(" <a href=#>[Map]</a></b><tr><td class=ads_opt_name>House type:<td class=ads_opt>"), "p_brand", F.lit("<tr><td class=ads_opt_name>Facilities:<td class=ads_opt><b>Lift</b></table><span id=phone_td_1>+371 "), s("p_size"),
         F.lit("</span><a href='/mail/x/c"), s("p_size"), F.lit(".html'>m</a><table><tr><td class=msg_footer>Views<td class=msg_footer>"), F.when(F.col("p_partkey") % 2 == 0, "Date: 03.11.2025 10:05").otherwise("Date: today"), F.lit("</table>"),
     )
-    found = pages.flat_details(m.table("part").select("p_partkey", html.alias("html")))
+    found = pages.flat_details(dealt(m.table("part"), "p_partkey").select("p_partkey", html.alias("html")))
     return found.select("p_partkey", "comment", "phone", "contact_id", "house_type", "facilities", F.col("post_date").cast("timestamp_ntz").alias("post_date"), "street_name", "street_no")
 
 
