@@ -114,7 +114,7 @@ def s16_articles(m: Market):
         F.lit("<nav>no</nav><article class='open_article v2'><h1> "), "p_name", F.lit("</h1><a class=com href=/x>5</a><div class=intro>Intro <script>no</script><img data-src='/i.png' src=p><img alt=emotion src=e>"),
         F.when(F.col("p_partkey") % 2 == 1, "<iframe src='https://www.youtube.com/e'></iframe>").otherwise(""), F.lit("</div><p>not this</p><div class=gallery_img><img src='https://cdn.example/j.png'></div></article>"),
     )
-    found = pages.articles(m.table("part").select("p_partkey", html.alias("html")), "https://blog.example")
+    found = pages.articles(dealt(m.table("part"), "p_partkey").select("p_partkey", html.alias("html")), "https://blog.example")
     return found.select("p_partkey", "title", "content", "image_count", "video_count", "text_length", "has_video", F.array_join("images", ",").alias("images"))
 
 
