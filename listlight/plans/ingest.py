@@ -75,7 +75,7 @@ def s08_house_details(m: Market):
         F.lit("<table id=page_main><tr><td>Datums:<td>"), F.when(F.col("p_partkey") % 2 == 0, "3.11.2025").otherwise("3 Nov"), F.lit("<tr><td>Phone<td>+371 "), s("p_size"),
         F.lit("<tr><td>Kontakts<td>"), "p_brand", F.lit("<tr><td>Phone<td>"), F.repeat(F.lit("x"), F.lit(101)), F.lit("<tr><td>a<td>b<td>c</table>"),
     )
-    found = pages.house_details(m.table("part").select("p_partkey", html.alias("html")))
+    found = pages.house_details(dealt(m.table("part"), "p_partkey").select("p_partkey", html.alias("html")))
     return found.select("p_partkey", "phone", "contact_id", F.col("post_date").cast("timestamp_ntz").alias("post_date"))
 
 
