@@ -47,7 +47,7 @@ def s06_house_listing(m: Market):
     s = lambda c: F.col(c).cast("string")
     cells = _td("", "", "House", F.concat("p_type", F.lit(" "), s("p_size")), s("p_size"), "2", "", "0.1 ha", F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(F.concat(s("p_size"), F.lit(",000 €"))))
     html = F.concat(F.lit("<table><tr id=h"), s("p_partkey"), F.lit(">"), cells, F.lit("</table>"))
-    found = pages.house_listing(m.table("part").select("p_partkey", html.alias("html"), F.lit("SELL").alias("deal_type")), SITE)
+    found = pages.house_listing(dealt(m.table("part"), "p_partkey").select("p_partkey", html.alias("html"), F.lit("SELL").alias("deal_type")), SITE)
     return found.select("p_partkey", "ad_id", "street_name", "street_no", "floors", "land_area_sqm", "total_price", "price_per_sqm")
 
 
