@@ -25,7 +25,8 @@ def _flat_pages(m: Market):
     s = lambda c: F.col(c).cast("string")
     cells = _td("", "", F.concat(F.lit("Nice "), "p_name"), F.concat(F.lit("Town<br>"), "p_type", F.lit(" "), s("p_size")), (F.col("p_size") % 4).cast("string"), s("p_size"), F.lit("2/5"), F.lit("103-th"), F.lit("9.5 €"), F.concat(s("p_size"), F.lit("00 €/mon.")))
     row = F.concat(F.lit("<tr id='r"), s("p_partkey"), F.lit("'>"), cells, F.lit("<a href='/msg/"), s("p_partkey"), F.lit(".html'>x</a></tr><tr id=x><td>too few</td></tr><tr>"), cells, F.lit("</tr>"))
-    return m.table("part").groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html")).withColumn("deal_type", F.lit("RENT"))
+    parts = dealt(m.table("part").withColumn("page", F.floor(F.col("p_partkey") / 50)), "page")  # grouped where they are, so the texts aren't shuffled
+    return parts.groupBy("page").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html")).withColumn("deal_type", F.lit("RENT"))
 
 
 @query(
