@@ -91,7 +91,7 @@ def s12_programme_listing(m: Market):
         F.lit('<div class="show-expander-content"><h2 class="tet-font__headline--s"> '), "p_name", F.lit('</h2><p class="subtitle"><span>'), times, F.lit("</span> <span>x</span></p>"),
         F.when(F.col("p_partkey") % 2 == 0, '<p class="text tet-font__body--s">About</p>').otherwise(""), F.lit("</div><div class='show-expander-content'><h2>no</h2></div>"),
     )
-    found = pages.programme_listing(m.table("part").select("p_partkey", html.alias("html"), F.lit("tv").alias("channel"), F.lit("2026-04-24").cast("date").alias("day")))
+    found = pages.programme_listing(dealt(m.table("part"), "p_partkey").select("p_partkey", html.alias("html"), F.lit("tv").alias("channel"), F.lit("2026-04-24").cast("date").alias("day")))
     return found.select("p_partkey", "title_lv", "description_lv", F.col("start_time").cast("timestamp_ntz").alias("start_time"), "duration_minutes", "classification.content_type")
 
 

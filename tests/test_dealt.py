@@ -24,7 +24,7 @@ def parts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["s05_flat_listing", "s06_house_listing", "s07_flat_details", "s08_house_details", "s16_articles"])
+@pytest.mark.parametrize("name", ["s05_flat_listing", "s06_house_listing", "s07_flat_details", "s08_house_details", "s12_programme_listing", "s16_articles"])
 def test_parsing_is_dealt_to_many_tasks(spark, parts, name):
     assert QUERIES[name](spark, parts).rdd.getNumPartitions() >= 12
 
