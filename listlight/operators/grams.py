@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_batches
 from .stored import drop, small, written
 
 RAREST = 3  # trigrams of a word whose lists are met
-BUCKETS = 64
+BUCKETS = 64  # tasks that sum the sizes, at most
+LIST_CHARS, LIST_ROWS = 2_000_000, 50_000  # texts whose lists are made together
+MOST_PUSHED = 1000  # trigrams that are named to the scan
 
 
 @dataclass
 class Grams:
-    """postings: gram, key, without repetition, stored by bucket of the gram; sizes: how many keys each gram has."""
+    """postings: gram, keys, n: lists of n keys without repetition, several for a gram, each of rows that were read together; sizes: how many keys each gram has."""
 
     key: str
     postings: DataFrame
@@ -31,16 +37,61 @@ def _text(columns: list[str], joint: str = "\n") -> Column:
     return F.lower(F.concat_ws(joint, *[F.col(c).cast("string") for c in columns]))
 
 
-def grams_of(text: Column) -> Column:
-    """The distinct trigrams of a text, in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+def _lists(keys: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """The trigrams of texts in order, the keys of the texts that hold each, and how many these are: each trigram with its row is one number, and these are sorted."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    known = np.zeros(0x110000, bool)
+    known[chars] = True
+    letters, n_rows = np.flatnonzero(known), len(texts)
+    a = len(letters)
+    if a**3 * n_rows >= 1 << 63:  # never for one text
+        half = n_rows // 2
+        yield from _lists(keys[:half], texts[:half])
+        yield from _lists(keys[half:], texts[half:])
+        return
+    chars = (np.cumsum(known) - 1)[chars]
+    row = np.repeat(np.arange(n_rows), [len(t) for t in texts])
+    own = ((chars[:-2] * a + chars[1:-1]) * a + chars[2:]) * n_rows + row[:-2]
+    own = np.sort(own[row[2:] == row[:-2]])
+    own = own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
+    gram = own // n_rows
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.array([], int)
+    codes, ends = gram[first], np.r_[first, len(gram)]
+    joined = letters[np.stack([codes // (a * a), codes // a % a, codes % a], 1)].astype("<u4").tobytes().decode("utf-32-le") if len(codes) else ""
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys.take(pa.array(own - gram * n_rows)))
+    yield pa.RecordBatch.from_arrays([pa.array([joined[k : k + 3] for k in range(0, len(joined), 3)], pa.string()), lists, pa.array(np.diff(ends), pa.int64())], ["gram", "keys", "n"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, texts, size = [], [], 0
+
+    for batch in batches:
+        new = [b.decode("utf-8", "replace") for b in batch.column(1).cast(pa.binary()).to_pylist()]
+        keys.append(batch.column(0))
+        texts += new
+        size += sum(map(len, new))
+        if size >= LIST_CHARS or len(texts) >= LIST_ROWS:
+            yield from _lists(pa.concat_arrays(keys), texts)
+            keys, texts, size = [], [], 0
+    if texts:
+        yield from _lists(pa.concat_arrays(keys), texts)
 
 
 def index(rows: DataFrame, key: str, columns: list[str], *, buckets: int = BUCKETS) -> Grams:
-    """The trigrams of the lower-cased columns of rows (key unique and not null). A list of keys is rows of a table, never one value, so a trigram of all texts is no hot one."""
-    each = rows.select(F.col(key).alias("key"), F.explode(grams_of(_text(columns))).alias("gram"))
-    postings = written(each.repartition(buckets, "gram", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("gram"), "grams", "zstd")
-    return Grams(key, postings, written(postings.groupBy("gram").agg(F.count("*").alias("n")), "sizes"))
+    """The trigrams of the lower-cased columns of rows (key unique and not null).
+
+    Lists are made of the rows that a task reads together (LIST_CHARS or LIST_ROWS, or a batch more), with numpy, and stored where they are made: no
+    posting is shuffled or sorted by Spark, and a trigram of all texts has many lists of bounded length, so it is no hot one.
+    """
+    source = rows.select(F.col(key).alias("key"), _text(columns).alias("text"))
+    postings = written(in_batches(source, _posted, f"gram string, keys array<{dict(source.dtypes)['key']}>, n long"), "grams", "zstd")
+    sizes = postings.groupBy("gram").agg(F.sum("n").alias("n"))
+    return Grams(key, postings, written(sizes.coalesce(buckets), "sizes"))
+
+
+def _hits(found: Grams, grams: list[str]) -> DataFrame:
+    """(gram, key) of some trigrams, which are named to the scan."""
+    return found.postings.where(F.col("gram").isin(grams)).select("gram", F.explode("keys").alias("key"))
 
 
 def candidates(found: Grams, word: str) -> DataFrame | None:
@@ -50,10 +101,9 @@ def candidates(found: Grams, word: str) -> DataFrame | None:
         return None
     known = {r["gram"]: r["n"] for r in found.sizes.where(F.col("gram").isin(own)).collect()}  # of one word
     if len(known) < len(own):
-        return found.postings.limit(0).select("key")  # a trigram that no row holds
+        return _hits(found, []).select("key")  # a trigram that no row holds
     rarest = sorted(own, key=lambda g: (known[g], g))[:RAREST]
-    hits = found.postings.where(F.col("gram").isin(rarest)).select("gram", "key")  # pushed to the scan, which is sorted by gram
-    return hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("key")
+    return _hits(found, rarest).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("key")
 
 
 def search(rows: DataFrame, found: Grams, words: str, columns: list[str]) -> DataFrame:
@@ -79,7 +129,9 @@ def tagged_by_substring(rows: DataFrame, found: Grams, keywords: DataFrame, *tex
     own = [(n, g) for n in dict.fromkeys(names) for g in dict.fromkeys(n.lower()[i : i + 3] for i in range(len(n) - 2))]
     wanted = F.broadcast(spark.createDataFrame(own or [("", "")], "name string, gram string"))  # `most` keywords
     need = F.broadcast(spark.createDataFrame([(n, len({n.lower()[i : i + 3] for i in range(len(n) - 2)})) for n in dict.fromkeys(names)] or [("", -1)], "name string, need long"))
-    hits = found.postings.join(wanted, "gram").groupBy("key", "name").agg(F.count("*").alias("n")).join(need, "name").where("n = need").select(F.col("key").alias("candidate"), "name")
+    asked = sorted({g for _, g in own})
+    lists = _hits(found, asked) if len(asked) <= MOST_PUSHED else found.postings.join(wanted.select("gram").distinct(), "gram", "left_semi").select("gram", F.explode("keys").alias("key"))
+    hits = lists.join(wanted, "gram").groupBy("key", "name").agg(F.count("*").alias("n")).join(need, "name").where("n = need").select(F.col("key").alias("candidate"), "name")
     text = F.lower(F.concat(*[F.coalesce(F.col(t), F.lit("")) for t in texts]))
     few = keywords.select("name").where(F.length("name") < 3).distinct()
     long = rows.join(hits, F.col(found.key) == F.col("candidate")).drop("candidate").where(text.contains(F.lower("name")))
