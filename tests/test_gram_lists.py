@@ -22,3 +22,13 @@ def test_lists_are_made_in_the_tasks_that_read(spark):
     assert got == own
     assert {r["gram"]: r["n"] for r in found.sizes.collect()} == {g: len(k) for g, k in own.items()}
     stored.close(spark)
+
+
+def test_trigrams_of_keywords_are_named_to_the_scan(spark):
+    docs = spark.createDataFrame([(1, "the end"), (2, "other"), (3, "no")], "id long, t string")
+    found = grams.index(docs, "id", ["t"])
+    names = spark.createDataFrame([("the",), ("end",)], "name string")
+    tagged = grams.tagged_by_substring(docs, found, names, "t")
+    assert sorted((r["id"], r["name"]) for r in tagged.collect()) == [(1, "end"), (1, "the"), (2, "the")]
+    assert "In(gram" in tagged._jdf.queryExecution().executedPlan().toString()
+    stored.close(spark)
