@@ -88,9 +88,9 @@ def x15_substrings(m: Market):
 
 @query(_SUBSTRINGS)
 def x15_substrings_by_trigrams(m: Market):
-    """Only rows that hold all trigrams of a keyword are looked at."""
-    docs = m.table("documents").withColumn("joined", F.concat("text", "source"))
-    return grams.tagged_by_substring(docs, grams.index(docs, "doc_id", ["joined"]), m.keywords(), "joined").select("doc_id", "name")
+    """Only rows that hold all trigrams of a keyword are looked at, those of a keyword that is one trigram not even then."""
+    docs = m.table("documents").select("doc_id", F.concat("text", "source").alias("joined"))
+    return grams.tagged(docs, grams.index(docs, "doc_id", ["joined"]), m.keywords(), "joined")
 
 
 @query("SELECT DISTINCT p_brand AS name, 'https://jobs.example/search?limit=1000&keywords[]=' || p_brand AS url FROM part")
