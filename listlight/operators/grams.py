@@ -19,7 +19,7 @@ RAREST = 3  # trigrams of a word whose lists are met
 BUCKETS = 64  # tasks that sum the sizes, at most
 LIST_CHARS, LIST_ROWS = 2_000_000, 50_000  # texts of a block
 MOST_PUSHED = 1000  # trigrams that are named to the scan
-MOST_SENT = 1_000_000  # keys of rows to be looked at that travel by broadcast (some 100 MB); beyond it texts are shuffled
+MOST_SENT = 1_000_000  # keys of rows to be looked at that travel by broadcast (some 180 MB); beyond it texts are shuffled
 
 
 @dataclass
